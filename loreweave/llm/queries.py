@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import language_id
+from loreweave.llm import language_id, quality_rules, token_counts, toxicity
 from loreweave.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,76 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.judge(docs).select("doc_id", *counts, "base_failed", "kept")
+
+
+OP3_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         coalesce('=' || lang, 'null') AS lang_key, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS grp
+  FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+cover AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 8)) AS k) GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+          FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+m AS (
+  SELECT w.rid, doc_id, lang_key, grp, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(cover.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (rid) LEFT JOIN cover USING (rid)),
+s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        CASE WHEN n_words > 0 THEN 1000 * n_symbols // word_chars END AS symbol_share,
+        CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_line_share,
+        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_share FROM m),
+v AS (SELECT grp, lang_key, 'symbol_share' AS measure, symbol_share AS value FROM s WHERE n_words > 0
+      UNION ALL SELECT grp, lang_key, 'dup_line_share', dup_line_share FROM s WHERE n_words > 0
+      UNION ALL SELECT grp, lang_key, 'repeat_share', repeat_share FROM s WHERE n_words > 0),
+l AS (SELECT 1 AS level, grp AS of_, measure, value FROM v UNION ALL SELECT 2, lang_key, measure, value FROM v UNION ALL SELECT 3, '', measure, value FROM v),
+h AS (SELECT level, of_, measure, value, sum(count(*)) OVER (PARTITION BY level, of_, measure ORDER BY value) AS up_to,
+             sum(count(*)) OVER (PARTITION BY level, of_, measure) AS total FROM l GROUP BY level, of_, measure, value),
+q AS (SELECT level, of_, measure, max(total) AS total, min(value) FILTER (WHERE 4 * up_to >= total) AS q1, min(value) FILTER (WHERE 4 * up_to >= 3 * total) AS q3
+      FROM h GROUP BY level, of_, measure),
+f AS (SELECT level, of_, measure, q3 + 3 * (q3 - q1) + CASE measure WHEN 'symbol_share' THEN 60 WHEN 'dup_line_share' THEN 200 ELSE 100 END AS fence
+      FROM q WHERE total >= 200 OR level = 3),
+g AS (SELECT DISTINCT grp, lang_key FROM v),
+a AS (SELECT grp, measure, min_by(fence, level) AS fence FROM (
+        SELECT g.grp, f.* FROM g JOIN f ON (f.level = 1 AND f.of_ = g.grp) OR (f.level = 2 AND f.of_ = g.lang_key) OR f.level = 3) GROUP BY grp, measure),
+p AS (SELECT grp, max(fence) FILTER (WHERE measure = 'symbol_share') AS f1, max(fence) FILTER (WHERE measure = 'dup_line_share') AS f2,
+             max(fence) FILTER (WHERE measure = 'repeat_share') AS f3 FROM a GROUP BY grp)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(symbol_share <= f1, true) AND coalesce(dup_line_share <= f2, true) AND coalesce(repeat_share <= f3, true) AS kept
+FROM s LEFT JOIN p USING (grp)
+"""
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_language": op10_language}
+    return {
+        "op3_quality_rules": op3_quality_rules,
+        "op5_toxicity": op5_toxicity,
+        "op8_token_counts": op8_token_counts,
+        "op10_language": op10_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL}
