@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task works on at a time, so that memory doesn't depend on Spark's batch size.
-SLICE_BYTES = 4 << 20
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="loreweave-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from loreweave.operators.shuffles import connected_components, join_unique, shared_folder, stored
 
+__all__ = ["as_bytes", "as_text", "connected_components", "join_unique", "keep", "remainder", "shared_folder", "slices", "stored", "unit_hash"]
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder: later reads don't recompute them."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that a task works on at a time, so that memory doesn't depend on Spark's batch size.
+SLICE_BYTES = 4 << 20
 
 
 def remainder(column: str, modulus: int) -> Column:
@@ -74,17 +54,3 @@ def as_text(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
 
 def keep(batch: pa.RecordBatch, names: Iterable[str]) -> dict[str, pa.Array]:
     return {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined with right, whose key is unique, without bringing a hot key's rows to one task.
-
-    Keys with over a thousandth of left's total rows are a thousand at most, so their rows of right are
-    broadcast; all other keys are joined through a shuffle. Null keys match nothing.
-    """
-    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, total / 1000)).select(key)
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    cold = flagged.where(F.col("_hot").isNull()).drop("_hot").join(right, key, how)
-    warm = flagged.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot_right), key, how)
-    return warm.select(cold.columns).unionByName(cold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import language_id, quality_rules, token_counts, toxicity
+from loreweave.llm import language_id, mixing, quality_rules, token_counts, toxicity
 from loreweave.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op5_toxicity": op5_toxicity,
+        "op6_mixing": op6_mixing,
         "op8_token_counts": op8_token_counts,
         "op10_language": op10_language,
     }

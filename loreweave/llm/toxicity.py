@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segments.
 
-A word's score is its log-odds between toxic and clean training texts under a Dirichlet prior
-proportional to the word's overall frequency. Words that are significantly likelier in toxic texts, by a
-factor of least_ratio at least, keep their score: smaller differences come from a text's topic or language.
-All other words share one slightly negative score. A linear-time scan finds every maximal-scoring segment of a text. The best segment's
+A word is known by itself and by its beginnings of STEMS bytes, so that the inflections of a stem count
+together. Each of these has log-odds between toxic and clean training texts under a Dirichlet prior
+proportional to its overall frequency. Those significantly likelier in toxic texts, by a factor of
+least_ratio at least, keep them: smaller differences come from a text's topic or language. A word scores
+as the best of its own; all words without one share one slightly negative score. A linear-time scan finds every maximal-scoring segment of a text. The best segment's
 score S in a text of n words is calibrated as an extreme value: E = K n exp(-lambda S) is the number of
 segments as good that clean text yields for each toxic one, and the document's score is 1 / (1 + E).
 
@@ -30,14 +31,21 @@ from loreweave.llm.common import as_text, keep, slices, unit_hash
 #: All bytes that are no letters in ASCII become spaces.
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
+#: Lengths of a word's beginnings.
+STEMS = (4, 5, 6, 7)
+
 
 def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split() if text else []
 
 
+def units(word: bytes) -> set[bytes]:
+    return {word, *(word[:n] for n in STEMS)}
+
+
 @dataclass
 class ToxicityModel:
-    """scores: of significant words; rest: of any other word; decay, size: lambda and K; base: without a segment."""
+    """scores: of significant words and beginnings; rest: of any other word; decay, size: lambda and K; base: without a segment."""
 
     scores: dict[bytes, float] = field(default_factory=dict)
     rest: float = -0.01
@@ -51,13 +59,17 @@ class ToxicityModel:
         return 1 / (1 + math.exp(min(700.0, math.log(self.size * max(n, 1)) - self.decay * best)))
 
 
-def maximal_segments(scores: dict[bytes, float], rest: float, words: list[bytes]) -> list[tuple[int, int, float]]:
-    """scores: above 0; rest: below 0. All maximal-scoring segments (start, end, score) of a text, in order, in time linear in its words.
+def heads_of(scores: dict[bytes, float]) -> set[bytes]:
+    return {u[: STEMS[0]] for u in scores}
+
+
+def maximal_segments(scores: dict[bytes, float], rest: float, words: list[bytes], heads: set[bytes]) -> list[tuple[int, int, float]]:
+    """scores: above 0; rest: below 0; heads: heads_of(scores). All maximal-scoring segments (start, end, score) of a text, in order, in time linear in its words.
 
     A segment is maximal if no extension scores more and no proper part of it has as high a total. The
     stretches between scored words are runs of one negative score, so they are stepped over at once.
     """
-    hits = [i for i, w in enumerate(words) if w in scores]
+    hits = [i for i, w in enumerate(words) if w[: STEMS[0]] in heads]
     starts: list[int] = []
     ends: list[int] = []
     before: list[float] = []  # total score left of the segment
@@ -65,9 +77,12 @@ def maximal_segments(scores: dict[bytes, float], rest: float, words: list[bytes]
     lower: list[int] = []  # the nearest segment to the left with a smaller total before it
     total, at = 0.0, 0
     for i in hits:
+        s = max((scores[u] for u in units(words[i]) if u in scores), default=0.0)
+        if not s:
+            continue
         total += rest * (i - at)
         at = i + 1
-        left, s = total, scores[words[i]]
+        left = total
         total += s
         start = i
         while True:
@@ -91,7 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(as_text(batch), as_text(batch, "label"), strict=True):
-            found[label].update(set(words_of(text)))
+            found[label].update(set().union(*map(units, set(words_of(text)))))
         for label, counter in found.items():
             values = np.fromiter(counter.values(), np.int64, len(counter))
             zero = np.zeros_like(values)
@@ -100,13 +115,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _best(scores: dict[bytes, float], rest: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = heads_of(scores)
         for batch in batches:
             for part in slices(batch):
                 n, best = [], []
                 for text in as_text(part):
                     words = words_of(text)
                     n.append(len(words))
-                    best.append(max((s for _, _, s in maximal_segments(scores, rest, words)), default=0.0))
+                    best.append(max((s for _, _, s in maximal_segments(scores, rest, words, heads)), default=0.0))
                 yield pa.RecordBatch.from_arrays([*keep(part, names).values(), pa.array(n, pa.int64()), pa.array(best, pa.float64())], [*names, "n", "best"])
 
     return run
@@ -188,12 +204,13 @@ def passages(documents: DataFrame, model: ToxicityModel, least: float = 0.7) ->
     """Every significant toxic passage: doc_id, first_word, last_word (from 0), passage_score, probability, passage (its words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = heads_of(model.scores)
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc_id, text in zip(as_text(part, "doc_id"), as_text(part), strict=True):
                     words = words_of(text)
-                    for a, b, s in maximal_segments(model.scores, model.rest, words):
+                    for a, b, s in maximal_segments(model.scores, model.rest, words, heads):
                         if (p := model.probability(s, len(words))) >= least:
                             rows.append({"doc_id": doc_id, "first_word": a, "last_word": b - 1, "passage_score": s, "probability": p, "passage": b" ".join(words[a:b]).decode("utf-8", "replace")})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("passage_score", pa.float64()), ("probability", pa.float64()), ("passage", pa.string())]))
