@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import language_id, mixing, ngram_join, quality_rules, token_counts, toxicity
+from loreweave.llm import decontamination, language_id, mixing, ngram_join, quality_pairs, quality_rules, token_counts, toxicity
 from loreweave.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality_pairs.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"), F.coalesce(remainder("doc_id", 5) != 0, F.lit(False)))
+    scored = quality_pairs.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -97,13 +105,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
         "op3_quality_rules": op3_quality_rules,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_ngram_join": op7_ngram_join,
         "op8_token_counts": op8_token_counts,
+        "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
     }
 
