@@ -190,14 +190,33 @@ def train(documents: DataFrame, learnable: Column, docs_per_language: int = 400,
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_language / n))) for k, n in sorted(counts.items())])
     sample = rows.where(unit_hash("text", seed="language sample") < rate)
     # copies of one text all fall into the sample or none does: distinct() makes one of them
-    table = sample.mapInArrow(_training_windows(windows_per_doc), "lang string, window binary").distinct().toPandas()
-    table = table.sort_values(["lang", "window"])
-    table = table.groupby("lang", sort=True).head(8 * docs_per_language * windows_per_doc)
-    if not len(table):
+    table = sample.mapInArrow(_training_windows(windows_per_doc), "lang string, window binary").distinct()
+    # the sample is bounded: one task fits it, with that task's number of threads
+    fitted = table.repartition(1).mapInArrow(_fit(8 * docs_per_language * windows_per_doc, hidden, steps), "languages array<string>, name string, shape array<int>, value binary").collect()
+    if not fitted:
         return None
-    languages = sorted(table["lang"].unique())
-    index = {k: i for i, k in enumerate(languages)}
-    return BiGru(languages, hidden).fit([bytes(w) for w in table["window"]], [index[k] for k in table["lang"]], steps)
+    model = BiGru(fitted[0]["languages"], hidden)
+    model.p = {r["name"]: np.frombuffer(r["value"], np.float32).reshape(r["shape"]) for r in fitted}
+    return model
+
+
+def _fit(most: int, hidden: int, steps: int):
+    """Fits the network to (lang, window) rows, in an order that depends on their values only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_language: dict[str, list[bytes]] = {}
+        for batch in batches:
+            for lang, window in zip(as_text(batch, "lang"), as_text(batch, "window"), strict=True):
+                by_language.setdefault(lang, []).append(bytes(window))
+        languages = sorted(by_language)
+        if not languages:
+            return
+        rows = [(w, y) for y, k in enumerate(languages) for w in sorted(by_language[k])[:most]]
+        model = BiGru(languages, hidden).fit([w for w, _ in rows], [y for _, y in rows], steps)
+        names = list(model.p)
+        yield pa.RecordBatch.from_arrays([pa.array([languages] * len(names)), pa.array(names), pa.array([list(model.p[k].shape) for k in names], pa.list_(pa.int32())), pa.array([np.ascontiguousarray(model.p[k], np.float32).tobytes() for k in names], pa.binary())], ["languages", "name", "shape", "value"])
+
+    return run
 
 
 def _label(model: BiGru, names: list[str]):
