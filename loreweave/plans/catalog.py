@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loreweave.plans import governance, ingestion, relational, retrieval
+from loreweave.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (relational, retrieval, governance, ingestion)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for part in PARTS for k, f in part.PLANS.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.PLANS.sql.items()}
