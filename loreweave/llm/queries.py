@@ -68,7 +68,10 @@ WITH d AS (
          coalesce('=' || lang, 'null') AS lang_key, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS grp
   FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
-win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+tok AS (SELECT rid, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT rid, i, concat_ws(' ', t, t1, t2, t3, t4, t5, t6, t7) AS g FROM (
+  SELECT rid, i, t, lead(t, 1) OVER p AS t1, lead(t, 2) OVER p AS t2, lead(t, 3) OVER p AS t3, lead(t, 4) OVER p AS t4,
+         lead(t, 5) OVER p AS t5, lead(t, 6) OVER p AS t6, lead(t, 7) OVER p AS t7 FROM tok WINDOW p AS (PARTITION BY rid ORDER BY i)) WHERE t7 IS NOT NULL),
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
 cover AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 8)) AS k) GROUP BY rid),
 lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup

@@ -187,8 +187,8 @@ def train(documents: DataFrame, labels: DataFrame, learnable: Column, labelled_r
 def _score(model: ToxicityModel, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _best(model.scores, model.rest, names)(batches):
-            p = [model.probability(s, n) for s, n in zip(part.column("best").to_pylist(), part.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*keep(part, names).values(), pa.array(p, pa.float64())], [*names, "score"])
+            p = [model.probability(s, n) for s, n in zip(part.column(len(names) + 1).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(p, pa.float64())], [*names, "score"])
 
     return run
 
