@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -73,19 +74,24 @@ def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     at_root = F.col("_p").isNull()
     base = messages.join(known.withColumn("_p", F.lit(True)), ["tree", "parent"], "left")
     base = base.select("tree", "node", F.when(at_root, None).otherwise(F.col("parent")).alias("jump"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length"))
-    levels = [stored(base, "chat-jumps")]
-    while not levels[-1].where("jump is not null").isEmpty() and len(levels) < 40:
-        here, up = levels[-1], levels[-1].select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        further = here.join(up, ["tree", "jump"], "left").select("tree", "node", F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"))
-        levels.append(stored(further, "chat-jumps"))
-    parents = levels[0].where("jump is not null").select("tree", F.col("jump").alias("node")).distinct()
-    leaves = levels[-1].where("jump is null").join(parents, ["tree", "node"], "left_anti")
+    base = stored(base, "chat-jumps")
+    # a message that has reached its root is in no later round, but to be looked up
+    opened, closed = [base.where("jump is not null")], [base.where("jump is null")]
+    while not opened[-1].isEmpty() and len(opened) < 40:
+        known = reduce(DataFrame.unionByName, closed, opened[-1])
+        up = known.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
+        further = opened[-1].join(up, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"))
+        further = stored(further, "chat-jumps")
+        opened.append(further.where("jump is not null"))
+        closed.append(further.where("jump is null"))
+    parents = opened[0].select("tree", F.col("jump").alias("node")).distinct()
+    leaves = reduce(DataFrame.unionByName, closed).join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), F.desc("length"), "node"))
-    path = stored(leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("above")), "chat-paths")
-    for k, level in enumerate(levels[:-1]):
-        up = path.join(level.where("jump is not null").select("tree", "node", "jump"), ["tree", "node"])
-        path = stored(path.unionByName(up.select("tree", "leaf", "branch", F.col("jump").alias("node"), (F.col("above") + (1 << k)).alias("above"))), "chat-paths")
-    return path
+    paths = [stored(leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("above")), "chat-paths")]
+    for k, level in enumerate(opened[:-1]):
+        up = reduce(DataFrame.unionByName, paths).join(level.select("tree", "node", "jump"), ["tree", "node"])
+        paths.append(stored(up.select("tree", "leaf", "branch", F.col("jump").alias("node"), (F.col("above") + (1 << k)).alias("above")), "chat-paths"))
+    return reduce(DataFrame.unionByName, paths)
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
