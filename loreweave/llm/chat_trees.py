@@ -75,9 +75,10 @@ def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     base = messages.join(known.withColumn("_p", F.lit(True)), ["tree", "parent"], "left")
     base = base.select("tree", "node", F.when(at_root, None).otherwise(F.col("parent")).alias("jump"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length"))
     base = stored(base, "chat-jumps")
-    # a message that has reached its root is in no later round, but to be looked up
+    n = base.count()
+    # a message that has reached its root is in no later round, but to be looked up; what has more above it than there is, is in a cycle
     opened, closed = [base.where("jump is not null")], [base.where("jump is null")]
-    while not opened[-1].isEmpty() and len(opened) < 40:
+    while 1 << (len(opened) - 1) <= n and not opened[-1].isEmpty():
         known = reduce(DataFrame.unionByName, closed, opened[-1])
         up = known.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
         further = opened[-1].join(up, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"))
