@@ -143,7 +143,9 @@ SELECT count(*) AS positives, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELS
 FROM asked2 LEFT JOIN hits USING (query)""")
 def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    held = docs.join(F.broadcast(items.limit(10_000)), F.contains("text", "item")).select("query", "doc")  # the golden set is 10,000 items at most
+    if items.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 items in the golden set: pass them in parts")
+    held = docs.join(F.broadcast(items), F.contains("text", "item")).select("query", "doc")
     golden = items.select("query").join(held, "query", "left")
     asked = items.select("query", F.array_join(F.slice(F.split("item", " "), 1, 8), " ").alias("text"))
     ranked = R.top_k(R.bm25(R.postings(docs, "doc", ["text"]), asked, ["text"]), 20)

@@ -69,6 +69,20 @@ def test_vector_batches_match_columns(spark):
     assert {(r.query, r.doc, r["rank"]) for r in a} == {(r.query, r.doc, r["rank"]) for r in b}
 
 
+def test_vector_pairs_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i}", "hot" if i < 60 else f"g{i % 3}", rng.normal(size=3).tolist()) for i in range(90)]
+    rows += [("n1", "hot", None), ("n2", None, [1.0, 0.0, 0.0]), (None, "hot", [1.0, 0.0, 0.0]), ("z", "hot", [0.0, 0.0, 0.0]), ("short", "hot", [1.0, 0.0]), ("nan", "hot", [math.nan, 0.0, 0.0]), ("twin", "hot", rows[0][2])]
+    frame = spark.createDataFrame(rows, "uuid string, group_id string, vector array<double>")
+    cos = lambda x, y: np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-9)
+    whole = [r for r in rows if None not in r]
+    want = {(a[1], a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and a[1] == b[1] and len(a[2]) == len(b[2]) and cos(a[2], b[2]) >= 0.5}
+    for block in (7, 1024):
+        got = [(r.group_id, r.a, r.b) for r in dedup.vector_pairs(frame, 0.5, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert dedup.vector_pairs(frame.where("false"), 0.5).count() == 0
+
+
 def test_rrf_and_fused_order(spark):
     one = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query int, doc int, rank int")
     two = spark.createDataFrame([(1, 12, 1), (1, 10, 2)], "query int, doc int, rank int")
