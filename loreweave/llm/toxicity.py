@@ -2,9 +2,11 @@
 
 A word is known by itself and by its beginnings of STEMS bytes, so that the inflections of a stem count
 together. Each of these has log-odds between toxic and clean training texts under a Dirichlet prior
-proportional to its overall frequency. Those significantly likelier in toxic texts, by a factor of
-least_ratio at least, keep them: smaller differences come from a text's topic or language. A word scores
-as the best of its own; all words without one share one slightly negative score. A linear-time scan finds every maximal-scoring segment of a text. The best segment's
+proportional to its overall frequency. Those likelier in toxic texts by a factor of least_ratio at least
+keep them: smaller differences come from a text's topic or language. Chance is no yes or no: the odds are
+weighed by the probability that the counts aren't those of a common word, so that few training texts give
+low scores and not none. A word scores as the best of its own; all words without one share one slightly
+negative score. A linear-time scan finds every maximal-scoring segment of a text. The best segment's
 score S in a text of n words is calibrated as an extreme value: E = K n exp(-lambda S) is the number of
 segments as good that clean text yields for each toxic one, and the document's score is 1 / (1 + E).
 
@@ -45,7 +47,7 @@ def units(word: bytes) -> set[bytes]:
 
 @dataclass
 class ToxicityModel:
-    """scores: of significant words and beginnings; rest: of any other word; decay, size: lambda and K; base: without a segment."""
+    """scores: of words and beginnings that are likelier in toxic texts; rest: of any other word; decay, size: lambda and K; base: without a segment."""
 
     scores: dict[bytes, float] = field(default_factory=dict)
     rest: float = -0.01
@@ -143,7 +145,23 @@ def fit_extreme_values(best: np.ndarray, n: np.ndarray, toxic: np.ndarray, round
     return float(max(w[0], 1e-3)), float(np.exp(np.clip(w[1], -50, 50)))
 
 
-def train(documents: DataFrame, labels: DataFrame, learnable: Column, labelled_rows: int = 20_000, prior_share: float = 0.1, least_z: float = 5.0, least_ratio: float = 4.0) -> ToxicityModel:
+def marked(toxic: np.ndarray, clean: np.ndarray, times: np.ndarray, share: float, rounds: int = 60) -> np.ndarray:
+    """How likely words with these counts of toxic and clean texts are marks of toxic ones; times: words with these counts.
+
+    Common words are in toxic texts at the share of these, marks at a share that is Beta(2, 1/2)
+    distributed. How many words are marks is fitted to all counts.
+    """
+    beta = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    common = toxic * math.log(share) + clean * math.log(1 - share)
+    mark = np.array([beta(a + 2, b + 0.5) - beta(2, 0.5) for a, b in zip(toxic.tolist(), clean.tolist(), strict=True)])
+    marks, p = 0.01, np.zeros(len(times))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(math.log(marks / (1 - marks)) + mark - common, -60, 60)))
+        marks = min(max(1e-6, float((p * times).sum() / times.sum())), 1 - 1e-6)
+    return p
+
+
+def train(documents: DataFrame, labels: DataFrame, learnable: Column, labelled_rows: int = 20_000, prior_share: float = 0.1, least_ratio: float = 4.0) -> ToxicityModel:
     """A model from labels (doc_id, toxic) of the learnable rows: about labelled_rows of them at most, half of each class."""
     known = labels.where(learnable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -164,9 +182,13 @@ def train(documents: DataFrame, labels: DataFrame, learnable: Column, labelled_r
         prior = prior_total * (F.col("y1") + F.col("y0")) / (n1 + n0)
         odds = lambda y, n: F.log((y + prior) / (n + prior_total - y - prior))
         scored = words.withColumn("score", odds(F.col("y1"), n1) - odds(F.col("y0"), n0))
-        scored = scored.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
+        # the pairs of counts that occur, far fewer than words
+        pairs = words.groupBy("y1", "y0").count().sort("y1", "y0").toPandas()
+        pairs["p"] = marked(*(pairs[c].to_numpy(float) for c in ("y1", "y0", "count")), n1 / (n1 + n0))
+        weights = documents.sparkSession.createDataFrame(pairs[["y1", "y0", "p"]], "y1 long, y0 long, p double")
+        scored = scored.where(F.col("score") >= math.log(least_ratio)).join(F.broadcast(weights), ["y1", "y0"])
         # words of the bounded sample only
-        significant = scored.where((F.col("z") >= least_z) & (F.col("score") >= math.log(least_ratio))).select("word", "y1", "y0", "score").collect()
+        significant = scored.select("word", "y1", "y0", F.log1p(F.col("p") * (F.exp("score") - 1)).alias("score")).collect()
         words.unpersist()
         scores = {bytes(r["word"]): float(r["score"]) for r in sorted(significant, key=lambda r: bytes(r["word"]))}
         y1, y0 = sum(r["y1"] for r in significant), sum(r["y0"] for r in significant)

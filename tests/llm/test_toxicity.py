@@ -1,10 +1,13 @@
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loreweave.llm import toxicity as X
+from loreweave.llm.queries import queries
 from tests.llm import cases
 
 
@@ -57,3 +60,23 @@ def test_edge_cases(spark):
     assert not none.scores and X.score(cases.empty(spark), none).count() == 0
     odd = spark.createDataFrame([(None, 1), (1, None), (2, 5)], "doc_id long, toxic int")
     assert not X.train(docs, odd, F.lit(True)).scores
+
+
+def test_learns_from_few_labels(spark):
+    docs, labels = _corpus(spark)
+    model = X.train(docs, labels, F.col("doc_id") < 40)  # ten toxic texts
+    out = {r.doc_id: r.score for r in X.score(docs.where("doc_id >= 300"), model, ["doc_id"]).collect()}
+    assert sum(s >= 0.7 for i, s in out.items() if i % 4 == 0) == 25
+    assert sum(s >= 0.7 for i, s in out.items() if i % 4) == 0
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 15), ("sf0.1", 130)])
+def test_recall_of_toxic_texts(spark, sf, least):
+    folder = f"/root/testdata/{sf}"
+    if not Path(folder).exists():
+        pytest.skip("the driver's tables are not here")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in queries()["op5_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
+    found, wrong, clean = (sum(f(r) for r in rows) for f in (lambda r: r.predicted and labels[r.doc_id] == 1, lambda r: r.predicted and labels[r.doc_id] == 0, lambda r: labels[r.doc_id] == 0))
+    print(sf, found, wrong, clean)
+    assert found >= least and wrong <= 0.01 * clean
