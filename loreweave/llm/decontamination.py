@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A test item's seeds are the n-grams that are rarest in the corpus among WINDOW neighbouring ones, so each
-stretch of WINDOW + GRAM - 1 unedited words holds a seed, also where an item is common as a whole. Where a
-text has a seed, the words around it are aligned with the item (a match counts 1, a substitution, insertion
-or deletion -1); the best local score by the item's words is the score of the pair. Items reach the tasks
-in blocks of BLOCK_WORDS words, with one pass over the corpus for each block.
+A test item's seeds are all its n-grams, since an edited copy may hold any of them and lack the others, the
+rarest ones too. Where a text has a seed, the words around it are aligned with the item (a match counts 1,
+a substitution, insertion or deletion -1), if they have words enough in common with it that the score can
+reach the threshold; the best local score by the item's words is the score of the pair. Only pairs without
+GRAM common words in a row have no seed: a score of a half needs some, but for items of six words at most
+and copies with a word inserted after every second one. Items reach the tasks in blocks of BLOCK_WORDS
+words, with one pass over the corpus for each block.
 
 Defined results: case and punctuation don't count; a null or empty text or item matches nothing; equal
 items and repeated rows give a match each; an empty table gives no rows; further columns are ignored.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.common import as_text, keep, slices
 
-GRAM, WINDOW = 3, 6
+GRAM = 3
 BLOCK_WORDS = 200_000
 #: All bytes that are neither letters nor digits in ASCII become spaces.
 ALNUM_ONLY = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -66,16 +68,21 @@ def smith_waterman(item: list[bytes], region: list[bytes]) -> tuple[int, int, in
 class Matcher:
     """Finds the items of a block that a text holds."""
 
-    def __init__(self, items: list[tuple], frequency: dict[tuple, int], threshold: float):
+    def __init__(self, items: list[tuple], threshold: float):
         self.items, self.threshold = items, threshold
+        self.counts = [Counter(words) for _, words in items]
         self.seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words) in enumerate(items):
-            found = list(grams(words, min(GRAM, len(words))))
-            rank = [(frequency.get(g, 0), i) for i, g in enumerate(found)]
-            for i in sorted({min(rank[j : j + WINDOW])[1] for j in range(max(1, len(rank) - WINDOW + 1))}):
-                self.seeds[found[i]].append((k, i))
+            for i, g in enumerate(grams(words, min(GRAM, len(words)))):
+                self.seeds[g].append((k, i))
         self.lengths = sorted({len(g) for g in self.seeds})
 
+    def _common(self, k: int, region: list[bytes]) -> int:
+        """How many words of the item the region has: no alignment scores more."""
+        count = self.counts[k]
+        seen = Counter(w for w in region if w in count)
+        return sum(min(n, count[w]) for w, n in seen.items())
+
     def matches(self, words: list[bytes]) -> list[tuple]:
         """(item_id, score, first word, last word) of each item with a score of threshold at least."""
         seeds, hits = self.seeds, defaultdict(list)
@@ -90,10 +97,13 @@ class Matcher:
             if exact is not None:
                 out.append((item_id, 1.0, exact, exact + len(item) - 1))
                 continue
-            slack, best = len(item) // 4 + 2, (0, 0, 0)
+            # an alignment that reaches the threshold has no more edits than this
+            slack, best = int((1 - self.threshold) * len(item)) + 1, (0, 0, 0)
             regions: list[list[int]] = []
             for s in sorted(set(starts)):
                 lo, hi = max(0, s - slack), s + len(item) + slack
+                if self._common(k, words[lo:hi]) < self.threshold * len(item):
+                    continue
                 if regions and lo <= regions[-1][1]:
                     regions[-1][1] = max(hi, regions[-1][1])
                 else:
@@ -106,36 +116,15 @@ class Matcher:
         return out
 
 
-def _frequencies(wanted: dict[tuple, int]):
-    """In how many texts of the task each wanted n-gram occurs."""
-    lengths = sorted({len(g) for g in wanted})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch):
-                for text in as_text(part):
-                    words = words_of(text)
-                    for n in lengths:
-                        seen.update({g for g in grams(words, n) if g in wanted})
-        yield pa.RecordBatch.from_arrays([pa.array([wanted[g] for g in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["gram", "texts"])
-
-    return run
-
-
-def matchers(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Iterator[Matcher]:
+def matchers(benchmark: DataFrame, threshold: float = 0.5) -> Iterator[Matcher]:
     """One matcher for each block of test items (item_id, text)."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / 2 / BLOCK_WORDS))  # a word has two characters at least, with its space
     for k in range(blocks):
         mine = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text")
         items = sorted(((r["item_id"], words) for r in mine.collect() if (words := words_of(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        wanted = {g: i for i, g in enumerate(sorted({g for _, words in items for g in grams(words, min(GRAM, len(words)))}))}
-        if not wanted:
-            continue
-        counts = documents.select("text").mapInArrow(_frequencies(wanted), "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
-        by_id = {r["gram"]: r["texts"] for r in counts.collect()}  # one row for each n-gram of the block
-        yield Matcher(items, {g: by_id.get(i, 0) for g, i in wanted.items()}, threshold)
+        if items:
+            yield Matcher(items, threshold)
 
 
 def find(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -153,7 +142,7 @@ def find(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) ->
         return run
 
     out = ids.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long")
-    for matcher in matchers(documents, benchmark.withColumn("item_id", F.col("item_id").cast("long")), threshold):
+    for matcher in matchers(benchmark.withColumn("item_id", F.col("item_id").cast("long")), threshold):
         out = out.unionByName(ids.mapInArrow(searched(matcher), out.schema))
     return out
 
@@ -171,6 +160,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float =
         return run
 
     names, out = documents.columns, documents
-    for matcher in matchers(documents, benchmark, threshold):
+    for matcher in matchers(benchmark, threshold):
         out = out.mapInArrow(kept(matcher), documents.schema)
     return out

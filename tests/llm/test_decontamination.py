@@ -52,6 +52,27 @@ def test_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(60) if i % 3]
 
 
+def test_items_that_are_there_as_edited_copies_only(spark):
+    rng, items, docs = random.Random(6), [(k, cases.words(n, 900 + k)) for k, n in enumerate((15, 25, 40, 42, 42) * 6)], []
+    for k, item in items:
+        for copy in range(4):
+            words = item.split()
+            every = 7 + copy % 2
+            for i, _ in enumerate(words):
+                if (i % every == every - 1) if k % 5 > 2 else rng.random() < 0.1 + 0.05 * copy:
+                    words[i : i + 1] = [f"edited{i}"] if k % 3 else [words[i], f"edited{i}"]
+            docs.append((len(docs), f"{cases.words(30, 5000 + len(docs))} {' '.join(words)} {cases.words(30, 6000 + len(docs))}"))
+    got = {(r.doc_id, r.item_id): r.score for r in C.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for k, item in items:
+        words = C.words_of(item)
+        for d, text in docs:
+            if (s := C.smith_waterman(words, C.words_of(text))[0]) >= 0.5 * len(words):
+                want[(d, k)] = s / len(words)
+    print(len(want), len(got))
+    assert got == pytest.approx(want) and len(want) > 100
+
+
 def test_common_items_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_WORDS", 30)
     items = _items()
