@@ -1,10 +1,10 @@
-"""Similarity join on word shingles: an LSH forest of MinHash signatures, verified exactly.
+"""Similarity join on word shingles: fixed bands of MinHash signatures, verified exactly.
 
 Texts become sets of runs of SHINGLE words (characters other than space and \\t to \\r); a shorter text
-with a word is one run. Equal texts are one class member to start with. Each of TREES tries sorts the
-texts by a signature of up to DEPTH minima; the length of the prefix that must match is shortened until
-pairs at the threshold are found with the target recall. Texts that share a prefix in some trie are linked
-to the first of them, and connected ones form a pool. In each pool the similarity of every pair is
+with a word is one run. Equal texts are one class member to start with. Each of TREES bands is
+a signature of up to DEPTH minima; their number is the same for all texts, the largest at which pairs at the
+threshold are found with the target recall. Texts that share a band are linked to the first of them, and
+connected ones form a pool. In each pool the similarity of every pair is
 computed from whole shingle sets, as products of matrices over blocks of texts; pairs aren't emitted: a
 block gives each text's number of links and a spanning forest of them.
 
