@@ -1,23 +1,27 @@
 """Quality rules whose limits follow the data.
 
-Each text yields counts over its words (runs of characters other than space and \\t to \\r) and shares in
-thousandths. A group (lang, source) has for each share a sketch of its distribution: counts of integer
-values, which merge by addition. Its upper fence is the third quartile plus FENCE times the distance of
-the quartiles plus SLACK. A group with fewer texts than SUPPORT takes the merged sketch of its language,
-and a language with fewer that of all texts. Fences are joined to the texts of their group.
+Each text yields counts over its words (runs of characters other than space and \\t to \\r) and measures:
+shares in thousandths and the mean length of a word in hundredths. A group (lang, source) has for each
+measure a quantile sketch: counts of buckets that are exact up to 2 * STEPS and then STEPS to each power of
+two, so that a quantile is off by 1 / STEPS of itself at most, and sketches merge by adding counts. A measure's
+upper limit is Q(level) + reach * (Q(level) - median) of its group, and if both ends count the lower limit
+lies as far beyond Q(1 - level): nothing but the group's own distribution sets a limit. A group with fewer
+texts than SUPPORT takes the merged sketch of its language, and a language with fewer that of all texts.
+Limits are joined to the texts of their group; a text in the bucket of the limit is kept.
 
 Defined results: a null or empty text has no words and fails; texts without words are in no sketch; null
-lang or source is a group of its own; ties and repeated rows are judged alike; an empty table gives no
-rows; further columns are ignored.
+lang or source is a group of its own; ties and repeated rows are judged alike; texts of any length are read
+whole; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,9 +30,26 @@ from loreweave.llm.common import as_bytes, join_unique, keep, slices, stored
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Words of a window that counts as repeated.
 SPAN = 8
-FENCE, SUPPORT = 3, 200
-#: Thousandths that a share may always be over the fence, so that uniform groups don't reject each small difference.
-SLACK = {"symbol_share": 60, "dup_line_share": 200, "repeat_share": 100}
+SUPPORT = 200
+#: Buckets of a sketch for each power of two.
+STEPS = 128
+
+
+@dataclass(frozen=True)
+class Rule:
+    """level: the quantile, in thousandths, from which on texts are unusual; reach: how far beyond it they may be; both: low values are unusual too."""
+
+    level: int
+    reach: int
+    both: bool = False
+
+
+RULES = {
+    "symbol_share": Rule(900, 1),
+    "dup_line_share": Rule(990, 0),
+    "repeat_share": Rule(990, 0),
+    "word_length": Rule(750, 8, True),
+}
 
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -81,47 +102,60 @@ def _measure(names: list[str]):
     return run
 
 
+def bucket(value: str) -> Column:
+    """The least value of the bucket that a number of 0 or more falls into."""
+    shift = f"length(bin({value})) - {STEPS.bit_length()}"
+    return F.expr(f"CASE WHEN {value} < {2 * STEPS} THEN {value} ELSE shiftleft(shiftright({value}, {shift}), {shift}) END")
+
+
 def measure(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns with the counts, base_failed, and the shares in thousandths (null without words)."""
+    """The given columns with the counts, base_failed, and the measures as buckets (null without words)."""
     schema = documents.select(columns).schema
     for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"):
         schema = schema.add(c, "long")
-    share = lambda part, whole: F.when(F.col("n_words") > 0, (1000 * F.col(part) - (1000 * F.col(part)) % F.col(whole)) / F.col(whole)).cast("long")
+    per = lambda part, whole, unit: F.when(F.col("n_words") > 0, F.expr(f"{unit} * {part} div {whole}"))
     counted = documents.select(*columns, "text").mapInArrow(_measure(columns), schema)
-    return counted.withColumns({
+    measured = counted.withColumns({
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        "symbol_share": share("n_symbols", "word_chars"),
-        "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"),
+        "symbol_share": per("n_symbols", "word_chars", 1000),
+        "dup_line_share": per("n_dup_lines", "n_lines", 1000),
+        "repeat_share": per("n_repeat_words", "n_words", 1000),
+        "word_length": per("word_chars", "n_words", 100),
     })
+    return measured.withColumns({m: bucket(m) for m in RULES})
 
 
-def fences(measured: DataFrame) -> DataFrame:
-    """Group and the upper fence of each share, from the merged sketches."""
-    tagged = measured.where("n_words > 0")
-    longer = tagged.select("group", "lang_key", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in SLACK])).alias("x"))
+def limits(measured: DataFrame) -> DataFrame:
+    """Group and the lower and upper limit of each measure, from the merged sketches."""
+    by_group = lambda: F.array(F.struct(F.lit(1).alias("level"), F.col("group").alias("of")), F.struct(F.lit(2).alias("level"), F.col("lang_key").alias("of")), F.struct(F.lit(3).alias("level"), F.lit("").alias("of")))
+    longer = measured.where("n_words > 0").select("group", "lang_key", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in RULES])).alias("x"))
     sketch = longer.groupBy("group", "lang_key", "x.measure", "x.value").count()
-    levels = F.array(F.struct(F.lit(1).alias("level"), F.col("group").alias("of")), F.struct(F.lit(2).alias("level"), F.col("lang_key").alias("of")), F.struct(F.lit(3).alias("level"), F.lit("").alias("of")))
-    merged = sketch.select(F.explode(levels).alias("l"), "measure", "value", "count").groupBy("l.level", "l.of", "measure", "value").agg(F.sum("count").alias("n"))
+    merged = sketch.select(F.explode(by_group()).alias("l"), "measure", "value", "count").groupBy("l.level", "l.of", "measure", "value").agg(F.sum("count").alias("n"))
+    # a sketch has some hundred buckets at most, however many texts it counts
     by = W.partitionBy("level", "of", "measure")
     ranked = merged.withColumns({"up_to": F.sum("n").over(by.orderBy("value")), "total": F.sum("n").over(by)})
-    at = lambda q: F.min(F.when(4 * F.col("up_to") >= q * F.col("total"), F.col("value")))
-    quartiles = ranked.groupBy("level", "of", "measure").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3")).where((F.col("total") >= SUPPORT) | (F.col("level") == 3))
-    slack = F.coalesce(*[F.when(F.col("measure") == m, F.lit(s)) for m, s in SLACK.items()])
-    limits = quartiles.select("level", "of", "measure", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack).alias("fence"))
+    rule = lambda f: F.coalesce(*[F.when(F.col("measure") == m, F.lit(f(r))) for m, r in RULES.items()])
+    at = lambda q: F.min(F.when(1000 * F.col("up_to") >= q * F.col("total"), F.col("value")))
+    quantiles = ranked.groupBy("level", "of", "measure").agg(F.max("total").alias("total"), at(F.lit(500)).alias("middle"), at(rule(lambda r: r.level)).alias("high"), at(rule(lambda r: 1000 - r.level)).alias("low"))
+    reach, both = rule(lambda r: r.reach), rule(lambda r: r.both)
+    limit = F.struct(
+        F.when(both, F.col("low") - reach * (F.col("middle") - F.col("low"))).otherwise(0).alias("least"),
+        (F.col("high") + reach * (F.col("high") - F.col("middle"))).alias("most"),
+    )
+    supported = quantiles.where((F.col("total") >= SUPPORT) | (F.col("level") == 3)).select("level", "of", "measure", limit.alias("limit"))
     # a row for each group and level that applies to it; the narrowest level with support wins
-    wanted = sketch.select("group", "lang_key").distinct().select("group", F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("group").alias("of")), F.struct(F.lit(2).alias("level"), F.col("lang_key").alias("of")), F.struct(F.lit(3).alias("level"), F.lit("").alias("of")))).alias("l")).select("group", "l.level", "l.of")
-    best = wanted.join(limits, ["level", "of"]).groupBy("group", "measure").agg(F.min_by("fence", "level").alias("fence"))
-    return best.groupBy("group").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_fence") for m in SLACK])
+    wanted = sketch.select("group", "lang_key").distinct().select("group", F.explode(by_group()).alias("l")).select("group", "l.level", "l.of")
+    best = wanted.join(supported, ["level", "of"]).groupBy("group", "measure").agg(F.min_by("limit", "level").alias("limit"))
+    return best.groupBy("group").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"{m}_limit") for m in RULES])
 
 
 def judge(documents: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns of documents, the counts and shares, the fences of the text's group, base_failed and kept."""
+    """The given columns of documents, the counts and measures, the limits of the text's group, base_failed and kept."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     source = documents.select(*[F.col(c) for c in columns], "text", key("lang").alias("lang_key"), F.concat_ws("\u0001", key("lang"), key("source")).alias("group"))
     measured = stored(measure(source, [*columns, "lang_key", "group"]), "quality-measures")
-    judged = join_unique(measured, fences(measured), "group", measured.count(), "left")
+    judged = join_unique(measured, limits(measured), "group", measured.count(), "left")
     within = F.lit(True)
-    for m in SLACK:
-        within &= F.coalesce(F.col(m) <= F.col(f"{m}_fence"), F.lit(True))
+    for m in RULES:
+        within &= F.coalesce(F.col(m).between(F.col(f"{m}_limit.least"), F.col(f"{m}_limit.most")), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & within)

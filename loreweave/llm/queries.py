@@ -62,7 +62,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
-OP3_SQL = """
+#: The bucket of a sketch: exact up to 256, then 128 to each power of two.
+BUCKET_SQL = "CASE WHEN {0} < 256 THEN {0} ELSE ({0} >> (length(bin({0})) - 8)) << (length(bin({0})) - 8) END"
+
+OP3_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          coalesce('=' || lang, 'null') AS lang_key, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS grp
@@ -81,27 +84,26 @@ m AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(cover.n, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (rid) LEFT JOIN cover USING (rid)),
-s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-        CASE WHEN n_words > 0 THEN 1000 * n_symbols // word_chars END AS symbol_share,
-        CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_line_share,
-        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_share FROM m),
-v AS (SELECT grp, lang_key, 'symbol_share' AS measure, symbol_share AS value FROM s WHERE n_words > 0
-      UNION ALL SELECT grp, lang_key, 'dup_line_share', dup_line_share FROM s WHERE n_words > 0
-      UNION ALL SELECT grp, lang_key, 'repeat_share', repeat_share FROM s WHERE n_words > 0),
+r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        CASE WHEN n_words > 0 THEN 1000 * n_symbols // word_chars END AS s1, CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_lines END AS s2,
+        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS s3, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS s4 FROM m),
+s AS (SELECT *, {BUCKET_SQL.format("s1")} AS m1, {BUCKET_SQL.format("s2")} AS m2, {BUCKET_SQL.format("s3")} AS m3, {BUCKET_SQL.format("s4")} AS m4 FROM r),
+v AS (SELECT grp, lang_key, unnest([1, 2, 3, 4]) AS measure, unnest([m1, m2, m3, m4]) AS value FROM s WHERE n_words > 0),
 l AS (SELECT 1 AS level, grp AS of_, measure, value FROM v UNION ALL SELECT 2, lang_key, measure, value FROM v UNION ALL SELECT 3, '', measure, value FROM v),
 h AS (SELECT level, of_, measure, value, sum(count(*)) OVER (PARTITION BY level, of_, measure ORDER BY value) AS up_to,
              sum(count(*)) OVER (PARTITION BY level, of_, measure) AS total FROM l GROUP BY level, of_, measure, value),
-q AS (SELECT level, of_, measure, max(total) AS total, min(value) FILTER (WHERE 4 * up_to >= total) AS q1, min(value) FILTER (WHERE 4 * up_to >= 3 * total) AS q3
-      FROM h GROUP BY level, of_, measure),
-f AS (SELECT level, of_, measure, q3 + 3 * (q3 - q1) + CASE measure WHEN 'symbol_share' THEN 60 WHEN 'dup_line_share' THEN 200 ELSE 100 END AS fence
+k AS (SELECT * FROM (VALUES (1, 900, 1, false), (2, 990, 0, false), (3, 990, 0, false), (4, 750, 8, true)) AS k(measure, permille, reach, both_ends)),
+q AS (SELECT level, of_, measure, reach, both_ends, max(total) AS total, min(value) FILTER (WHERE 1000 * up_to >= 500 * total) AS mid,
+             min(value) FILTER (WHERE 1000 * up_to >= permille * total) AS hi, min(value) FILTER (WHERE 1000 * up_to >= (1000 - permille) * total) AS lo
+      FROM h JOIN k USING (measure) GROUP BY level, of_, measure, reach, both_ends),
+f AS (SELECT level, of_, measure, CASE WHEN both_ends THEN lo - reach * (mid - lo) ELSE 0 END AS least, hi + reach * (hi - mid) AS most
       FROM q WHERE total >= 200 OR level = 3),
 g AS (SELECT DISTINCT grp, lang_key FROM v),
-a AS (SELECT grp, measure, min_by(fence, level) AS fence FROM (
+a AS (SELECT grp, measure, min_by(least, level) AS least, min_by(most, level) AS most FROM (
         SELECT g.grp, f.* FROM g JOIN f ON (f.level = 1 AND f.of_ = g.grp) OR (f.level = 2 AND f.of_ = g.lang_key) OR f.level = 3) GROUP BY grp, measure),
-p AS (SELECT grp, max(fence) FILTER (WHERE measure = 'symbol_share') AS f1, max(fence) FILTER (WHERE measure = 'dup_line_share') AS f2,
-             max(fence) FILTER (WHERE measure = 'repeat_share') AS f3 FROM a GROUP BY grp)
+p AS (SELECT grp, {', '.join(f"max(least) FILTER (WHERE measure = {i}) AS a{i}, max(most) FILTER (WHERE measure = {i}) AS b{i}" for i in range(1, 5))} FROM a GROUP BY grp)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(symbol_share <= f1, true) AND coalesce(dup_line_share <= f2, true) AND coalesce(repeat_share <= f3, true) AS kept
+       NOT base_failed AND {' AND '.join(f"coalesce(m{i} BETWEEN a{i} AND b{i}, true)" for i in range(1, 5))} AS kept
 FROM s LEFT JOIN p USING (grp)
 """
 
