@@ -2,14 +2,19 @@
 
 A piece of the tokenizer never holds a space after another character, so a text falls apart into
 pre-tokens (a run of spaces and the non-spaces after it) that are tokenised independently of each other.
-Each text becomes its pre-tokens' frequencies. Common pre-tokens, at most `common` of them, are counted
-once on the executors and sent to all tasks; every other pre-token is brought together with its
-per-document frequencies in one partition, counted once there, and the products are summed per document.
-Which pre-tokens are common is read from a sample and changes the speed only.
+Texts are taken in slices of some megabytes. A slice becomes one row for each distinct pre-token of it,
+with the texts that hold it and how often: a hot pre-token is a row for each slice and not for each text.
+The distinct pre-tokens of all slices are counted once each, their pieces are joined to the slices' rows, and
+a slice's products are summed in one place. A bounded number of common pre-tokens (`common`) goes another
+way: they are counted once before, sent to all tasks, and summed at once. Which are common is read from a
+sample and changes the speed only.
+
+Slices are written to the shared folder before they are used: a lost executor can't deal the texts to
+other slices. A pre-token of more than SHORT bytes is joined by its 128-bit digest.
 
 Defined results: a null or empty text has no tokens and no bytes; a text without spaces is one pre-token
-of any length; rows with the same id are kept apart (equal ones give equal rows); an empty table gives no
-rows; further columns are ignored.
+of any length; every row has its own place in a slice, so null ids, repeated rows and different texts of
+one id keep apart; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,32 +22,43 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from hashlib import md5
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import as_text, slices, unit_hash
+from loreweave.llm.common import as_text, join_unique, slices, stored, unit_hash
 
 #: The tokenizer's sign for a space.
 SPACE = "▁"
-#: Distinct pre-tokens that a task remembers.
-REMEMBERED = 300_000
+#: Bytes up to which a pre-token is its own key.
+SHORT = 24
+#: Texts on which a vocabulary's treatment of spaces is tried.
+PROBES = ("a", " a", "a ", "a b", "a  b", "  a", "a   ", " ", "   ", "a\tb", "a\n b", "▁a", "a▁b", "Ab c1 ß", "x　y z", " a b", "ﬁ ½ x", "é b")
 
 
 def load(model: bytes):
+    """The tokenizer, if its pre-tokens are independent: pieces stay between spaces and no normalisation changes a space."""
     import sentencepiece
 
     tokenizer = sentencepiece.SentencePieceProcessor(model_proto=model)
     if any(re.search(f"[^{SPACE}]{SPACE}", tokenizer.id_to_piece(i)) for i in range(tokenizer.get_piece_size())):
         raise ValueError("this vocabulary has pieces that go beyond a space: pre-tokens depend on each other")
+    check(tokenizer)
     return tokenizer
 
 
+def check(tokenizer) -> None:
+    """Raises for a vocabulary that joins, drops or adds spaces: its texts aren't the sum of their pre-tokens."""
+    for text in PROBES:
+        if len(tokenizer.encode(text)) != sum(count_pieces(tokenizer, w) for w in pre_tokens(text)):
+            raise ValueError(f"this vocabulary treats the spaces of {text!r} in another way than pre-tokens do")
+
+
 def pre_tokens(text: str) -> list[str]:
     """The pre-tokens of a text, each without its first space, which the tokenizer adds again.
 
@@ -71,12 +87,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pre_token", "n"])
 
 
-def _counted_once(model: bytes):
+def _counted(model: bytes, *carried: str):
+    """The carried columns with the pieces of pre_token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(model)
         for batch in batches:
             words = as_text(batch, "pre_token")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count_pieces(tokenizer, w) for w in words], pa.int32())], ["pre_token", "pieces"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carried), pa.array([count_pieces(tokenizer, w) for w in words], pa.int32())], [*carried, "pieces"])
 
     return run
 
@@ -88,80 +106,97 @@ def common_pre_tokens(documents: DataFrame, model: bytes, common: int, sampled_r
     seen = sample.mapInArrow(_frequencies, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
     # long ones are rare and would make the broadcast large: at most 64 bytes each
     top = seen.where((F.col("n") > 1) & (F.octet_length("pre_token") <= 64)).orderBy(F.desc("n"), "pre_token").limit(common).select("pre_token")
-    table = top.mapInArrow(_counted_once(model), "pre_token string, pieces int").toArrow()
+    table = top.mapInArrow(_counted(model, "pre_token"), "pre_token string, pieces int").toArrow()
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
 
 
-ROWS = "doc_id long, digest int, n_bytes long, tokens long, row_count long"
+#: A slice's own row has its texts' ids, bytes and common tokens; the others have a pre-token, the texts that hold it and how often.
+SLICED = pa.schema([
+    ("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())),
+    ("key", pa.binary()), ("pre_token", pa.string()), ("places", pa.binary()), ("times", pa.binary()),
+])
+SLICED_DDL = "slice long, doc_ids array<long>, n_bytes array<long>, tokens array<long>, key binary, pre_token string, places binary, times binary"
+
 
+def _key(pre_token: str) -> bytes:
+    raw = pre_token.encode("utf-8", "surrogatepass")
+    # no UTF-8 begins with 0xff
+    return raw if len(raw) <= SHORT else b"\xff" + md5(raw, usedforsecurity=False).digest()
 
-def _split(common: dict[str, int]):
-    """A row for each text, with the tokens of its common pre-tokens, and one for each other pre-token of it."""
 
+def _sliced(common: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = common.get
+        task, get = TaskContext.get(), common.get
+        number = (task.partitionId() if task else 0) << 32
         for batch in batches:
             for part in slices(batch):
-                ids, digests = as_text(part, "doc_id"), as_text(part, "digest")
-                head: dict[str, list] = {"doc_id": ids, "digest": digests, "n_bytes": [], "tokens": [], "row_count": [1] * len(ids), "pre_token": [None] * len(ids), "n": [None] * len(ids)}
-                rest: list[str] = []
-                rest_n: list[int] = []
-                rows: list[int] = []
+                ids, n_bytes, tokens = as_text(part, "doc_id"), [], []
+                places: dict[str, list[int]] = {}
+                times: dict[str, list[int]] = {}
                 for i, text in enumerate(as_text(part)):
                     text = text or ""
                     words = pre_tokens(text)
                     pieces = list(map(get, words))
-                    other = Counter(w for w, k in zip(words, pieces, strict=True) if k is None)
-                    head["tokens"].append(sum(filter(None, pieces)))
-                    head["n_bytes"].append(len(text.encode()))
-                    rest += other
-                    rest_n += other.values()
-                    rows += repeat(i, len(other))
-                at = np.array(rows, np.int64)
+                    tokens.append(sum(filter(None, pieces)))
+                    n_bytes.append(len(text.encode()))
+                    for w, n in Counter(w for w, k in zip(words, pieces, strict=True) if k is None).items():
+                        if w in places:
+                            places[w].append(i)
+                            times[w].append(n)
+                        else:
+                            places[w], times[w] = [i], [n]
+                yield pa.RecordBatch.from_pydict({"slice": [number], "doc_ids": [ids], "n_bytes": [n_bytes], "tokens": [tokens], "key": [None], "pre_token": [None], "places": [None], "times": [None]}, schema=SLICED)
+                small = [len(ids) < 1 << 16, max(map(max, times.values()), default=0) < 1 << 16]
+                # two bytes a number where they do; the first byte tells the width
+                of = [np.uint16 if s else np.uint32 for s in small]
                 out = {
-                    "doc_id": pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(ids, pa.int64()).take(pa.array(at))]),
-                    "digest": pa.concat_arrays([pa.array(digests, pa.int32()), pa.array(digests, pa.int32()).take(pa.array(at))]),
-                    "n_bytes": pa.concat_arrays([pa.array(head["n_bytes"], pa.int64()), pa.nulls(len(at), pa.int64())]),
-                    "tokens": pa.concat_arrays([pa.array(head["tokens"], pa.int64()), pa.nulls(len(at), pa.int64())]),
-                    "row_count": pa.concat_arrays([pa.array(head["row_count"], pa.int64()), pa.nulls(len(at), pa.int64())]),
-                    "pre_token": pa.concat_arrays([pa.nulls(len(ids), pa.string()), pa.array(rest, pa.string())]),
-                    "n": pa.concat_arrays([pa.nulls(len(ids), pa.int32()), pa.array(rest_n, pa.int32())]),
-                }
-                yield pa.RecordBatch.from_pydict(out)
+                    "slice": pa.array(np.full(len(places), number, np.int64)), "doc_ids": pa.nulls(len(places), SLICED.field("doc_ids").type),
+                    "n_bytes": pa.nulls(len(places), SLICED.field("n_bytes").type), "tokens": pa.nulls(len(places), SLICED.field("tokens").type),
+                    "key": pa.array([_key(w) for w in places], pa.binary()), "pre_token": pa.array([w if len(w) * 4 > SHORT and len(w.encode()) > SHORT else None for w in places], pa.string()),
+                    "places": pa.array([bytes([of[0]().itemsize]) + np.array(x, of[0]).tobytes() for x in places.values()], pa.binary()),
+                    "times": pa.array([bytes([of[1]().itemsize]) + np.array(x, of[1]).tobytes() for x in times.values()], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(out, schema=SLICED)
+                number += 1
 
     return run
 
 
-def _count_in_partition(model: bytes):
-    """All rows of a pre-token are in this partition: it is tokenised once, and each of its frequencies multiplied."""
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint16 if packed[0] == 2 else np.uint32, offset=1).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, seen = load(model), {}
-        for batch in batches:
-            if len(seen) > REMEMBERED:
-                seen = {}
-            col = batch.column(batch.schema.get_field_index("pre_token")).dictionary_encode()
-            words = col.dictionary.to_pylist()
-            for w in words:
-                if w not in seen:
-                    seen[w] = count_pieces(tokenizer, w)
-            pieces = pa.array([seen[w] for w in words], pa.int64()).take(col.indices)
-            n = batch.column(batch.schema.get_field_index("n"))
-            tokens = pc.coalesce(batch.column(batch.schema.get_field_index("tokens")), pc.multiply(pieces, n.cast(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), tokens, batch.column(4)], ["doc_id", "digest", "n_bytes", "tokens", "row_count"])
 
-    return run
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a slice are in this partition: its texts' tokens. A slice is held as one number for each text."""
+    sums: dict[int, np.ndarray] = {}
+    heads: dict[int, tuple] = {}
+    for batch in batches:
+        for number, ids, n_bytes, tokens, places, times, pieces in zip(*(as_text(batch, c) for c in ("slice", "doc_ids", "n_bytes", "tokens", "places", "times", "pieces")), strict=True):
+            if places is None:
+                heads[number] = (ids, n_bytes)
+                at, add = np.arange(len(ids)), np.array(tokens, np.int64)
+            else:
+                at, add = _numbers(places), _numbers(times) * pieces
+            held = sums.get(number)
+            if held is None or len(held) <= (at[-1] if len(at) else 0):
+                more = np.zeros(int(at[-1]) + 1 if len(at) else 0, np.int64)
+                more[: 0 if held is None else len(held)] = 0 if held is None else held
+                sums[number] = held = more
+            held[at] += add  # a text is once in a row's places
+    for number, (ids, n_bytes) in heads.items():
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(sums[number][: len(ids)])], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(documents: DataFrame, model_path: str, common: int = 131_072) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every text of documents (doc_id, text), as the tokenizer file gives them."""
     model = Path(model_path).read_bytes()
     load(model)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("digest"), "text")
-    table = common_pre_tokens(rows, model, common)
-    parts = rows.mapInArrow(_split(table), f"{ROWS}, pre_token string, n int")
-    together = parts.repartition(F.coalesce("pre_token", F.col("doc_id").cast("string")))
-    sums = together.mapInArrow(_count_in_partition(model), ROWS).groupBy("doc_id", "digest").agg(F.sum("tokens").alias("tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("row_count").alias("row_count"))
-    # repeated rows were summed together and become as many rows again
-    one = sums.select("doc_id", "n_bytes", (F.col("tokens") / F.col("row_count")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("row_count"))).alias("_copy"))
-    return one.drop("_copy")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sliced = stored(rows.mapInArrow(_sliced(common_pre_tokens(rows, model, common)), SLICED_DDL), "token-slices")
+    held = sliced.where("key is not null").select("slice", "key", "places", "times")
+    own = F.coalesce("pre_token", F.when(F.octet_length("key") <= SHORT, F.col("key").cast("string")))
+    distinct = sliced.where("key is not null").groupBy("key").agg(F.first("pre_token", ignorenulls=True).alias("pre_token")).withColumn("pre_token", own)
+    pieces = stored(distinct.mapInArrow(_counted(model, "key"), "key binary, pieces int"), "token-pieces")
+    counted = join_unique(held, pieces, "key", held.count()).select("slice", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<long>").alias("n_bytes"), F.lit(None).cast("array<long>").alias("tokens"), "places", "times", "pieces")
+    heads = sliced.where("key is null").select("slice", "doc_ids", "n_bytes", "tokens", "places", "times", F.lit(None).cast("int").alias("pieces"))
+    return counted.unionByName(heads).repartition("slice").mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
