@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that one task may hold whatever their key.
+SMALL = 20_000
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset.
+    The folder is the session's spark.checkpoint.dir. Where that is unset a temporary one is set if driver
+    and executors are one process (as in tests), else it is an error: executors can't read the driver's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="loreweave-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -34,8 +41,11 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, total: int, how: st
     """left joined with right, whose key is unique, without bringing a hot key's rows to one task.
 
     Keys with over a thousandth of left's total rows are a thousand at most, so their rows of right are
-    broadcast; all other keys are joined through a shuffle. Null keys match nothing.
+    broadcast; all other keys are joined through a shuffle. Null keys match nothing. Tables of SMALL rows
+    are joined at once: no key of theirs is hot.
     """
+    if total <= SMALL:
+        return left.join(right, key, how)
     hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, total / 1000)).select(key)
     hot_right = right.join(F.broadcast(hot), key, "left_semi")
     flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")

@@ -30,7 +30,8 @@ def test_components_match_union_find(spark):
     assert shuffles.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_hot_keys_join_like_others(spark):
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(shuffles, "SMALL", 0)
     left = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(1)).otherwise(F.col("id")).alias("k"), "id").union(spark.sql("select cast(null as long), 7L"))
     right = spark.range(0, 4000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")).union(spark.sql("select 1L, 11L"))
     for how in ("inner", "left"):
