@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.operators.shuffles import connected_components, join_unique, shared_folder, stored
 
-__all__ = ["as_bytes", "as_text", "connected_components", "join_unique", "keep", "remainder", "shared_folder", "slices", "stored", "unit_hash"]
+__all__ = ["MIX", "as_bytes", "as_text", "by_place", "connected_components", "join_unique", "keep", "mixed", "remainder", "shared_folder", "slices", "spaced_scripts", "stored", "unit_hash"]
 
 #: Bytes of text that a task works on at a time, so that memory doesn't depend on Spark's batch size.
 SLICE_BYTES = 4 << 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of scripts that are written without spaces between words: each is a unit of its own.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+NO_WORD = re.compile(r"[^\w]+")
+
+
+def spaced_scripts(text: str) -> str:
+    """The text with punctuation outside ASCII as spaces, and with spaces around the characters of unspaced scripts."""
+    if text.isascii():
+        return text
+    text = NO_WORD.sub(" ", text)
+    return UNSPACED.sub(r" \1 ", text) if UNSPACED.search(text) else text
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, each bit of which depends on all bits of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ... and which each column became: no name of df is in the way of further ones."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
 def remainder(column: str, modulus: int) -> Column:

@@ -64,9 +64,48 @@ def test_blocks_match_brute_force(spark, monkeypatch):
     assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
 
 
-def test_recall_bound():
-    depth = J.depth_for(0.8, 1 - 1e-6)
-    assert J.recall(0.8, depth) >= 1 - 1e-6 and depth < J.DEPTH and J.recall(0.8, depth + 1) < 1 - 1e-6
+def test_depths_reach_the_recall():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [sorted((rng.randrange(1, 10 ** rng.randrange(1, 6)) for _ in range(J.DEPTH - J.LEAST + 1)), reverse=True) for _ in range(rng.randrange(J.TREES + 1))]
+        depths = J.shorten(sizes, 0.8, 1 - 1e-6)
+        assert J.recall(0.8, [*depths, *[J.LEAST] * (J.TREES - len(sizes))]) >= 1 - 1e-6
+        assert all(J.LEAST <= d <= J.DEPTH for d in depths)
+
+
+def test_crowded_tries_keep_long_prefixes():
+    quiet, crowded = [2, 2, 1, 1, 1], [10**6, 10**5, 10**4, 1000, 100]
+    depths = J.shorten([crowded] * 5 + [quiet] * 35, 0.8, 1 - 1e-6)
+    assert min(depths[:5]) == J.DEPTH > max(depths[5:])
+    # with crowds everywhere they are shortened as far as the recall asks
+    assert J.recall(0.8, J.shorten([crowded] * J.TREES, 0.8, 1 - 1e-6)) >= 1 - 1e-6
+
+
+def test_boilerplate_makes_no_pool(spark):
+    """Texts that share a third of their shingles meet by chance in many tries; they are no candidates."""
+    frame_words = cases.words(60, 1)
+    rows = [(k, f"{frame_words} {cases.words(60, 1000 + k, 10**6)}") for k in range(400)] + [(1000, f"{frame_words} {cases.words(60, 1000, 10**6)} x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = df.select("doc_id", "text").mapInArrow(J._sign(["doc_id"]), "doc_id long, n long, places binary, sketch binary").withColumnRenamed("doc_id", "node")
+    assert sorted(r.node for r in J.candidate_pools(signed, 0.8, 1 - 1e-6).collect()) == [0, 1000]
+    assert _got(df) == _brute(rows)
+
+
+def test_prefixes_in_blocks_match_brute_force(spark, monkeypatch):
+    rows = _copies(2)
+    monkeypatch.setattr(J, "GROUP", 2)
+    monkeypatch.setattr(J, "SUBTREE", 3)
+    monkeypatch.setattr(J, "CARRIED", 0)
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
+
+
+def test_sizes_of_large_pools(spark, monkeypatch):
+    """Texts of one pool whose sizes grow step by step: only neighbouring classes of sizes meet, no link is lost."""
+    words, rows = cases.words(400, 77).split(), []
+    for k in range(30, 400, 6):
+        rows.append((k, " ".join(words[:k])))
+    monkeypatch.setattr(J, "BLOCK_TEXTS", 4)
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
 
 
 def test_edge_cases(spark):
@@ -80,3 +119,10 @@ def test_edge_cases(spark):
     assert kept.columns == cases.frame(spark).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "None", "5", "6", "7", "8", "9", "10", "11"])
     assert J.keep_one(cases.empty(spark)).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(1, "one two three four five six", "a", 2, "b", "c"), (2, "one two three four five six", "d", 3, "e", "f"), (3, None, "g", 4, "h", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, digest int, kept_id string, c0 string")
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
