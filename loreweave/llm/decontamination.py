@@ -1,42 +1,51 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-A test item's seeds are all its n-grams, since an edited copy may hold any of them and lack the others, the
-rarest ones too. Where a text has a seed, the words around it are aligned with the item (a match counts 1,
-a substitution, insertion or deletion -1), if they have words enough in common with it that the score can
-reach the threshold; the best local score by the item's words is the score of the pair. Only pairs without
-GRAM common words in a row have no seed: a score of a half needs some, but for items of six words at most
-and copies with a word inserted after every second one. Items reach the tasks in blocks of BLOCK_WORDS
-words, with one pass over the corpus for each block.
-
-Defined results: case and punctuation don't count; a null or empty text or item matches nothing; equal
-items and repeated rows give a match each; an empty table gives no rows; further columns are ignored.
+"""Benchmark decontamination: rare n-gram seeds joined to passages, then Smith-Waterman alignment.
+
+A match counts 1, a substitution, insertion or deletion of a word -1; the best local score by the item's
+words is the score of a pair, which is found if it reaches the threshold. A score of s means that s - 1 pairs of
+neighbouring words at least are in both, so an item has as many word pairs as it can miss, and one more, as seeds:
+those that are rarest in the corpus. No pair that reaches the threshold is without a seed.
+
+Texts are cut into overlapping passages that hold any such match whole, for each class of items of one length
+(from a power of two to the next). A passage is written down if it has as many word pairs of the class's items as a match
+needs; its seeds are joined to the items', and each pair of a passage and an item that this gives is aligned.
+Word pairs that belong to no item are sifted out in the scan by a bit table of FILTER_BITS, of one size for any
+benchmark: what passes it by chance is dropped in the join.
+
+Defined results: case and punctuation don't count; characters of scripts without spaces are words of their own;
+a pair needs a word pair in common, an item of one word that word; a null or empty text or item matches nothing;
+equal items and repeated rows give a match each, a pair of rows its best one, of equally good ones the first; texts
+of any length are searched whole; an empty table gives no rows; further columns are ignored by find() and carried
+along by decontaminate(), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from loreweave.llm.common import as_text, keep, slices
+from loreweave.llm.common import MIX, as_bytes, as_text, by_place, keep, mixed, slices, spaced_scripts, stored
 
-GRAM = 3
-BLOCK_WORDS = 200_000
+#: Slots of a bit table (half a megabyte each).
+FILTER_BITS = 22
+#: Rows up to which seeds, items and matched digests are broadcast; more are joined by a shuffle.
+CARRIED = 200_000
+#: Distinct words whose hashes a task remembers.
+REMEMBERED = 500_000
 #: All bytes that are neither letters nor digits in ASCII become spaces.
 ALNUM_ONLY = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(ALNUM_ONLY).split() if text else []
-
-
-def grams(words: list[bytes], n: int = GRAM) -> Iterator[tuple]:
-    return zip(*(words[k:] for k in range(n)), strict=False)
+    return spaced_scripts(text.lower()).encode("utf-8", "replace").translate(ALNUM_ONLY).split() if text else []
 
 
 def _align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -65,101 +74,218 @@ def smith_waterman(item: list[bytes], region: list[bytes]) -> tuple[int, int, in
     return score, end - back, end
 
 
-class Matcher:
-    """Finds the items of a block that a text holds."""
-
-    def __init__(self, items: list[tuple], threshold: float):
-        self.items, self.threshold = items, threshold
-        self.counts = [Counter(words) for _, words in items]
-        self.seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            for i, g in enumerate(grams(words, min(GRAM, len(words)))):
-                self.seeds[g].append((k, i))
-        self.lengths = sorted({len(g) for g in self.seeds})
-
-    def _common(self, k: int, region: list[bytes]) -> int:
-        """How many words of the item the region has: no alignment scores more."""
-        count = self.counts[k]
-        seen = Counter(w for w in region if w in count)
-        return sum(min(n, count[w]) for w, n in seen.items())
-
-    def matches(self, words: list[bytes]) -> list[tuple]:
-        """(item_id, score, first word, last word) of each item with a score of threshold at least."""
-        seeds, hits = self.seeds, defaultdict(list)
-        for n in self.lengths:
-            for p in [p for p, g in enumerate(grams(words, n)) if g in seeds]:
-                for k, q in seeds[tuple(words[p : p + n])]:
-                    hits[k].append(p - q)
-        out = []
-        for k, starts in sorted(hits.items()):
-            item_id, item = self.items[k]
-            exact = next((s for s in starts if s >= 0 and words[s : s + len(item)] == item), None)
-            if exact is not None:
-                out.append((item_id, 1.0, exact, exact + len(item) - 1))
-                continue
-            # an alignment that reaches the threshold has no more edits than this
-            slack, best = int((1 - self.threshold) * len(item)) + 1, (0, 0, 0)
-            regions: list[list[int]] = []
-            for s in sorted(set(starts)):
-                lo, hi = max(0, s - slack), s + len(item) + slack
-                if self._common(k, words[lo:hi]) < self.threshold * len(item):
-                    continue
-                if regions and lo <= regions[-1][1]:
-                    regions[-1][1] = max(hi, regions[-1][1])
-                else:
-                    regions.append([lo, hi])
-            for lo, hi in regions:
-                score, a, b = smith_waterman(item, words[lo:hi])
-                best = max(best, (score, -(lo + a), lo + b - 1))
-            if best[0] >= self.threshold * len(item):
-                out.append((item_id, best[0] / len(item), -best[1], best[2]))
-        return out
-
-
-def matchers(benchmark: DataFrame, threshold: float = 0.5) -> Iterator[Matcher]:
-    """One matcher for each block of test items (item_id, text)."""
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / 2 / BLOCK_WORDS))  # a word has two characters at least, with its space
-    for k in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text")
-        items = sorted(((r["item_id"], words) for r in mine.collect() if (words := words_of(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        if items:
-            yield Matcher(items, threshold)
+def match(item: list[bytes], region: list[bytes], threshold: float) -> tuple[float, int, int] | None:
+    """Score, first and last word of the item in the region, if it reaches the threshold."""
+    for start in (i for i, w in enumerate(region) if w == item[0]):
+        if region[start : start + len(item)] == item:
+            return 1.0, start, start + len(item) - 1
+    # no alignment scores more than the words in common
+    count = Counter(item)
+    if sum(min(n, count[w]) for w, n in Counter(w for w in region if w in count).items()) < threshold * len(item):
+        return None
+    score, a, b = smith_waterman(item, region)
+    return (score / len(item), a, b - 1) if score >= threshold * len(item) else None
 
 
-def find(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Every pair of a text and a test item that it holds: doc_id, item_id, score (to 1), first_word, last_word."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+class Hasher:
+    """64-bit hashes of words and of pairs of neighbours; remembers common words."""
 
-    def searched(matcher: Matcher):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    rows = [(doc_id, *m) for doc_id, text in zip(as_text(part, "doc_id"), as_text(part), strict=True) for m in matcher.matches(words_of(text))]
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+    def __init__(self) -> None:
+        self.seen: dict[bytes, int] = {}
 
-        return run
+    def words(self, words: list[bytes]) -> np.ndarray:
+        if len(self.seen) > REMEMBERED:
+            self.seen = {}
+        seen = self.seen
+        return np.fromiter((h if (h := seen.get(w)) is not None else seen.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words))
 
-    out = ids.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long")
-    for matcher in matchers(benchmark.withColumn("item_id", F.col("item_id").cast("long")), threshold):
-        out = out.unionByName(ids.mapInArrow(searched(matcher), out.schema))
-    return out
+    @staticmethod
+    def grams(word_hashes: np.ndarray, width: int) -> np.ndarray:
+        return mixed(word_hashes if width == 1 else mixed(word_hashes[:-1]) * MIX + word_hashes[1:])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """documents without the texts that hold a test item; each is judged in its own row, no join is needed."""
+def _in_table(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[grams & np.uint64((1 << FILTER_BITS) - 1)]
+
+
+def _items(threshold: float):
+    """Each item with its class (the bits of its length), the word pairs that a match has at least, and all of its own in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for key, text in zip(as_bytes(part, "item"), as_text(part), strict=True):
+                    if words := words_of(text):
+                        grams = hasher.grams(hasher.words(words), min(2, len(words))).view(np.int64)
+                        rows.append({"item": key, "text": text, "n": len(words), "kind": len(words).bit_length(), "need": max(1, math.ceil(threshold * len(words)) - 1), "grams": grams.tolist()})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item", pa.binary()), ("text", pa.string()), ("n", pa.int32()), ("kind", pa.int32()), ("need", pa.int32()), ("grams", pa.list_(pa.int64()))]))
+
+    return run
+
+
+@dataclass
+class Kind:
+    """Items of one class: words of a gram, of the longest match, and grams that a match needs; which grams they have, and which of these are seeds."""
+
+    width: int
+    span: int
+    need: int
+    grams: bytes
+    seeds: bytes = b""
+
 
-    def kept(matcher: Matcher):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    clean = [not matcher.matches(words_of(text)) for text in as_text(part)]
-                    yield pa.RecordBatch.from_arrays(list(keep(part, names).values()), names).filter(pa.array(clean, pa.bool_()))
+def _bit_table(grams: DataFrame) -> bytes:
+    """The slots that the grams (column gram) fall into. They are as many as the table has at most."""
+    slots = grams.select(F.expr(f"gram & {(1 << FILTER_BITS) - 1}").cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    table = np.zeros(1 << FILTER_BITS, bool)
+    table[slots] = True
+    return np.packbits(table).tobytes()
 
-        return run
 
-    names, out = documents.columns, documents
-    for matcher in matchers(benchmark, threshold):
-        out = out.mapInArrow(kept(matcher), documents.schema)
-    return out
+def _open(table: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
+
+
+def _flat(hasher: Hasher, part: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of the part's texts, where each text begins (and the last ends), and the hashes of all words."""
+    texts = [words_of(t) for t in as_text(part)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return texts, bounds, np.concatenate([hasher.words(t) for t in texts]) if texts else np.empty(0, np.uint64)
+
+
+def _inside(grams: np.ndarray, width: int, bounds: np.ndarray) -> np.ndarray:
+    """Which grams lie in one text."""
+    ok = np.ones(len(grams), bool)
+    if width > 1:
+        last = bounds[1:-1] - 1
+        ok[last[(last >= 0) & (last < len(ok))]] = False
+    return ok
+
+
+def _gram_counts(table: bytes):
+    """How often the grams of two words that the table has are in the task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hasher = _open(table), Hasher()
+        for batch in batches:
+            for part in slices(batch):
+                _, bounds, hashes = _flat(hasher, part)
+                grams = hasher.grams(hashes, 2)
+                found, n = np.unique(grams[_in_table(grams, bits) & _inside(grams, 2, bounds)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return run
+
+
+PASSAGES = pa.schema([("digest", pa.binary()), ("kind", pa.int32()), ("start", pa.int64()), ("passage", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+
+
+def _passages(kinds: dict[int, Kind]):
+    """Overlapping passages of each text with grams enough for a match with an item of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        tables = {k: (_open(kind.grams), _open(kind.seeds)) for k, kind in kinds.items()}
+        for batch in batches:
+            for part in slices(batch):
+                texts, bounds, hashes = _flat(hasher, part)
+                digests, out = as_bytes(part, "digest"), []
+                of_width = {w: hasher.grams(hashes, w) for w in {kind.width for kind in kinds.values()}}
+                for k, kind in kinds.items():
+                    grams, (bits, seed_bits) = of_width[kind.width], tables[k]
+                    hit = _in_table(grams, bits) & _inside(grams, kind.width, bounds)
+                    up_to = np.concatenate([[0], np.cumsum(hit)])
+                    up_to = np.append(up_to, np.repeat(up_to[-1], len(hashes) + 1 - len(up_to)))
+                    for d in np.flatnonzero(up_to[bounds[1:]] - up_to[bounds[:-1]] >= kind.need):
+                        at, n = bounds[d], len(texts[d])
+                        for start in range(0, n, kind.span):
+                            stop = min(n, start + 2 * kind.span)
+                            lo, hi = at + start, max(at + start, at + stop - kind.width + 1)
+                            if up_to[hi] - up_to[lo] < kind.need:
+                                continue
+                            mine = grams[lo:hi][hit[lo:hi]]
+                            seeds = np.unique(mine[_in_table(mine, seed_bits)])
+                            if len(seeds):
+                                out.append((digests[d], k, start, b" ".join(texts[d][start:stop]), seeds.view(np.int64)))
+                yield pa.RecordBatch.from_pylist([dict(zip(PASSAGES.names, r, strict=True)) for r in out], schema=PASSAGES)
+
+    return run
+
+
+FOUND = pa.schema([("digest", pa.binary()), ("item", pa.binary()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+
+
+def _aligned(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "passage"):
+                rows = []
+                for digest, item, start, passage, text in zip(*(as_text(part, c) for c in ("digest", "item", "start", "passage", "text")), strict=True):
+                    if found := match(words_of(text), passage.split(b" "), threshold):
+                        rows.append(dict(zip(FOUND.names, (digest, item, found[0], start + found[1], start + found[2]), strict=True)))
+                yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
+
+    return run
+
+
+def _carried(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= CARRIED else df
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def find_texts(texts: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Every pair of a different text (digest) and a different item text (item) that it holds, with score, first_word, last_word.
+
+    texts: digest, text; benchmark: text.
+    """
+    items = benchmark.where("text is not null").select(_digest("text").alias("item"), "text").dropDuplicates(["item"])
+    items = stored(items.mapInArrow(_items(threshold), "item binary, text string, n int, kind int, need int, grams array<long>"), "leak-items")
+    spans = items.groupBy("kind").agg(F.max("n").alias("longest"), F.min("need").alias("need")).orderBy("kind").collect()  # a row for each power of two
+    empty = texts.sparkSession.createDataFrame([], "digest binary, item binary, score double, first_word long, last_word long")
+    if not spans:
+        return empty
+    places = items.select("item", "kind", "n", "need", F.posexplode("grams").alias("place", "gram"))
+    counts = texts.select("text").mapInArrow(_gram_counts(_bit_table(places.where("n > 1"))), "gram long, n long")
+    in_corpus = counts.groupBy("gram").agg(F.sum("n").alias("times"))
+    in_items = places.groupBy("gram").agg(F.count("*").alias("own"))
+    # items' own use counts too: what all of them have in common is a bad seed
+    rated = places.join(in_items, "gram").join(in_corpus, "gram", "left").withColumn("times", F.coalesce("times", F.lit(0)) + F.col("own"))
+    rank = F.row_number().over(W.partitionBy("item").orderBy("times", "gram", "place"))
+    seeds = rated.withColumn("rank", rank).where("rank <= greatest(n - 1, 1) - need + 1").select("kind", "gram", "item").distinct()
+    seeds = stored(seeds, "leak-seeds")
+    kinds = {}
+    for r in spans:
+        of_kind = F.col("kind") == r["kind"]
+        most = r["longest"] + math.floor((1 - threshold) * r["longest"]) + 2  # a match that reaches the threshold has no more inserted words
+        kinds[r["kind"]] = Kind(1 if r["kind"] == 1 else 2, most, r["need"], _bit_table(places.where(of_kind)), _bit_table(seeds.where(of_kind)))
+    passages = texts.mapInArrow(_passages(kinds), "digest binary, kind int, start long, passage binary, seeds array<long>")
+    passages = stored(passages.dropDuplicates(["digest", "kind", "start"]), "leak-passages")
+    hits = passages.select("digest", "kind", "start", F.explode("seeds").alias("gram"))
+    pairs = hits.join(_carried(seeds), ["kind", "gram"]).select("digest", "kind", "start", "item").distinct()
+    both = pairs.join(passages.drop("seeds"), ["digest", "kind", "start"]).join(_carried(items.select("item", "text")), "item")
+    found = both.select("digest", "item", "start", "passage", "text").mapInArrow(_aligned(threshold), empty.schema)
+    best = found.groupBy("digest", "item").agg(F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word"))).alias("x"))
+    return best.select("digest", "item", "x.*")
+
+
+def find(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Every pair of a text and a test item that it holds: doc_id, item_id, score (to 1), first_word, last_word."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text").alias("digest"), "text")
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _digest("text").alias("item"), "text")
+    found = stored(find_texts(texts.select("digest", "text"), named.select("text"), threshold), "leaks")
+    with_items = _carried(found.join(named.drop("text"), "item").drop("item"))
+    return texts.select("doc_id", "digest").join(with_items, "digest").select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """documents without the texts that hold a test item."""
+    numbered, names = by_place(documents)
+    texts = numbered.select(_digest(names["text"]).alias("digest"), F.col(names["text"]).alias("text"))
+    leaked = stored(find_texts(texts, benchmark.select("text"), threshold).select("digest").distinct(), "leaks")
+    clean = numbered.withColumn("digest", _digest(names["text"])).join(_carried(leaked), "digest", "left_anti")
+    return clean.select(list(names.values())).toDF(*documents.columns)

@@ -69,12 +69,42 @@ def test_items_that_are_there_as_edited_copies_only(spark):
         for d, text in docs:
             if (s := C.smith_waterman(words, C.words_of(text))[0]) >= 0.5 * len(words):
                 want[(d, k)] = s / len(words)
-    print(len(want), len(got))
     assert got == pytest.approx(want) and len(want) > 100
 
 
-def test_common_items_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(C, "BLOCK_WORDS", 30)
+@pytest.mark.parametrize("every", [2, 3, 4])
+def test_no_pair_at_the_threshold_is_lost(spark, every):
+    """Copies with a word inserted or another put in its place at every second, third or fourth: few or no three words in a row are left."""
+    rng, docs, items = random.Random(every), [], [(k, cases.words(n, 1300 + k, 10**6)) for k, n in enumerate((6, 12, 24, 40, 70) * 4)]
+    for k, item in items:
+        for way in ("insert", "replace", "both"):
+            words = item.split()
+            at = rng.randrange(every)
+            for i in reversed(range(at, len(words), every)):
+                new = f"edited{rng.randrange(10**6)}"
+                words[i : i + 1] = [words[i], new] if way == "insert" or way == "both" and rng.random() < 0.5 else [new]
+            docs.append((len(docs), f"{cases.words(45, 15000 + len(docs), 10**6)} {' '.join(words)} {cases.words(45, 16000 + len(docs), 10**6)}"))
+    got = {(r.doc_id, r.item_id): r.score for r in C.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for k, item in items:
+        words = C.words_of(item)
+        for d, text in docs:
+            if (s := C.smith_waterman(words, C.words_of(text))[0]) >= 0.5 * len(words):
+                want[(d, k)] = s / len(words)
+    assert got == pytest.approx(want) and want
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    item = han(40)
+    docs = [(1, han(60) + item + "。" + han(60)), (2, han(60) + item[:20] + han(2) + item[20:] + han(30)), (3, han(160)), (4, None)]
+    got = C.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == {(1, 9): 1.0, (2, 9): pytest.approx(38 / 40)}
+
+
+def test_common_items_and_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(C, "CARRIED", 0)
     items = _items()
     docs = [(i, f"{cases.words(10, i)} {items[0][1]}") for i in range(50)] + [(99, items[5][1])]
     got = C.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
@@ -89,3 +119,11 @@ def test_edge_cases(spark):
     assert kept.count() == len(cases.ROWS) - 2 and kept.columns == cases.frame(spark).columns
     assert C.find(cases.empty(spark), bench).count() == 0
     assert C.find(cases.frame(spark), bench.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    item = cases.words(20, 3)
+    rows = [(1, f"x {item}", b"a", 1, "b"), (2, "clean", b"c", 2, "d"), (3, None, b"e", 3, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest binary, item int, c0 string")
+    kept = C.decontaminate(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
