@@ -38,9 +38,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """df with columns c0, c1, ... and which each column became: no name of df is in the way of further ones."""
-    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+def by_place(df: DataFrame, *but: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ... and which each column became: no name of df is in the way of further ones.
+
+    Columns named in `but` keep their names.
+    """
+    names = {c: c if c in but else f"c{k}" for k, c in enumerate(df.columns)}
     return df.toDF(*names.values()), names
 
 
