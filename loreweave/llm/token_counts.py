@@ -2,19 +2,17 @@
 
 A piece of the tokenizer never holds a space after another character, so a text falls apart into
 pre-tokens (a run of spaces and the non-spaces after it) that are tokenised independently of each other.
-Texts are taken in slices of some megabytes. A slice becomes one row for each distinct pre-token of it,
-with the texts that hold it and how often: a hot pre-token is a row for each slice and not for each text.
-The distinct pre-tokens of all slices are counted once each, their pieces are joined to the slices' rows, and
-a slice's products are summed in one place. A bounded number of common pre-tokens (`common`) goes another
-way: they are counted once before, sent to all tasks, and summed at once. Which are common is read from a
-sample and changes the speed only.
-
-Slices are written to the shared folder before they are used: a lost executor can't deal the texts to
-other slices. A pre-token of more than SHORT bytes is joined by its 128-bit digest.
+Each text becomes its pre-tokens' frequencies. A bounded number of common pre-tokens (`common`) are counted once on the
+executors and sent to all tasks; all others are partitioned and sorted, so that a distinct pre-token is
+counted once and joined to its per-document frequencies, which follow it; the products are summed per document.
+Which pre-tokens are common is read from a sample and changes the speed only: one that a thousandth of
+the texts holds is among them, so that no partition has a hot one, of whatever length (those of over SHORT bytes
+are known by their 128-bit digest).
 
 Defined results: a null or empty text has no tokens and no bytes; a text without spaces is one pre-token
-of any length; every row has its own place in a slice, so null ids, repeated rows and different texts of
-one id keep apart; an empty table gives no rows; further columns are ignored, whatever their names.
+of any length; different texts of one id, or of none, are kept apart by 64 bits of their hash and the id, or by
+128 bits, and repeated rows give equal rows; an empty table gives no rows; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,16 +25,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import as_text, join_unique, slices, stored, unit_hash
+from loreweave.llm.common import as_text, keep, slices, unit_hash
 
 #: The tokenizer's sign for a space.
 SPACE = "▁"
-#: Bytes up to which a pre-token is its own key.
-SHORT = 24
+#: Bytes up to which a common pre-token is its own key.
+SHORT = 64
 #: Texts on which a vocabulary's treatment of spaces is tried.
 PROBES = ("a", " a", "a ", "a b", "a  b", "  a", "a   ", " ", "   ", "a\tb", "a\n b", "▁a", "a▁b", "Ab c1 ß", "x　y z", " a b", "ﬁ ½ x", "é b")
 
@@ -87,14 +85,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pre_token", "n"])
 
 
-def _counted(model: bytes, *carried: str):
-    """The carried columns with the pieces of pre_token."""
+def _key(pre_token: str) -> str:
+    """The pre-token, or the digest of a long one; no pre-token holds the sign for a space."""
+    if len(pre_token) * 4 <= SHORT or len(raw := pre_token.encode()) <= SHORT:
+        return pre_token
+    return SPACE + md5(raw, usedforsecurity=False).hexdigest()
+
 
+def _counted(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(model)
         for batch in batches:
             words = as_text(batch, "pre_token")
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carried), pa.array([count_pieces(tokenizer, w) for w in words], pa.int32())], [*carried, "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(w) for w in words], pa.string()), pa.array([count_pieces(tokenizer, w) for w in words], pa.int32())], ["key", "pieces"])
 
     return run
 
@@ -104,99 +107,85 @@ def common_pre_tokens(documents: DataFrame, model: bytes, common: int, sampled_r
     total = documents.count()
     sample = documents.where(unit_hash("text", seed="pre-token sample") < min(1.0, sampled_rows / max(total, 1)))
     seen = sample.mapInArrow(_frequencies, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
-    # long ones are rare and would make the broadcast large: at most 64 bytes each
-    top = seen.where((F.col("n") > 1) & (F.octet_length("pre_token") <= 64)).orderBy(F.desc("n"), "pre_token").limit(common).select("pre_token")
-    table = top.mapInArrow(_counted(model, "pre_token"), "pre_token string, pieces int").toArrow()
+    top = seen.where("n > 1").orderBy(F.desc("n"), "pre_token").limit(common).select("pre_token")
+    table = top.mapInArrow(_counted(model), "key string, pieces int").toArrow()
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
 
 
-#: A slice's own row has its texts' ids, bytes and common tokens; the others have a pre-token, the texts that hold it and how often.
-SLICED = pa.schema([
-    ("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())),
-    ("key", pa.binary()), ("pre_token", pa.string()), ("places", pa.binary()), ("times", pa.binary()),
-])
-SLICED_DDL = "slice long, doc_ids array<long>, n_bytes array<long>, tokens array<long>, key binary, pre_token string, places binary, times binary"
-
+#: What tells the rows of documents apart.
+ROW = ["id", "hash", "no_id"]
+COUNTS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("tokens", pa.int64()), ("row_count", pa.int64())])
+COUNTS_DDL = "id long, hash long, no_id boolean, n_bytes long, tokens long, row_count long"
 
-def _key(pre_token: str) -> bytes:
-    raw = pre_token.encode("utf-8", "surrogatepass")
-    # no UTF-8 begins with 0xff
-    return raw if len(raw) <= SHORT else b"\xff" + md5(raw, usedforsecurity=False).digest()
 
+def _split(common: dict[str, int]):
+    """A row for each text, with the tokens of its common pre-tokens, and one for each other pre-token of it."""
 
-def _sliced(common: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, get = TaskContext.get(), common.get
-        number = (task.partitionId() if task else 0) << 32
+        get = common.get
         for batch in batches:
             for part in slices(batch):
-                ids, n_bytes, tokens = as_text(part, "doc_id"), [], []
-                places: dict[str, list[int]] = {}
-                times: dict[str, list[int]] = {}
+                row = keep(part, ROW)
+                n_bytes, tokens = [], []
+                rest: list[str] = []
+                times: list[int] = []
+                at: list[int] = []
                 for i, text in enumerate(as_text(part)):
                     text = text or ""
                     words = pre_tokens(text)
                     pieces = list(map(get, words))
-                    tokens.append(sum(filter(None, pieces)))
-                    n_bytes.append(len(text.encode()))
+                    known = sum(filter(None, pieces))
                     for w, n in Counter(w for w, k in zip(words, pieces, strict=True) if k is None).items():
-                        if w in places:
-                            places[w].append(i)
-                            times[w].append(n)
-                        else:
-                            places[w], times[w] = [i], [n]
-                yield pa.RecordBatch.from_pydict({"slice": [number], "doc_ids": [ids], "n_bytes": [n_bytes], "tokens": [tokens], "key": [None], "pre_token": [None], "places": [None], "times": [None]}, schema=SLICED)
-                small = [len(ids) < 1 << 16, max(map(max, times.values()), default=0) < 1 << 16]
-                # two bytes a number where they do; the first byte tells the width
-                of = [np.uint16 if s else np.uint32 for s in small]
-                out = {
-                    "slice": pa.array(np.full(len(places), number, np.int64)), "doc_ids": pa.nulls(len(places), SLICED.field("doc_ids").type),
-                    "n_bytes": pa.nulls(len(places), SLICED.field("n_bytes").type), "tokens": pa.nulls(len(places), SLICED.field("tokens").type),
-                    "key": pa.array([_key(w) for w in places], pa.binary()), "pre_token": pa.array([w if len(w) * 4 > SHORT and len(w.encode()) > SHORT else None for w in places], pa.string()),
-                    "places": pa.array([bytes([of[0]().itemsize]) + np.array(x, of[0]).tobytes() for x in places.values()], pa.binary()),
-                    "times": pa.array([bytes([of[1]().itemsize]) + np.array(x, of[1]).tobytes() for x in times.values()], pa.binary()),
-                }
-                yield pa.RecordBatch.from_pydict(out, schema=SLICED)
-                number += 1
+                        if len(w) * 4 > SHORT and (k := get(_key(w))) is not None:
+                            known += k * n
+                            continue
+                        rest.append(w)
+                        times.append(n)
+                        at.append(i)
+                    tokens.append(known)
+                    n_bytes.append(len(text.encode()))
+                place, n = pa.array(at, pa.int64()), len(at)
+                out = {c: pa.concat_arrays([row[c], row[c].take(place)]) for c in ROW} | {
+                    "n_bytes": pa.concat_arrays([pa.array(n_bytes, pa.int64()), pa.nulls(n, pa.int64())]),
+                    "tokens": pa.concat_arrays([pa.array(tokens, pa.int64()), pa.nulls(n, pa.int64())]),
+                    "row_count": pa.concat_arrays([pa.array(np.ones(len(tokens), np.int64)), pa.nulls(n, pa.int64())]),
+                    "pre_token": pa.concat_arrays([pa.nulls(len(tokens), pa.string()), pa.array(rest, pa.string())]),
+                    "n": pa.concat_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(times, pa.int64())]),
+                }
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def _numbers(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint16 if packed[0] == 2 else np.uint32, offset=1).astype(np.int64)
+def _joined(model: bytes):
+    """Rows come sorted by pre-token, all of one in this partition: each is counted once, and its frequencies are multiplied."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(model)
+        last, last_pieces = None, 0
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index("pre_token")).dictionary_encode()
+            words = col.dictionary.to_pylist()
+            counts = [last_pieces if w == last else count_pieces(tokenizer, w) for w in words]
+            if words:
+                last, last_pieces = words[-1], counts[-1]
+            part = keep(batch, [*COUNTS.names, "n"])
+            products = pc.multiply(pa.array(counts, pa.int64()).take(col.indices), part["n"])
+            part["tokens"] = pc.coalesce(part["tokens"], products)
+            yield pa.RecordBatch.from_arrays([part[c] for c in COUNTS.names], COUNTS.names)
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a slice are in this partition: its texts' tokens. A slice is held as one number for each text."""
-    sums: dict[int, np.ndarray] = {}
-    heads: dict[int, tuple] = {}
-    for batch in batches:
-        for number, ids, n_bytes, tokens, places, times, pieces in zip(*(as_text(batch, c) for c in ("slice", "doc_ids", "n_bytes", "tokens", "places", "times", "pieces")), strict=True):
-            if places is None:
-                heads[number] = (ids, n_bytes)
-                at, add = np.arange(len(ids)), np.array(tokens, np.int64)
-            else:
-                at, add = _numbers(places), _numbers(times) * pieces
-            held = sums.get(number)
-            if held is None or len(held) <= (at[-1] if len(at) else 0):
-                more = np.zeros(int(at[-1]) + 1 if len(at) else 0, np.int64)
-                more[: 0 if held is None else len(held)] = 0 if held is None else held
-                sums[number] = held = more
-            held[at] += add  # a text is once in a row's places
-    for number, (ids, n_bytes) in heads.items():
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(sums[number][: len(ids)])], ["doc_id", "n_bytes", "n_tokens"])
+    return run
 
 
 def count_tokens(documents: DataFrame, model_path: str, common: int = 131_072) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every text of documents (doc_id, text), as the tokenizer file gives them."""
     model = Path(model_path).read_bytes()
     load(model)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sliced = stored(rows.mapInArrow(_sliced(common_pre_tokens(rows, model, common)), SLICED_DDL), "token-slices")
-    held = sliced.where("key is not null").select("slice", "key", "places", "times")
-    own = F.coalesce("pre_token", F.when(F.octet_length("key") <= SHORT, F.col("key").cast("string")))
-    distinct = sliced.where("key is not null").groupBy("key").agg(F.first("pre_token", ignorenulls=True).alias("pre_token")).withColumn("pre_token", own)
-    pieces = stored(distinct.mapInArrow(_counted(model, "key"), "key binary, pieces int"), "token-pieces")
-    counted = join_unique(held, pieces, "key", held.count()).select("slice", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<long>").alias("n_bytes"), F.lit(None).cast("array<long>").alias("tokens"), "places", "times", "pieces")
-    heads = sliced.where("key is null").select("slice", "doc_ids", "n_bytes", "tokens", "places", "times", F.lit(None).cast("int").alias("pieces"))
-    return counted.unionByName(heads).repartition("slice").mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = documents.select(F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text)).alias("id"), F.xxhash64(text).alias("hash"), doc_id.isNull().alias("no_id"), "text")
+    parts = rows.mapInArrow(_split(common_pre_tokens(rows.select("text"), model, common)), f"{COUNTS_DDL}, pre_token string, n long")
+    together = parts.repartition(F.coalesce("pre_token", F.concat(F.lit(SPACE), F.col("hash").cast("string")))).sortWithinPartitions("pre_token")
+    sums = together.mapInArrow(_joined(model), COUNTS_DDL).groupBy(*ROW).agg(F.sum("tokens").alias("tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("row_count").alias("row_count"))
+    # repeated rows were summed together and become as many rows again
+    one = sums.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_bytes", F.expr("tokens div row_count").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("row_count"))).alias("copy"))
+    return one.drop("copy")

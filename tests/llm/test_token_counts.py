@@ -50,6 +50,8 @@ def test_hot_and_long_pre_tokens(spark):
     url, line = "https://example.org/" + "a/" * 400, "日本語の同じ行" * 30
     texts = [f"{url} n{k} {line} {url}" for k in range(1500)] + [url, line, url[:-1]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    common = K.common_pre_tokens(docs, open(path, "rb").read(), 100)
+    assert {K._key(url), K._key(line)} <= set(common) and max(len(k.encode()) for k in common) <= 64
     got = {r.doc_id: r.n_tokens for r in K.count_tokens(docs, path).collect()}
     assert got == {i: len(tokenizer.encode(t)) for i, t in enumerate(texts)}
 
