@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The character ranges that count as CJK, and the letters that lose their accent.
+#: The character ranges that count as CJK.
 CJK = r"　-〿㐀-䶿一-鿿豈-﫿＀-￯"
-ACCENTED, PLAIN = "äçèéêíñóöüáàâëìîïòôõùúûýÿ", "aceeeinoouaaaeiiiooouuuyy"
+#: White space of any script.
+WHITE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that decompose into an ASCII letter and marks, and these letters."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and base.islower():
+            pairs[chr(code)] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def _col(c: Column | str) -> Column:
@@ -17,7 +33,8 @@ def _col(c: Column | str) -> Column:
 def spaced_cjk(text: Column | str) -> Column:
     """A space between CJK characters, and between them and ASCII letters or digits."""
     out = F.regexp_replace(_col(text), f"(?<=[{CJK}])(?=[{CJK}0-9A-Za-z])", " ")
-    return F.regexp_replace(out, f"(?<=[0-9A-Za-z])(?=[{CJK}])", " ")
+    spaced = F.regexp_replace(out, f"(?<=[0-9A-Za-z])(?=[{CJK}])", " ")
+    return F.when(_col(text).rlike(f"[{CJK}]"), spaced).otherwise(_col(text))
 
 
 def folded(text: Column | str) -> Column:
@@ -31,25 +48,30 @@ def tokens(text: Column | str) -> Column:
 
 def query_phrases(query: Column | str, most: int = 8) -> Column:
     """The token lists of the first `most` white-space separated parts of a query, without `?` and empty ones."""
-    parts = F.slice(F.filter(F.split(F.replace(F.coalesce(_col(query), F.lit("")), F.lit("?"), F.lit("")), r"\s+"), lambda x: x != ""), 1, most)
+    parts = F.slice(F.filter(F.split(F.replace(F.coalesce(_col(query), F.lit("")), F.lit("?"), F.lit("")), f"{WHITE}+"), lambda x: x != ""), 1, most)
     return F.filter(F.transform(parts, tokens), lambda p: F.size(p) > 0)
 
 
+def trimmed(text: Column | str) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(text), f"^{WHITE}+|{WHITE}+$", "")
+
+
 def norm_name(name: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(_col(name)), r"(?U)[^\w\s一-鿿]|_", " "))
+    return trimmed(F.regexp_replace(F.lower(_col(name)), r"(?U)[^\w\s一-鿿]|_", " "))
 
 
 def alnum_only(name: Column | str) -> Column:
-    return F.regexp_replace(F.lower(_col(name)), r"[-_.\\/\s]", "")
+    return F.regexp_replace(F.lower(_col(name)), rf"[-_.\\/]|{WHITE}", "")
 
 
 def is_path(name: Column | str) -> Column:
     """A slash or backslash anywhere, or a lower-case letter before a colon."""
-    return F.trim(_col(name)).rlike(r"[\\/]|[a-z]:")
+    return trimmed(name).rlike(r"[\\/]|[a-z]:")
 
 
 def scoped_name(name: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(F.trim(_col(name)), r"^@[^/]+/([^/]+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(trimmed(name), r"^@[^/]+/([^/]+)$", 1), F.lit(""))
 
 
 def is_ascii(name: Column | str) -> Column:
@@ -57,7 +79,7 @@ def is_ascii(name: Column | str) -> Column:
 
 
 def is_domain(name: Column | str) -> Column:
-    return F.trim(_col(name)).rlike(r"(?i)^[a-z0-9.-]{1,63}\.[a-z]{2,}$")
+    return trimmed(name).rlike(r"(?i)^[a-z0-9.-]{1,63}\.[a-z]{2,}$")
 
 
 def norm_path(name: Column | str) -> Column:
@@ -82,7 +104,13 @@ def snippet(text: Column | str, n: int = 500) -> Column:
 
 def without_fence(text: Column | str) -> Column:
     """A model's answer without its opening code fence."""
-    return F.regexp_replace(F.trim(_col(text)), r"^```[A-Za-z]*\s*", "")
+    return F.regexp_replace(trimmed(text), r"^```[A-Za-z]*\s*", "")
+
+
+def rendered(name: Column | str, fact: Column | str, valid_at: Column | str, invalid_at: Column | str, n: int = 300) -> Column:
+    """A line for a found fact: its predicate, the beginning of its text, and when it holds."""
+    label = validity_label(valid_at, invalid_at)
+    return F.concat(F.lit("- "), F.coalesce(_col(name), F.lit("")), F.lit(": "), snippet(F.coalesce(_col(fact), F.lit("")), n), F.when(label != "", F.concat(F.lit(" "), label)).otherwise(F.lit("")))
 
 
 def validity_label(valid_at: Column | str, invalid_at: Column | str, open_end: str = "now") -> Column:

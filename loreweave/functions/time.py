@@ -73,7 +73,7 @@ def dates_in_text(text: Column | str) -> Column:
     t = F.coalesce(_col(text), F.lit(""))
     found = F.regexp_extract_all(t, F.lit(f"({TEXT_DATE})"), 1)
     # what follows a range sign directly after a date, the sign anywhere between the two
-    joined = F.regexp_extract(t, f"(?:{TEXT_DATE})(?:(?!(?:20|19)\\d{{2}}\\s*年).)*?(?:{RANGE_SIGN})(?:(?!(?:20|19)\\d{{2}}\\s*年).)*?({TEXT_DATE})", 1)
+    joined = F.regexp_extract(t, f"(?s)(?:{TEXT_DATE})(?:(?!(?:20|19)\\d{{2}}\\s*年).)*?(?:{RANGE_SIGN})(?:(?!(?:20|19)\\d{{2}}\\s*年).)*?({TEXT_DATE})", 1)
 
     def to_date(x: Column) -> Column:
         month, day = F.regexp_extract(x, r"年\s*(\d{1,2})\s*月", 1), F.regexp_extract(x, r"(\d{1,2})\s*[日号]", 1)

@@ -13,9 +13,11 @@ from loreweave.functions.vector import cosine
 def upsert(target: DataFrame, changes: DataFrame, key: str, immutable: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """target with the changes by key: the last change by `order` wins, immutable columns stay as they were."""
     if order:
-        latest = changes.groupBy(key).agg(F.max(F.struct(order, *[c for c in changes.columns if c not in (key, order)])).alias("x")).select(key, "x.*").select(changes.columns)
+        # maps can't be compared: ties are broken by all columns as text
+        ties = F.to_json(F.struct(*[c for c in changes.columns if c != key]))
+        latest = first_seen(changes, [key], F.desc(order), ties.desc())
     else:
-        latest = changes.dropDuplicates([key])
+        latest = first_seen(changes, [key], F.to_json(F.struct(*[c for c in changes.columns if c != key])).desc()) if changes.columns != [key] else changes.distinct()
     old = target.select(F.col(key), F.struct(*[c for c in target.columns if c != key]).alias("_old"))
     new = latest.select(F.col(key), F.struct(*[c for c in target.columns if c != key]).alias("_new"))
     joined = old.join(new, key, "full_outer")
@@ -52,24 +54,47 @@ def forget_episodes(ids: DataFrame, episodes: DataFrame, facts: DataFrame, menti
 
 
 def resolve_entities(items: DataFrame, entities: DataFrame, vectors: DataFrame | None = None, least: float = 0.72) -> DataFrame:
-    """items (item, name, group_id[, vector]) with uuid and layer.
+    """items (item, name, group_id[, vector]) with uuid, layer and same_as; ids of any type that can be ordered.
 
     In turn: the same name, the same normal name, the same letters and digits, the nearest vector of a
-    similarity of `least` or more; what remains is new (uuid null), once for each normal name of a group.
+    similarity of `least` or more (of equally near ones the smallest id). What remains is new (uuid null):
+    same_as is the first new item of its group with that normal name, so that a new entity comes once for each
+    of these. Names that are null, empty or without a letter or digit are new each by themselves.
     """
     keyed = entities.select("group_id", "uuid", "name", T.norm_name("name").alias("norm"), T.alnum_only("name").alias("alnum"))
     todo, done = items.withColumns({"norm": T.norm_name("name"), "alnum": T.alnum_only("name")}), None
-    for layer, key in (("name", "name"), ("norm", "norm"), ("alnum", "alnum")):
+    resolved = lambda df, layer: df.select("item", "name", "group_id", "uuid", F.lit(layer).alias("layer"), F.lit(None).cast(items.schema["item"].dataType).alias("same_as"))
+    for key in ("name", "norm", "alnum"):
         known = keyed.where(F.col(key) != "").groupBy("group_id", key).agg(F.min("uuid").alias("uuid"))
-        hit = todo.join(known, ["group_id", key]).select("item", "name", "group_id", "uuid", F.lit(layer).alias("layer"))
+        hit = resolved(todo.join(known, ["group_id", key]), key)
         done = hit if done is None else done.unionByName(hit)
         todo = todo.join(known, ["group_id", key], "left_anti")
     if vectors is not None and "vector" in items.columns:
         near = todo.join(vectors.select("group_id", "uuid", F.col("vector").alias("other")), "group_id").withColumn("s", cosine(F.col("vector"), F.col("other"))).where(F.col("s") >= least)
-        best = near.groupBy("item").agg(F.max_by("uuid", F.struct("s", -F.col("uuid"))).alias("uuid"))
-        done = done.unionByName(todo.join(best, "item").select("item", "name", "group_id", "uuid", F.lit("vector").alias("layer")))
+        best = near.groupBy("item").agg(F.min_by("uuid", F.struct(-F.col("s"), "uuid")).alias("uuid"))
+        done = done.unionByName(resolved(todo.join(best, "item"), "vector"))
         todo = todo.join(best, "item", "left_anti")
-    return done.unionByName(todo.select("item", "name", "group_id", F.lit(None).cast(entities.schema["uuid"].dataType).alias("uuid"), F.lit("new").alias("layer")))
+    heads = todo.where("norm <> ''").groupBy("group_id", "norm").agg(F.min("item").alias("same_as"))
+    fresh = todo.join(heads, ["group_id", "norm"], "left").withColumn("same_as", F.coalesce("same_as", "item"))
+    return done.unionByName(fresh.select("item", "name", "group_id", F.lit(None).cast(entities.schema["uuid"].dataType).alias("uuid"), F.lit("new").alias("layer"), "same_as"))
+
+
+def of_types(items: DataFrame, types: tuple[str, ...], column: str = "entity_type") -> DataFrame:
+    """Extracted items of a listed type."""
+    return items.where(F.col(column).isin(*types))
+
+
+def with_ends(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Extracted facts (source_name, target_name, ...) with source_uuid and target_uuid of resolved (name, uuid); others go."""
+    known = resolved.where("uuid is not null").groupBy("name").agg(F.min("uuid").alias("uuid"))
+    ends = [known.select(F.col("name").alias(f"{end}_name"), F.col("uuid").alias(f"{end}_uuid")) for end in ("source", "target")]
+    return facts.join(ends[0], "source_name").join(ends[1], "target_name")
+
+
+def remove_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """links without the given ones (a_uuid, b_uuid in any order)."""
+    ends = [F.least("a_uuid", "b_uuid").alias("a_uuid"), F.greatest("a_uuid", "b_uuid").alias("b_uuid")]
+    return links.join(pairs.select(*ends).distinct(), ["a_uuid", "b_uuid"], "left_anti").select(links.columns)
 
 
 def resolve_facts(items: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:

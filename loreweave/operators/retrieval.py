@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,16 +14,50 @@ from pyspark.sql import functions as F
 from loreweave.functions import text as T
 from loreweave.functions import time as D
 from loreweave.functions.vector import cosine
+from loreweave.operators import graph, temporal
+from loreweave.operators.shuffles import stored
 
 #: Fixed values of the ranking formulas.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
+#: Decimals of a score: what differs beyond them is a tie.
+SCORE_DIGITS = 12
+#: Queries whose vectors a task holds at a time.
+QUERY_BATCH = 2048
 
 
 def postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """doc, dl and the token lists of each column; dl counts the tokens of all of them."""
+    """doc, dl and the token lists of each column; dl counts the tokens of all of them.
+
+    Written once to the shared folder: texts are tokenised once for corpus figures, hits and frequencies.
+    """
     lists = docs.select(F.col(id_col).alias("doc"), *[T.tokens(c).alias(c) for c in columns])
-    return lists.withColumn("dl", sum((F.size(c) for c in columns), F.lit(0)))
+    return stored(lists.withColumn("dl", sum((F.size(c) for c in columns), F.lit(0))), "postings")
+
+
+def synced_postings(index: DataFrame, changed: DataFrame, removed: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """The index after an update: rows of changed texts (id_col, columns) replaced, those of removed ids (id_col) gone."""
+    fresh = postings(changed, id_col, columns)
+    gone = fresh.select("doc").unionByName(removed.select(F.col(id_col).alias("doc"))).distinct()
+    return index.join(gone, "doc", "left_anti").unionByName(fresh)
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query, doc: which texts (doc, text) hold an item (query, item) word for word, as a substring.
+
+    An inner word of an item has spaces on both sides, so it is a word of every text that holds the item: the
+    one that fewest texts have joins texts to items, and what meets is compared whole. Items of one or
+    two words have no inner one; they are compared with every text.
+    """
+    inner = items.select("query", F.explode(F.array_distinct(F.filter(F.slice(F.split("item", " "), 2, F.greatest(F.size(F.split("item", " ")) - 2, F.lit(0))), lambda w: w != ""))).alias("word"))
+    words = docs.select("doc", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    seen = stored(words.join(inner.select("word").distinct(), "word"), "golden-words")
+    counted = inner.join(seen.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
+    rarest = counted.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("x")).select("query", F.col("x.word").alias("word"))
+    met = seen.join(rarest, "word").select("query", "doc")
+    long = met.join(docs, "doc").join(items, "query").where(F.contains("text", "item")).select("query", "doc")
+    short = items.join(inner.select("query").distinct(), "query", "left_anti").where("item is not null")
+    return long.unionByName(docs.join(short, F.contains("text", "item")).select("query", "doc"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -48,7 +83,10 @@ def bm25(index: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = tf.join(df.select("query", "phrase", "avgdl", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf")), ["query", "phrase"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighed.groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    # a query has a few phrases: their parts are added in the phrases' order and rounded, so that scores don't depend on the shuffle
+    in_order = F.array_sort(F.collect_list(F.struct("phrase", part.alias("part"))))
+    total = F.aggregate(in_order, F.lit(0.0), lambda sum_so_far, x: sum_so_far + x["part"])
+    return weighed.groupBy("query", "doc").agg(F.round(total, SCORE_DIGITS).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query",), item: str = "doc") -> DataFrame:
@@ -56,42 +94,49 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query",), item: str
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), item))).where(F.col("rank") <= k)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """query, doc, score of vectors (doc, vector) against queries (query, vector), in the same group if by is given.
-
-    The queries are a batch that one task can hold, which is checked; larger ones go through the same
-    function in parts. Zero queries have no hits.
-    """
-    asked = queries.where(F.exists("vector", lambda x: x != 0)).select("query", F.col("vector").alias("_q"), *(by or []))
-    if by:
-        pairs = vectors.join(asked, by)
-    else:
-        if asked.limit(10_001).count() > 10_000:
-            raise ValueError("more than 10,000 queries at once: pass them in parts")
-        pairs = vectors.crossJoin(F.broadcast(asked))
-    return pairs.select("query", "doc", cosine(F.col("vector"), F.col("_q")).alias("score")).where(F.col("score").isNotNull())
+def vector_scores(vectors: DataFrame, queries: DataFrame, by: list[str]) -> DataFrame:
+    """query, doc, score of vectors (doc, vector) against queries (query, vector) in the same group. Zero queries have no hits."""
+    asked = queries.where(F.exists("vector", lambda x: x != 0)).select("query", F.col("vector").alias("_q"), *by)
+    return vectors.join(asked, by).select("query", "doc", F.round(cosine(F.col("vector"), F.col("_q")), SCORE_DIGITS).alias("score")).where(F.col("score").isNotNull())
 
 
-def vector_top_k(vectors: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
-    """query (row number), doc, score, rank for a matrix of queries: a product of matrices for each batch.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, batch: int = QUERY_BATCH) -> DataFrame:
+    """query, doc, score, rank: the k nearest of vectors (doc, vector) to each of queries (query, vector), all ids of any type.
 
-    Each batch keeps its k best for each query, so that k rows of a batch at most are shuffled.
+    Any number of queries: they go in batches of `batch`, each with one pass over the vectors, which are multiplied
+    with the whole batch. A task keeps its k best for each query and part, so few rows are shuffled. Queries that
+    are null or zero have no hits, vectors of another length neither.
     """
-    unit = queries / (np.linalg.norm(queries, axis=1, keepdims=True) + 1e-300)
-    live = np.linalg.norm(queries, axis=1) > 0
-
-    def run(batches):
+    known = queries.where(F.exists("vector", lambda x: x != 0)).select("query", "vector")
+    parts = max(1, -(-known.count() // batch))
+    ids = vectors.where("vector is not null").select("doc", "vector")
+    schema = f"query {known.schema['query'].dataType.simpleString()}, doc {ids.schema['doc'].dataType.simpleString()}, score double"
+    found = None
+    for part in range(parts):
+        mine = known.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else known
+        near = ids.mapInPandas(_nearest_to(sorted(((r["query"], list(r["vector"])) for r in mine.collect()), key=lambda r: str(r[0])), k), schema)
+        found = near if found is None else found.unionByName(near)
+    return top_k(found, k)
+
+
+def _nearest_to(asked: list[tuple], k: int):
+    """The k best vectors for each query in each Arrow batch, by products of matrices; queries and vectors of one length at a time."""
+    lengths = sorted({len(v) for _, v in asked})
+    matrices = {n: ([q for q, v in asked if len(v) == n], np.array([v for _, v in asked if len(v) == n], float)) for n in lengths}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf["vector"].to_numpy()).astype(float)
-            scores = m @ unit.T * (1 / (np.linalg.norm(m, axis=1) + 1e-300))[:, None]
-            ids = pdf["doc"].to_numpy()
-            for q in np.flatnonzero(live):
-                best = np.lexsort([ids, -scores[:, q]])[:k]
-                yield pd.DataFrame({"query": int(q), "doc": ids[best], "score": scores[best, q]})
+            for width, same in pdf.groupby(pdf["vector"].map(len)):
+                if width not in matrices:
+                    continue
+                queries, matrix = matrices[width]
+                m = np.stack(same["vector"].to_numpy()).astype(float)
+                scores = np.round(m @ matrix.T / (np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(matrix, axis=1)) + 1e-9), SCORE_DIGITS)
+                ids = same["doc"].to_numpy()
+                best = [np.lexsort([ids, -scores[:, q]])[:k] for q in range(len(queries))]
+                yield pd.DataFrame({"query": np.repeat(np.array(queries, object), [len(x) for x in best]), "doc": ids[np.concatenate(best)], "score": np.concatenate([scores[x, q] for q, x in enumerate(best)])})
 
-    return top_k(vectors.where("vector is not null").select("doc", "vector").mapInPandas(run, "query long, doc long, score double"), k)
+    return run
 
 
 def rrf(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -129,13 +174,46 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, columns: list[str], vecto
     index = postings(docs, id_col, columns)
     lists = [top_k(bm25(index, queries, columns), limit)]
     if vectors is not None:
-        lists.append(top_k(vector_scores(vectors, queries), limit))
+        lists.append(vector_top_k(vectors, queries, limit))
     fused = rrf(*lists)
     if times is not None:
         fused = weighed(fused, times, queries, now)
     return fused_top(fused_top(fused, max(pool, limit)).drop("rank"), limit)
 
 
+def search(facts: DataFrame, entities: DataFrame, episodes: DataFrame, links: DataFrame, queries: DataFrame, now: Column, as_of: Column | None = None, limit: int = 20, pool: int = 10, seeds: int = 5, vectors: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The whole search for many queries (query, text, group_id and, with vectors, vector): facts, entities and episodes.
+
+    Each kind is ranked by words and vectors among all groups, fused, and then cut to the query's group; facts and
+    episodes are weighed by recency and by a time window that the query names. The best `pool` facts are cut first, and
+    only then those go that don't hold at as_of (or have expired). Facts at the first `seeds` entities and at entities
+    linked to these follow, up to twice the limit. facts gives query, uuid, position, score (null for followers).
+    """
+    vectors = vectors or {}
+
+    def ranked(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+        of_group = df.select(F.col("uuid").alias("doc"), "group_id").join(queries.select("query", "group_id"), "group_id").select("query", "doc")
+        lists = [bm25(postings(df, "uuid", columns), queries, columns)]
+        if kind in vectors:
+            mine = df.select(F.col("uuid").alias("doc"), "group_id").join(vectors[kind].select(F.col("uuid").alias("doc"), "vector"), "doc")
+            lists.append(vector_scores(mine, queries.select("query", "group_id", "vector"), ["group_id"]))
+        return rrf(*[top_k(scored.join(of_group, ["query", "doc"], "left_semi"), limit) for scored in lists])
+
+    at = lambda df, *c: df.select(F.col("uuid").alias("doc"), F.coalesce(*c).alias("at"))
+    reference = [c for c in ("reference_time", "valid_at") if c in facts.columns]
+    found_entities = fused_top(ranked(entities, "entity", ["name", "summary"]), limit)
+    found_episodes = fused_top(weighed(ranked(episodes, "episode", ["content", "name"]), at(episodes, "created_at"), queries, now), limit)
+    best = fused_top(weighed(ranked(facts, "fact", ["fact", "name"]), at(facts, *reference), queries, now), pool)
+    holding_now = temporal.as_of(facts, as_of) if as_of is not None else temporal.active(facts)
+    direct = best.join(holding_now.select(F.col("uuid").alias("doc")), "doc", "left_semi").select("query", F.col("doc").alias("uuid"), F.lit(0).alias("part"), F.col("rank").alias("place"), "score")
+    first = found_entities.where(F.col("rank") <= seeds).join(queries.select("query", "group_id"), "query").select("query", F.col("doc").alias("entity"), "rank", "group_id")
+    around = graph.one_hop(first, holding_now, links, 2 * limit + pool).select("query", "uuid", F.lit(1).alias("part"), F.col("position").alias("place"), F.lit(None).cast("double").alias("score"))
+    once = direct.unionByName(around).groupBy("query", "uuid").agg(F.min(F.struct("part", "place", "score")).alias("x")).select("query", "uuid", "x.*")
+    order = F.row_number().over(W.partitionBy("query").orderBy("part", "place", "uuid"))
+    kept = once.withColumn("position", order).where(F.col("position") <= 2 * limit).select("query", "uuid", "position", "score")
+    return {"facts": kept, "entities": found_entities, "episodes": found_episodes}
+
+
 def rerank(ranked: DataFrame, scores: DataFrame, pool: int = 10) -> DataFrame:
     """ranked (query, doc, score, rank) reordered by relevance from 0 to 10 (scores: query, doc, relevance).
 

@@ -73,3 +73,8 @@ def reflection_window(episodes: DataFrame, now: Column, days: int = 7, excluded:
 
 def weak_facts(facts: DataFrame, shorter_than: int = 20) -> DataFrame:
     return facts.where(F.col("expired_at").isNull() & (F.length("fact") < shorter_than))
+
+
+def newest_facts(facts: DataFrame, n: int = 60, order: str = "reference_time") -> DataFrame:
+    """The n active facts of each group that came last."""
+    return recent(facts.where(F.col("expired_at").isNull()), n, F.desc_nulls_last(order), F.asc("uuid"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import rules
 from loreweave.functions import text as T
 from loreweave.operators import dedup, graph
+from loreweave.operators.shuffles import stored
 from loreweave.plans.registry import Registry
 from loreweave.plans.relational import FACTS_SQL
 from loreweave.sources.tables import orders_as_facts, parts_as_entities, table
@@ -75,14 +76,13 @@ def merge_candidates_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.merge_candidates(named, refs, vectors, 0.4).select("group_id", "keep_uuid", "remove_uuid", "similarity")
 
 
-@PLANS.add(f"""WITH e AS (SELECT p_partkey AS uuid, p_brand AS g, {NORM_SQL.format('p_name')} AS key FROM part WHERE p_size <= 5),
+@PLANS.add(f"""WITH e AS (SELECT p_partkey AS uuid, p_brand AS g, {NORM_SQL.format('p_name')} AS key FROM part),
 p AS (SELECT a.uuid AS a_uuid, b.uuid AS b_uuid FROM e a JOIN e b ON a.key = b.key AND a.uuid < b.uuid AND a.g <> b.g)
 SELECT a_uuid, b_uuid, true AS auto_link FROM p WHERE a_uuid % 5 <> 0""")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_size <= 5")  # small parts: a property of parts
-    entities = part.select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("name"), F.col("p_brand").alias("group_id"))
+    entities = parts_as_entities(spark, sf_dir).drop("summary")
     none = spark.createDataFrame([], "a_uuid long, b_uuid long")
-    every = dedup.link_candidates(entities, none)
+    every = stored(dedup.link_candidates(entities, none).select("a_uuid", "b_uuid"), "link-candidates")
     linked = every.where("a_uuid % 5 = 0").select(F.col("b_uuid").alias("a_uuid"), F.col("a_uuid").alias("b_uuid"))
     return dedup.link_candidates(entities, linked).select("a_uuid", "b_uuid", "auto_link")
 

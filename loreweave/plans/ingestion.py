@@ -76,25 +76,31 @@ def spaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(T.spaced_cjk("input").alias("spaced"), "input")
 
 
+@PLANS.add("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events once each; rows only, as it runs as a stream."""
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(_folder(spark, source))
-    return streams.run_available(streams.once_each(stream, "event_id", "ts"), "stream-dedup").select("event_id", "user_id", "event_type")
+    """Events once each, as a stream."""
+    return streams.run_available(streams.once_each(_stream(spark, sf_dir, "events"), "event_id", "ts"), "stream-dedup").select("event_id", "user_id", "event_type")
 
 
+@PLANS.add("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(_folder(spark, source))
-    return streams.run_available(streams.counts_by_window(stream, "ts", "1 day", "1 hour", "event_type"), "stream-windows")
+    """Events by day and type, also of the days that the watermark hasn't closed yet."""
+    counts = streams.counts_by_window(_stream(spark, sf_dir, "events"), "ts", "1 day", "1 hour", "event_type")
+    return streams.run_updates(counts, "stream-windows", ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@PLANS.add("""SELECT * FROM (SELECT o_custkey AS source_uuid, o_orderstatus AS name, o_orderkey AS uuid, o_orderdate AS valid_at,
+  lead(o_orderdate) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS invalid_at FROM orders) WHERE invalid_at IS NOT NULL""")
 def stream_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = f"{sf_dir}/orders.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(_folder(spark, source))
-    facts = stream.select(F.col("o_custkey").alias("source_uuid"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("uuid"), F.col("o_orderdate").alias("valid_at"))
-    return streams.run_available(streams.supersessions(facts), "stream-supersede")
+    orders = _stream(spark, sf_dir, "orders")
+    facts = orders.select(F.col("o_custkey").alias("source_uuid"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("uuid"), F.col("o_orderdate").alias("valid_at"))
+    return streams.supersessions(facts, ["source_uuid", "name"])
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder(spark, path))
 
 
 def _folder(spark: SparkSession, path: str) -> str:
@@ -105,6 +111,3 @@ def _folder(spark: SparkSession, path: str) -> str:
     spark.read.parquet(path).write.parquet(to)
     return to
 
-
-for _f in (stream_ingest_dedup, stream_window_counts, stream_supersede):
-    PLANS.add()(_f)

@@ -50,11 +50,12 @@ def recent_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("event_id", "user_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")).alias("rn"))
 
 
-@PLANS.add("""SELECT p_brand AS group_id, count(*) AS n FROM part WHERE p_brand = 'Brand#11' OR p_size > 45 GROUP BY p_brand""")
+@PLANS.add("""SELECT 'Brand#11' AS asked, p_brand AS group_id, count(*) AS n FROM part WHERE p_brand = 'Brand#11' GROUP BY p_brand
+UNION ALL SELECT 'all', p_brand, count(*) FROM part GROUP BY p_brand""")
 def group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "group_id")
-    one, large = stats.in_group(part, "Brand#11"), stats.in_group(part, "all").where("p_size > 45 and group_id <> 'Brand#11'")
-    return one.unionByName(large).groupBy("group_id").agg(F.count("*").alias("n"))
+    found = [stats.in_group(part, g).select(F.lit(g).alias("asked"), "group_id") for g in ("Brand#11", "all")]
+    return found[0].unionByName(found[1]).groupBy("asked", "group_id").agg(F.count("*").alias("n"))
 
 
 @PLANS.add(f"""WITH {FACTS_SQL}

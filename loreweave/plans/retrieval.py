@@ -27,13 +27,13 @@ need AS (SELECT query, phrase, len(terms) AS n, unnest(terms) AS term, generate_
 starts AS (SELECT query, phrase, n, doc, pos - nth AS begin_at FROM post JOIN need USING (term) GROUP BY query, phrase, n, doc, pos - nth HAVING count(*) = n),
 tf AS (SELECT query, phrase, doc, count(*) AS tf FROM starts GROUP BY query, phrase, doc),
 df AS (SELECT query, phrase, count(*) AS df FROM tf GROUP BY query, phrase),
-bm AS (SELECT query, doc, sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
-         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+bm AS (SELECT query, doc, round(sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
        FROM tf JOIN df USING (query, phrase) JOIN dl USING (doc), corpus GROUP BY query, doc),
 lex AS (SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm) WHERE rank <= 20)"""
 COSINE_SQL = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])) + 1e-9)"
 VECTORS_SQL = f"""qv AS (SELECT vec_id + 1 AS query, embedding AS q FROM embeddings WHERE vec_id < 5),
-vs AS (SELECT query, vec_id AS doc, {COSINE_SQL.format(a='embedding', b='q')} AS score FROM embeddings, qv),
+vs AS (SELECT query, vec_id AS doc, round({COSINE_SQL.format(a='embedding', b='q')}, 12) AS score FROM embeddings, qv),
 vec AS (SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM vs) WHERE rank <= 20)"""
 FUSED_SQL = """lists AS (SELECT query, doc, rank, 0 AS list FROM lex UNION ALL SELECT query, doc, rank, 1 FROM vec),
 fused AS (SELECT query, doc, sum(1 / (60.0 + rank)) AS score, min(list * 1000 + rank) AS first FROM lists GROUP BY query, doc)"""
@@ -79,12 +79,11 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add(f"WITH {VECTORS_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM vec")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = R.vector_scores(_vectors(spark, sf_dir).select("doc", "vector"), _asked_vectors(spark, sf_dir))
-    return R.top_k(scored, 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return R.vector_top_k(_vectors(spark, sf_dir).select("doc", "vector"), _asked_vectors(spark, sf_dir), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @PLANS.add(f"""WITH q AS (SELECT vec_id AS query, embedding AS q, label FROM embeddings WHERE vec_id < 20),
-s AS (SELECT query, e.vec_id AS doc, {COSINE_SQL.format(a='embedding', b='q')} AS score FROM embeddings e JOIN q USING (label))
+s AS (SELECT query, e.vec_id AS doc, round({COSINE_SQL.format(a='embedding', b='q')}, 12) AS score FROM embeddings e JOIN q USING (label))
 SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
@@ -102,7 +101,7 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.add(f"WITH {INDEX_SQL}, {VECTORS_SQL}, {FUSED_SQL} SELECT query, doc, round(score, 8) AS score FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = R.top_k(R.bm25(R.postings(_docs(spark, sf_dir), "doc", ["text"]), _asked(spark), ["text"]), 20)
-    vec = R.top_k(R.vector_scores(_vectors(spark, sf_dir).select("doc", "vector"), _asked_vectors(spark, sf_dir)), 20)
+    vec = R.vector_top_k(_vectors(spark, sf_dir).select("doc", "vector"), _asked_vectors(spark, sf_dir), 20)
     return R.rrf(lex, vec).select("query", "doc", F.round("score", 8).alias("score"))
 
 
@@ -143,10 +142,7 @@ SELECT count(*) AS positives, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELS
 FROM asked2 LEFT JOIN hits USING (query)""")
 def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    if items.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 items in the golden set: pass them in parts")
-    held = docs.join(F.broadcast(items), F.contains("text", "item")).select("query", "doc")
-    golden = items.select("query").join(held, "query", "left")
+    golden = items.select("query").join(R.holding(docs, items), "query", "left")
     asked = items.select("query", F.array_join(F.slice(F.split("item", " "), 1, 8), " ").alias("text"))
     ranked = R.top_k(R.bm25(R.postings(docs, "doc", ["text"]), asked, ["text"]), 20)
     found = R.evaluate(ranked, golden)

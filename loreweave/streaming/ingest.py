@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loreweave.operators.shuffles import shared_folder
 
@@ -27,31 +25,33 @@ def counts_by_window(stream: DataFrame, at: str, width: str, late: str, *by: str
     return timed.groupBy(F.window(at, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def _supersede(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the time and id of the key's newest fact. A row is emitted for each fact whose end becomes known."""
-    newest = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["valid_at", "uuid"])
-    at, uuid = newest
-    out = []
-    for r in rows.itertuples():
-        t = int(r.valid_at.value // 1000)
-        if at is not None and (t, r.uuid) < (at, uuid):
-            out.append((*key, r.uuid, r.valid_at, pd.Timestamp(at, unit="us")))  # a newer one is known: this one ended already
-            continue
-        if at is not None:
-            out.append((*key, uuid, pd.Timestamp(at, unit="us"), r.valid_at))
-        at, uuid = t, r.uuid
-    state.update((at, uuid))
-    yield pd.DataFrame(out, columns=["source_uuid", "name", "uuid", "valid_at", "invalid_at"])
-
-
-def supersessions(stream: DataFrame) -> DataFrame:
-    """Facts (uuid, source_uuid, name, valid_at) with the time at which the next of their keys ends them.
-
-    A late fact ends at the newest known one.
+def supersessions(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts (keys, uuid, valid_at) of a stream with the time at which the next of their keys ends them, as a table of what is there now.
+
+    Each micro-batch is put in order together with its keys' newest facts so far, which are a table in the shared folder: all
+    that ends is written down, the last of each key is its newest fact then. A late fact ends at the next one of its
+    batch or at the newest known. Versions are named by batch, so that a batch that is run again overwrites itself.
     """
-    keyed = stream.select("source_uuid", "name", "uuid", F.col("valid_at").cast("timestamp").alias("valid_at"))
-    return keyed.groupBy("source_uuid", "name").applyInPandasWithState(_supersede, "source_uuid long, name string, uuid long, valid_at timestamp, invalid_at timestamp", "at long, uuid long", "append", GroupStateTimeout.NoTimeout)
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "stream-supersede")
+    columns = [*keys, "uuid", "valid_at"]
+    facts = stream.select(columns)
+    empty = spark.createDataFrame([], facts.schema)
+    empty.withColumn("invalid_at", F.col("valid_at")).write.parquet(f"{path}/ended/batch=-1")
+
+    def advance(batch: DataFrame, number: int) -> None:
+        newest = empty if number == 0 else spark.read.schema(facts.schema).parquet(f"{path}/newest/{number - 1}")
+        by = W.partitionBy(*keys).orderBy("valid_at", "uuid")
+        ordered = batch.unionByName(newest).withColumn("invalid_at", F.lead("valid_at").over(by))
+        done = f"{path}/ordered/{number}"
+        ordered.write.mode("overwrite").parquet(done)  # ended and newest facts are read from one table
+        ordered = spark.read.parquet(done)
+        ordered.where("invalid_at is not null").write.mode("overwrite").parquet(f"{path}/ended/batch={number}")
+        ordered.where("invalid_at is null").select(columns).write.mode("overwrite").parquet(f"{path}/newest/{number}")
+
+    query = facts.writeStream.foreachBatch(advance).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = StructType([*facts.schema, StructField("invalid_at", facts.schema["valid_at"].dataType)])
+    return spark.read.schema(schema).parquet(f"{path}/ended").select(schema.names)
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -61,3 +61,21 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def run_updates(stream: DataFrame, label: str, key: list[str]) -> DataFrame:
+    """What an aggregating stream gives for all that is there now, groups that are still open too: the last value of each key.
+
+    A batch writes the groups that it changed; a batch that is run again overwrites itself.
+    """
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, label)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    changes = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    values = [c for c in stream.columns if c not in key]
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*key, "x.*")

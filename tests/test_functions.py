@@ -36,3 +36,15 @@ def test_cosine(spark):
     rows = [(1, [1.0, 0.0], [1.0, 0.0]), (2, [0.0, 0.0], [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, [1.0], [1.0, 0.0])]
     out = spark.createDataFrame(rows, "i int, a array<float>, b array<float>").select("i", V.cosine(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
     assert out[0].s == pytest.approx(1.0) and out[1].s == 0.0 and out[2].s is None and out[3].s is None
+
+
+def test_white_space_and_accents_of_all_scripts(spark):
+    assert [[list(p) for p in r.y] for r in _one(spark, T.query_phrases("x"), "记忆\u3000搜索")] == [[["记", "忆"], ["搜", "索"]]]
+    assert [r.y for r in _one(spark, T.folded("x"), "ŽŃÅÃ ǘ ß")] == ["znaa u ß"]
+    assert [r.y for r in _one(spark, T.norm_name("x"), "a b\t", "\u3000a")] == ["a b", "a"]
+    assert [r.y for r in _one(spark, T.alnum_only("x"), "a\u3000b\u00a0c")] == ["abc"]
+    assert [str(r.y.end) for r in _one(spark, D.dates_in_text("x"), "2018年3月\n至\n2022年6月")] == ["2022-06-01"]
+    rows = spark.createDataFrame([("uses", "a fact", "2024-01-02", None), (None, "b", None, None)], "n string, f string, v string, i string")
+    got = [r.y for r in rows.select(T.rendered("n", "f", F.col("v").cast("timestamp"), F.col("i").cast("timestamp")).alias("y")).collect()]
+    assert got == ["- uses: a fact [2024-01-02 → now]", "- : b"]
+    assert [r.y for r in _one(spark, T.without_fence("x"), "```json\n{}", "{}")] == ["{}", "{}"]

@@ -65,9 +65,15 @@ def test_vector_batches_match_columns(spark):
     m = rng.normal(size=(200, 8)).astype(np.float32)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "doc long, vector array<float>")
     asked = spark.createDataFrame([(q, m[q].tolist()) for q in range(3)], "query long, vector array<float>")
-    a = retrieval.top_k(retrieval.vector_scores(vectors, asked), 5).collect()
-    b = retrieval.vector_top_k(vectors, m[:3].astype(float), 5).collect()
-    assert {(r.query, r.doc, r["rank"]) for r in a} == {(r.query, r.doc, r["rank"]) for r in b}
+    same = lambda df: df.withColumn("g", F.lit(1))
+    a = retrieval.top_k(retrieval.vector_scores(same(vectors), same(asked), ["g"]), 5).collect()
+    zero = spark.createDataFrame([(7, [0.0] * 8), (8, None), (9, [1.0])], asked.schema)
+    for batch in (2048, 1):
+        b = retrieval.vector_top_k(vectors, asked.union(zero), 5, batch).collect()
+        assert {(r.query, r.doc, r["rank"]) for r in a} == {(r.query, r.doc, r["rank"]) for r in b}
+    named = retrieval.vector_top_k(vectors.selectExpr("'d' || doc AS doc", "vector"), asked.selectExpr("'q' || query AS query", "vector"), 5).collect()
+    assert {(r.query, r.doc) for r in named} == {(f"q{r.query}", f"d{r.doc}") for r in a}
+    assert retrieval.vector_top_k(vectors, asked.limit(0), 5).count() == 0
 
 
 def test_vector_pairs_match_brute_force(spark):
@@ -169,6 +175,48 @@ def test_resolution(spark):
     vectors = spark.createDataFrame([(2, "g", [0.1, 1.0])], "uuid long, group_id string, vector array<float>")
     got = {r.item: (r.uuid, r.layer) for r in ingest.resolve_entities(items, entities, vectors).collect()}
     assert got == {1: (1, "name"), 2: (1, "norm"), 3: (1, "alnum"), 4: (2, "vector"), 5: (None, "new")}
+    text = lambda df, *c: df.withColumns({x: F.concat(F.lit("u"), F.col(x)) for x in c})
+    more = text(items, "item").union(spark.createDataFrame([("z1", "Zed", "g", None), ("z2", "zed!", "g", None), ("z3", "zed", "h", None)], text(items, "item").schema))
+    named = {r.item: (r.uuid, r.layer, r.same_as) for r in ingest.resolve_entities(more, text(entities, "uuid"), text(vectors, "uuid")).collect()}
+    assert named["u4"] == ("u2", "vector", None) and [named[z][2] for z in ("z1", "z2", "z3", "u5")] == ["z1", "z1", "z3", "u5"]
+
+
+def test_links_types_and_ends(spark):
+    links = spark.createDataFrame([(1, 2, "same_as"), (3, 4, "same_as")], "a_uuid long, b_uuid long, kind string")
+    assert [tuple(r) for r in ingest.remove_links(links, spark.createDataFrame([(2, 1)], "a_uuid long, b_uuid long")).collect()] == [(3, 4, "same_as")]
+    items = spark.createDataFrame([("a", "Tool"), ("b", "Other"), ("c", None)], "name string, entity_type string")
+    assert [r.name for r in ingest.of_types(items, ("Tool", "Person")).collect()] == ["a"]
+    facts = spark.createDataFrame([("a", "b", "f"), ("a", "x", "g"), (None, "b", "h")], "source_name string, target_name string, fact string")
+    resolved = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("x", None)], "name string, uuid string")
+    assert [(r.source_uuid, r.target_uuid, r.fact) for r in ingest.with_ends(facts, resolved).collect()] == [("u1", "u2", "f")]
+
+
+def test_index_follows_changes(spark):
+    docs = spark.createDataFrame([(1, "red"), (2, "blue"), (3, "green")], "id long, t string")
+    index = retrieval.synced_postings(retrieval.postings(docs, "id", ["t"]), spark.createDataFrame([(2, "red red"), (4, "new")], "id long, t string"), docs.where("id = 3"), "id", ["t"])
+    assert {r.doc: (r.t, r.dl) for r in index.collect()} == {1: (["red"], 1), 2: (["red", "red"], 2), 4: (["new"], 1)}
+
+
+def test_texts_that_hold_items(spark):
+    docs = [(1, "one two three four five"), (2, "xone two three fourx"), (3, "two three"), (4, ""), (5, None), (6, "one  two three four")]
+    items = [(1, "one two three four"), (2, "two three"), (3, "five"), (4, "missing words are here"), (5, None)]
+    got = retrieval.holding(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "query long, item string")).collect()
+    assert sorted((r.query, r.doc) for r in got) == sorted((q, d) for q, i in items for d, t in docs if i and t and i in t)
+
+
+def test_whole_search(spark):
+    facts = _facts(spark, {"uuid": 1, "source_uuid": 10, "target_uuid": 11, "fact": "nginx listens", "valid_at": "2024-01-01"}, {"uuid": 2, "source_uuid": 10, "target_uuid": 12, "fact": "other thing", "valid_at": "2024-02-01"}, {"uuid": 3, "source_uuid": 20, "target_uuid": 21, "fact": "far away", "group_id": "h"}, {"uuid": 4, "fact": "nginx old", "expired_at": "2024-01-02"}, {"uuid": 5, "fact": "nginx of h", "group_id": "h"}, {"uuid": 6, "fact": "nginx future", "valid_at": "2025-01-01"})
+    entities = spark.createDataFrame([(10, "nginx", "g", ""), (20, "proxy", "h", "")], "uuid long, name string, group_id string, summary string")
+    episodes = spark.createDataFrame([(100, "g", "nginx was set up", "e", "2024-01-01"), (101, "h", "nginx too", "e", "2024-01-01")], "uuid long, group_id string, content string, name string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    links = spark.createDataFrame([(10, 20, "same_as")], "a_uuid long, b_uuid long, kind string")
+    queries = spark.createDataFrame([(1, "nginx", "g")], "query long, text string, group_id string")
+    now = F.lit("2024-06-01").cast("timestamp_ntz")
+    out = retrieval.search(facts, entities, episodes, links, queries, now, as_of=now)
+    got = [(r.uuid, r.score is None) for r in out["facts"].orderBy("position").collect()]
+    assert got == [(1, False), (2, True), (3, True)]
+    assert [r.doc for r in out["entities"].collect()] == [10] and [r.doc for r in out["episodes"].collect()] == [100]
+    current = [r.uuid for r in retrieval.search(facts, entities, episodes, links, queries, now)["facts"].collect()]
+    assert set(current) == {1, 2, 3, 6}
 
 
 def test_upsert_keeps_immutable_columns(spark):
@@ -176,6 +224,13 @@ def test_upsert_keeps_immutable_columns(spark):
     new = spark.createDataFrame([(1, "h", "c"), (3, "h", "d")], "uuid long, group_id string, v string")
     got = {r.uuid: (r.group_id, r.v) for r in ingest.upsert(old, new, "uuid", ("group_id",)).collect()}
     assert got == {1: ("g", "c"), 2: ("g", "b"), 3: ("h", "d")}
+    tables.bootstrap(spark, "lore_upsert")
+    try:
+        target = spark.table("lore_upsert.entities")
+        change = spark.sql("select 'e1' uuid, 'n' name, 'g' group_id, array('x') labels, 's' summary, map('k', v) attributes, timestamp'2024-01-01' + make_dt_interval(i) created_at from values ('a', 1), ('b', 2) as t(v, i)")
+        assert [r.attributes for r in ingest.upsert(target, change, "uuid", tables.IMMUTABLE["entities"], "created_at").collect()] == [{"k": "b"}]
+    finally:
+        spark.sql("DROP DATABASE lore_upsert CASCADE")
 
 
 def test_bootstrap_is_idempotent(spark):
