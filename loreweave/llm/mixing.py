@@ -2,8 +2,8 @@
 
 Each source gets a target of tokens. Among all document rates between 0 and MOST copies that give each
 source its target, those of least relative entropy to one copy each are exp(lambda_s * size / mean size),
-cut at MOST; lambda_s solves the convex dual, by Newton steps whose gradients and Hessians Spark sums over
-all documents. Rates become copies, whose tokens miss the target by about a document's size at most:
+cut at MOST; lambda_s solves the convex dual, by Newton steps that Spark takes for all sources at once, with
+gradients and Hessians summed over all documents. Rates become copies, whose tokens miss the target by about a document's size at most:
 documents of one source and size share a rate, so an error is carried along from the largest size to the
 smallest, and inside a size a hash of the document decides who gets the last copies.
 
@@ -14,9 +14,11 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,6 +26,7 @@ from loreweave.llm.common import stored
 
 #: Copies of a document at most, and tokens of a source at most, as a multiple of what there is.
 MOST = 2
+LOG_MOST = math.log(MOST)
 #: Groups that the documents of one source and size are dealt to.
 DEALT = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,36 +53,48 @@ def with_targets(sources: DataFrame, share: float, weights: tuple[int, ...]) ->
     return found.select("key", "source", "source_size", target.alias("target"))
 
 
-def solve_dual(cells: DataFrame, sources: list, rounds: int = 100, close: float = 1e-10) -> dict[str, float]:
-    """lambda of each source. cells: key, size, docs; sources: rows with key, source_size, docs, target.
+def _tilt(x: Column) -> Column:
+    return x * F.col("size") / F.col("mean")
+
+
+def _rate(x: Column) -> Column:
+    """Copies of a document; infinite multipliers stand for all or nothing."""
+    return F.when(x == float("inf"), float(MOST)).when(x == float("-inf"), 0.0).otherwise(F.exp(F.least(_tilt(x), F.lit(LOG_MOST))))
+
+
+def solve_dual(cells: DataFrame, sources: DataFrame, rounds: int = 200, close: float = 1e-10) -> DataFrame:
+    """sources (key, source_size, docs, target) with mean, a document's mean size, and x, the multiplier.
 
-    Newton steps, held inside a bracket that each gradient's sign narrows. The multipliers, one for each
-    source that has a target, are all that the driver holds.
+    cells: key, size, docs. Newton steps, held inside a bracket that each gradient's sign narrows. A round is one
+    join of the cells with the multipliers that are still sought and a row for each source; the driver learns
+    only how many are left. Gradients are sums of decimals, so that they don't depend on a shuffle's order.
     """
-    spark = cells.sparkSession
-    todo = {r["key"]: {"x": 0.0, "lo": -np.inf, "hi": np.inf, "target": r["target"]} for r in sources if 0 < r["target"] < MOST * r["source_size"] * (1 - 1e-12)}
-    done: dict[str, float] = {r["key"]: np.inf if r["target"] > 0 else -np.inf for r in sources if r["key"] not in todo}
-    scaled = cells.join(spark.createDataFrame([(r["key"], r["source_size"] / r["docs"]) for r in sources], "key string, mean double"), "key")
+    size, inf = F.col("source_size"), F.lit(float("inf"))
+    nothing, everything = F.col("target") <= 0, F.col("target") >= MOST * size * (1 - 1e-12)
+    begun = sources.select(
+        "key", "source_size", "docs", "target", (size / F.col("docs")).alias("mean"), F.when(nothing, -inf).when(everything, inf).otherwise(0.0).alias("x"),
+        (-inf).alias("lo"), inf.alias("hi"), (nothing | everything).alias("done"),
+    )
+    state = stored(begun, "mix-multipliers")
+    share = F.col("cell_docs") * F.col("size") / size * F.exp(F.least(_tilt(F.col("x")), F.lit(LOG_MOST)))
+    exact = lambda c: F.sum(c.cast("decimal(28,18)")).cast("double")
     for _ in range(rounds):
-        if not todo:
-            break
-        at = spark.createDataFrame([(k, v["x"]) for k, v in todo.items()], "key string, x double")
-        tilt = F.col("x") * F.col("size") / F.col("mean")
-        rate = F.exp(F.least(tilt, F.lit(float(np.log(MOST)))))
-        tokens = F.col("docs") * F.col("size") * rate
-        sums = scaled.join(at, "key").groupBy("key").agg(F.sum(tokens).alias("g"), F.sum(F.when(tilt < float(np.log(MOST)), tokens * F.col("size") / F.col("mean")).otherwise(0.0)).alias("h"))
-        for r in sums.collect():
-            v = todo[r["key"]]
-            gap = r["g"] - v["target"]
-            if abs(gap) <= close * v["target"] or v["hi"] - v["lo"] < 1e-13:
-                done[r["key"]] = todo.pop(r["key"])["x"]
-                continue
-            v["lo" if gap < 0 else "hi"] = v["x"]
-            step = v["x"] - gap / r["h"] if r["h"] > 0 else np.nan
-            if not v["lo"] < step < v["hi"]:
-                step = (v["lo"] + v["hi"]) / 2 if np.isfinite(v["lo"] + v["hi"]) else 2 * v["x"] + (1 if gap < 0 else -1)
-            v["x"] = float(step)
-    return done | {k: v["x"] for k, v in todo.items()}
+        if state.where("not done").isEmpty():
+            return state.select("key", "source_size", "target", "mean", "x")
+        at = cells.withColumnRenamed("docs", "cell_docs").join(state.where("not done"), "key")
+        sums = at.groupBy("key").agg(exact(share).alias("g"), exact(F.when(_tilt(F.col("x")) < LOG_MOST, share * F.col("size") / F.col("mean")).otherwise(0.0)).alias("h"))
+        x, gap = F.col("x"), F.col("g") - F.col("target") / size
+        found = (F.abs(gap) <= close * F.col("target") / size) | (F.col("hi") - F.col("lo") < 1e-13 * F.greatest(F.lit(1.0), F.abs(x)))
+        narrowed = state.join(sums, "key", "left").withColumns({
+            "gap": gap, "done": F.col("done") | found,
+            "lo": F.when(~F.col("done") & (gap < 0), x).otherwise(F.col("lo")), "hi": F.when(~F.col("done") & (gap >= 0), x).otherwise(F.col("hi")),
+        })
+        newton = x - F.col("gap") / F.when(F.col("h") > 0, F.col("h"))
+        bounded = (F.col("lo") > -inf) & (F.col("hi") < inf)
+        other = F.when(bounded, (F.col("lo") + F.col("hi")) / 2).otherwise(2 * x + F.when(F.col("gap") < 0, 1.0).otherwise(-1.0))
+        step = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise(other)
+        state = stored(narrowed.withColumn("x", F.when(F.col("done"), x).otherwise(step)).select(state.columns), "mix-multipliers")
+    raise RuntimeError(f"the multipliers did not settle in {rounds} rounds")
 
 
 def _round(cells: pd.DataFrame) -> pd.DataFrame:
@@ -98,7 +113,6 @@ def _round(cells: pd.DataFrame) -> pd.DataFrame:
 
 def mix(documents: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of every document (doc_id, text, source)."""
-    spark = documents.sparkSession
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     spread = F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
@@ -106,14 +120,9 @@ def mix(documents: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5,
     dealt = stored(docs.groupBy("key", "source", "size", "dealt").agg(F.count("*").alias("docs")), "mix-cells")
     cells = dealt.groupBy("key", "size").agg(F.sum("docs").alias("docs"))
     totals = dealt.groupBy("key", "source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size"), F.sum("docs").alias("docs"))
-    targets = with_targets(totals.drop("docs"), share, weights)
-    sources = targets.join(totals.select("key", "docs"), "key").collect()  # one row for each source that has a weight
-    multipliers = solve_dual(cells, sources) if sources else {}
-    rows = [(r["key"], int(r["source_size"]), float(r["target"]), float(multipliers[r["key"]]), r["source_size"] / r["docs"]) for r in sources]
-    solved = spark.createDataFrame(rows, "key string, source_size long, target double, multiplier double, mean double")
-    # infinite multipliers stand for all or nothing
-    rate = F.when(F.col("multiplier") == float("inf"), float(MOST)).when(F.col("multiplier") == float("-inf"), 0.0).otherwise(F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("mean"), F.lit(float(np.log(MOST))))))
-    ideal = cells.join(solved, "key").select("key", "size", "docs", (rate * F.col("docs")).alias("ideal"))
+    targets = stored(with_targets(totals.drop("docs"), share, weights).join(totals.select("key", "docs"), "key"), "mix-targets")
+    solved = solve_dual(cells, targets)
+    ideal = cells.join(solved.select("key", "mean", "x"), "key").select("key", "size", "docs", (_rate(F.col("x")) * F.col("docs")).alias("ideal"))
     # a source's sizes are as many as there are lengths of texts, however many documents it has
     copies = ideal.groupBy("key").applyInPandas(_round, "key string, size long, docs long, copies long")
     # the first `copies mod docs` documents of a size by dealt, spread get one copy more
@@ -123,4 +132,4 @@ def mix(documents: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5,
     place = F.col("offset") + F.row_number().over(W.partitionBy("key", "size", "dealt").orderBy("spread", "doc_id")) - 1
     placed = docs.join(plan, ["key", "size", "dealt"]).withColumn("copies", (F.col("all") + (place < F.col("more")).cast("long")).cast("long"))
     out = placed.join(solved.withColumnRenamed("key", "solved_key"), F.col("key") == F.col("solved_key"))
-    return out.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", _rate(F.col("x")).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -131,11 +131,15 @@ def base32(sha1_hex):
     return F.concat(*[F.substring(F.lit(digits), F.conv(F.substring(bits, 1 + 5 * k, 5), 2, 10).cast("int") + 1, F.lit(1)) for k in range(32)])
 
 
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
+RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows come sorted by archive and offset."""
     name, source = None, None
 
-    def fetch(run: list[dict]) -> pa.RecordBatch:
+    def fetch(run: list[dict]) -> Iterator[pa.RecordBatch]:
         nonlocal name, source
         if run[0]["archive"] != name:
             name = run[0]["archive"]
@@ -143,30 +147,31 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             source = system.open_input_file(path)
         start = run[0]["offset"]
         data = source.read_at(run[-1]["offset"] + run[-1]["length"] - start, start)
-        out = []
+        out, held = [], 0
         for r in run:
             fields, http, payload = parse(zlib.decompress(data[r["offset"] - start : r["offset"] - start + r["length"]], 31))
+            if out and held + len(payload) > READ_BYTES:  # few bytes may unpack to many
+                yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
+                out, held = [], 0
+            held += len(payload)
             length = int(http.rpartition(b"Content-Length: ")[2])
             digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
             if fields["WARC-Type"] == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                 raise ValueError(f"{name} has another payload at {r['offset']} than its header says")
             number = lambda k: int(fields[k]) if fields.get(k) else None
             out.append({"page_id": number("X-Page-Id"), "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page"), "payload": payload.decode() if fields["WARC-Type"] == "response" else None})
-        return pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())]))
+        yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
 
     run: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
             end = run[-1]["offset"] + run[-1]["length"] if run else 0
             if run and (r["archive"] != run[-1]["archive"] or r["offset"] > end + GAP or r["offset"] + r["length"] > run[0]["offset"] + READ_BYTES):
-                yield fetch(run)
+                yield from fetch(run)
                 run = []
             run.append(r)
     if run:
-        yield fetch(run)
-
-
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
+        yield from fetch(run)
 
 
 def read_records(selected: DataFrame) -> DataFrame:
