@@ -130,7 +130,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
     found = toxicity.score(docs, model, ["doc_id"])
-    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"), "passages")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ proportional to its overall frequency. Those likelier in toxic texts by a factor
 keep them: smaller differences come from a text's topic or language. Chance is no yes or no: the odds are
 weighed by the probability that the counts aren't those of a common word, so that few training texts give
 low scores and not none. A word scores as the best of its own; all words without one share one slightly
-negative score. A linear-time scan finds every maximal-scoring segment of a text. The best segment's
-score S in a text of n words is calibrated as an extreme value: E = K n exp(-lambda S) is the number of
-segments as good that clean text yields for each toxic one, and the document's score is 1 / (1 + E).
+negative score. A linear-time scan finds every maximal-scoring segment of a text. A segment's score S in a
+text of n words is calibrated as an extreme value: E = K n exp(-lambda S) is the number of segments as good
+that clean text yields for each toxic one, and its probability is 1 / (1 + E). A document adds up the odds
+1 / E of all its segments, so several weaker passages count as one strong passage does. lambda and K are those
+that make the labels of the training sample likeliest.
 
 The training sample is bounded (labelled_rows); everything else reads all rows and whole texts. Words are
 runs of letters in lower case, so a null or empty text has none and gets the score of texts without a
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from loreweave.llm.common import as_text, keep, slices, unit_hash
 
@@ -55,10 +58,13 @@ class ToxicityModel:
     size: float = 1.0
     base: float = 0.0
 
-    def probability(self, best: float, n: int) -> float:
-        if best <= 0:
+    def probability(self, segments: list[float], n: int) -> float:
+        """That a text of n words with segments of these scores is toxic; of one score: that this segment is."""
+        if not segments:
             return self.base
-        return 1 / (1 + math.exp(min(700.0, math.log(self.size * max(n, 1)) - self.decay * best)))
+        best = max(segments)
+        odds = self.decay * best + math.log(math.fsum(math.exp(self.decay * (s - best)) for s in segments))
+        return 1 / (1 + math.exp(min(700.0, math.log(self.size * max(n, 1)) - odds)))
 
 
 def heads_of(scores: dict[bytes, float]) -> set[bytes]:
@@ -115,34 +121,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(values if label else zero), pa.array(zero if label else values)], ["word", "toxic", "clean"])
 
 
-def _best(scores: dict[bytes, float], rest: float, names: list[str]):
+def _segments(scores: dict[bytes, float], rest: float):
+    """The number of words and the scores of all segments of each text of the sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = heads_of(scores)
         for batch in batches:
             for part in slices(batch):
-                n, best = [], []
-                for text in as_text(part):
-                    words = words_of(text)
-                    n.append(len(words))
-                    best.append(max((s for _, _, s in maximal_segments(scores, rest, words, heads)), default=0.0))
-                yield pa.RecordBatch.from_arrays([*keep(part, names).values(), pa.array(n, pa.int64()), pa.array(best, pa.float64())], [*names, "n", "best"])
+                texts = [words_of(t) for t in as_text(part)]
+                found = [[s for _, _, s in maximal_segments(scores, rest, words, heads)] for words in texts]
+                yield pa.RecordBatch.from_arrays([*keep(part, ["label"]).values(), pa.array([len(w) for w in texts], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["label", "n", "segments"])
 
     return run
 
 
-def fit_extreme_values(best: np.ndarray, n: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """lambda and K that make 1 / (1 + K n exp(-lambda S)) likeliest, under a weak normal prior around 1."""
-    if not len(best):
+def fit_extreme_values(segments: list[np.ndarray], n: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """lambda and K that make 1 / (1 + 1 / sum(1 / E)) likeliest, under a weak normal prior around 1.
+
+    segments: the scores of each text, one at least. The slope in lambda is the mean score of a text's
+    segments, each weighed by its share of the odds.
+    """
+    if not len(segments):
         return 1.0, 1.0
-    x = np.stack([best, -np.ones_like(best)], axis=1)
+    every, first = np.concatenate(segments), np.concatenate([[0], np.cumsum([len(s) for s in segments])[:-1]])
+    best, text = np.maximum.reduceat(every, first), np.repeat(np.arange(len(segments)), [len(s) for s in segments])
     offset, w, prior = -np.log(np.maximum(n, 1)), np.array([1.0, 0.0]), np.array([[0.1, 0], [0, 0.01]])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        odds = np.exp(np.clip(w[0] * (every - best[text]), -700, 0))
+        total = np.add.reduceat(odds, first)
+        x = np.stack([np.add.reduceat(odds * every, first) / total, -np.ones_like(best)], axis=1)
+        p = 1 / (1 + np.exp(-np.clip(w[0] * best + np.log(total) - w[1] + offset, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior, x.T @ (toxic - p) - prior @ (w - np.array([1.0, 0.0])))
         w += np.clip(step, -2, 2)
+        w[0] = max(w[0], 1e-3)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(np.exp(np.clip(w[1], -50, 50)))
+    return float(w[0]), float(np.exp(np.clip(w[1], -50, 50)))
 
 
 def marked(toxic: np.ndarray, clean: np.ndarray, times: np.ndarray, share: float, rounds: int = 60) -> np.ndarray:
@@ -193,33 +207,50 @@ def train(documents: DataFrame, labels: DataFrame, learnable: Column, labelled_r
         scores = {bytes(r["word"]): float(r["score"]) for r in sorted(significant, key=lambda r: bytes(r["word"]))}
         y1, y0 = sum(r["y1"] for r in significant), sum(r["y0"] for r in significant)
         rest = min(-1e-3, math.log(max(n1 - y1, 1) / n1) - math.log(max(n0 - y0, 1) / n0))
-        best = texts.mapInArrow(_best(scores, rest, ["label"]), "label int, n long, best double").toPandas()
+        # texts of the bounded sample only
+        found = texts.mapInArrow(_segments(scores, rest), "label int, n long, segments array<double>").toPandas()
     finally:
         texts.unpersist()
-    best = best.sort_values(["best", "n", "label"])
+    found["segments"] = [np.asarray(x, float) for x in found["segments"]]
+    found["best"] = [x.max() if len(x) else 0.0 for x in found["segments"]]
+    found = found.sort_values(["best", "n", "label"])
     # the sample's classes don't stand as 1 to 1 among all rows: clean ones are weighed by repeating odds in K
-    hit = best[best["best"] > 0]
-    decay, size = fit_extreme_values(hit["best"].to_numpy(), hit["n"].to_numpy(float), hit["label"].to_numpy(float))
+    hit, none = found[found["best"] > 0], found[found["best"] <= 0]
+    decay, size = fit_extreme_values(hit["segments"].tolist(), hit["n"].to_numpy(float), hit["label"].to_numpy(float))
     taken1, taken0 = min(1.0, labelled_rows / 2 / counts[1]), min(1.0, labelled_rows / 2 / counts[0])
-    none = best[best["best"] <= 0]
     toxic, clean = (none["label"] == 1).sum() / taken1, (none["label"] == 0).sum() / taken0
     return ToxicityModel(scores, rest, decay, size * taken1 / taken0, float(min(0.5, (toxic + 0.5) / (toxic + clean + 1))))
 
 
-def _score(model: ToxicityModel, names: list[str]):
+PASSAGES = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("probability", pa.float64())]))
+
+
+def _score(model: ToxicityModel, names: list[str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _best(model.scores, model.rest, names)(batches):
-            p = [model.probability(s, n) for s, n in zip(part.column(len(names) + 1).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(p, pa.float64())], [*names, "score"])
+        heads = heads_of(model.scores)
+        for batch in batches:
+            for part in slices(batch):
+                p, found = [], []
+                for text in as_text(part):
+                    words = words_of(text)
+                    segments = maximal_segments(model.scores, model.rest, words, heads)
+                    p.append(model.probability([s for _, _, s in segments], len(words)))
+                    each = [(a, b - 1, model.probability([s], len(words))) for a, b, s in segments]
+                    found.append([dict(zip(("first_word", "last_word", "probability"), x, strict=True)) for x in each if x[2] >= least])
+                yield pa.RecordBatch.from_arrays([*keep(part, names).values(), pa.array(p, pa.float64()), pa.array(found, PASSAGES)], [*names, "score", "passages"])
 
     return run
 
 
-def score(documents: DataFrame, model: ToxicityModel, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of documents (all by default) with score (0 to 1, higher: toxic likelier)."""
-    documents = documents.drop("score")
+def score(documents: DataFrame, model: ToxicityModel, columns: list[str] | None = None, least: float = 0.7) -> DataFrame:
+    """The given columns of documents (all by default) with score (0 to 1, higher: toxic likelier) and passages.
+
+    passages: first and last word (from 0) and probability of each passage that is toxic at `least` by itself.
+    """
+    documents = documents.drop("score", "passages")
     columns = [c for c in documents.columns if columns is None or c in columns]
-    return documents.mapInArrow(_score(model, columns), documents.select(columns).schema.add("score", "double"))
+    schema = documents.select(columns).schema.add("score", "double").add("passages", from_arrow_type(PASSAGES))
+    return documents.mapInArrow(_score(model, columns, least), schema)
 
 
 def passages(documents: DataFrame, model: ToxicityModel, least: float = 0.7) -> DataFrame:
@@ -233,7 +264,7 @@ def passages(documents: DataFrame, model: ToxicityModel, least: float = 0.7) ->
                 for doc_id, text in zip(as_text(part, "doc_id"), as_text(part), strict=True):
                     words = words_of(text)
                     for a, b, s in maximal_segments(model.scores, model.rest, words, heads):
-                        if (p := model.probability(s, len(words))) >= least:
+                        if (p := model.probability([s], len(words))) >= least:
                             rows.append({"doc_id": doc_id, "first_word": a, "last_word": b - 1, "passage_score": s, "probability": p, "passage": b" ".join(words[a:b]).decode("utf-8", "replace")})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("passage_score", pa.float64()), ("probability", pa.float64()), ("passage", pa.string())]))
 
