@@ -180,11 +180,12 @@ def _training_windows(per_document: int):
 def train(documents: DataFrame, learnable: Column, docs_per_language: int = 400, windows_per_doc: int = 40, hidden: int = 16, steps: int = 900) -> BiGru | None:
     """A network fitted to a bounded sample of the learnable rows.
 
-    The sample holds about docs_per_language rows of each language, chosen by a hash of text, and
+    The sample holds about docs_per_language different texts of each language, chosen by a hash of text, and
     windows_per_doc windows of each row at most. None if there is nothing to learn from.
     """
     rows = documents.where(learnable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # texts are chosen by their hash, copies together: the rate is that of different texts
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     if not counts:
         return None
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_language / n))) for k, n in sorted(counts.items())])
