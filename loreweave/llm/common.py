@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loreweave.operators.shuffles import connected_components, join_unique, shared_folder, stored
 
-__all__ = ["MIX", "as_bytes", "as_text", "by_place", "connected_components", "join_unique", "keep", "mixed", "remainder", "shared_folder", "slices", "spaced_scripts", "stored", "unit_hash"]
+__all__ = ["MIX", "apart", "as_bytes", "as_text", "by_place", "connected_components", "join_unique", "keep", "mixed", "remainder", "shared_folder", "slices", "spaced_scripts", "stored", "unit_hash"]
 
 #: Bytes of text that a task works on at a time, so that memory doesn't depend on Spark's batch size.
 SLICE_BYTES = 4 << 20
@@ -23,12 +23,16 @@ UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 NO_WORD = re.compile(r"[^\w]+")
 
 
+def apart(text: str) -> str:
+    """The text with spaces around the characters of unspaced scripts."""
+    return text if text.isascii() or not UNSPACED.search(text) else UNSPACED.sub(r" \1 ", text)
+
+
 def spaced_scripts(text: str) -> str:
     """The text with punctuation outside ASCII as spaces, and with spaces around the characters of unspaced scripts."""
     if text.isascii():
         return text
-    text = NO_WORD.sub(" ", text)
-    return UNSPACED.sub(r" \1 ", text) if UNSPACED.search(text) else text
+    return apart(NO_WORD.sub(" ", text))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,6 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import as_text, keep, slices, stored, unit_hash
+from loreweave.llm.common import apart, as_text, keep, slices, stored, unit_hash
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 20
-SENTENCE_END = re.compile(rb"[.!?\xe3]$")
+#: Marks that end a sentence, and those after which a word counts as closed.
+SENTENCE_END = tuple(".!?。！？।؟…")
+CLOSED = tuple(x.encode() for x in ".,;:!?。、，；：！？।؟")
 
 
 def features(text: str | None) -> list[float]:
     """Shares and logarithms that don't grow with the text's length, but for its logarithm."""
     raw = (text or "").encode("utf-8", "replace")
-    words, lines = raw.split(), [x for x in raw.split(b"\n") if x and not x.isspace()]
+    words, lines = apart(text or "").encode("utf-8", "replace").split(), [x for x in raw.split(b"\n") if x and not x.isspace()]
     n, chars = max(len(words), 1), max(len(raw), 1)
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
     letters = int(counts[65:91].sum() + counts[97:123].sum()) or 1
@@ -46,13 +47,13 @@ def features(text: str | None) -> list[float]:
     dup_lines = len(lines) - len(set(lines))
     window_dup = len(words) - 3 - len(set(zip(words, words[1:], words[2:], words[3:], strict=False))) if len(words) > 3 else 0
     long_words = sum(len(w) > 20 for w in words)
-    ended = sum(w[-1] in b".,;:!?" for w in words)
+    ended = sum(w.endswith(CLOSED) for w in words)
     logs = lambda x: math.log1p(100 * x)
     return [
         math.log1p(len(words)), math.log1p(min(len(words), 30)), logs(symbols / chars), logs(marks / n), upper / letters, logs(digits / chars),
         logs(pipes / n), logs(dup_lines / max(len(lines), 1)), logs(window_dup / n), logs(same_next / n), top / n, len(seen) / n,
         sum(map(len, words)) / n / 10, logs(long_words / n), logs(ended / n), math.log1p(n / max(len(lines), 1)),
-        float(any(SENTENCE_END.search(x) for x in lines[-1:])), logs(counts[10] / n), symbols / n, float(len(words) < 5),
+        float(bool(lines) and lines[-1].decode("utf-8", "replace").rstrip().endswith(SENTENCE_END)), logs(counts[10] / n), symbols / n, float(len(words) < 5),
     ]
 
 

@@ -13,7 +13,7 @@ that clean text yields for each toxic one, and its probability is 1 / (1 + E). A
 that make the labels of the training sample likeliest.
 
 The training sample is bounded (labelled_rows); everything else reads all rows and whole texts. Words are
-runs of letters in lower case, so a null or empty text has none and gets the score of texts without a
+runs of letters in lower case, single characters where a script has no spaces between words, so a null or empty text has none and gets the score of texts without a
 segment, as do all texts if nothing can be learned. Ties between segments go to the earlier one. Rows are
 scored one by one: repeated rows repeat results, further columns are ignored or carried along.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from loreweave.llm.common import as_text, keep, slices, unit_hash
+from loreweave.llm.common import apart, as_text, keep, slices, unit_hash
 
 #: All bytes that are no letters in ASCII become spaces.
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -41,7 +41,7 @@ STEMS = (4, 5, 6, 7)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split() if text else []
+    return apart(text.lower()).encode("utf-8", "replace").translate(LETTERS_ONLY).split() if text else []
 
 
 def units(word: bytes) -> set[bytes]:
