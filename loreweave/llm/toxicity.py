@@ -10,7 +10,7 @@ negative score. A linear-time scan finds every maximal-scoring segment of a text
 text of n words is calibrated as an extreme value: E = K n exp(-lambda S) is the number of segments as good
 that clean text yields for each toxic one, and its probability is 1 / (1 + E). A document adds up the odds
 1 / E of all its segments, so several weaker passages count as one strong passage does. lambda and K are those
-that make the labels of the training sample likeliest.
+that make the labels of the training sample likeliest by the best segment of each text.
 
 The training sample is bounded (labelled_rows); everything else reads all rows and whole texts. Words are
 runs of letters in lower case, single characters where a script has no spaces between words, so a null or empty text has none and gets the score of texts without a
@@ -121,42 +121,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(values if label else zero), pa.array(zero if label else values)], ["word", "toxic", "clean"])
 
 
-def _segments(scores: dict[bytes, float], rest: float):
-    """The number of words and the scores of all segments of each text of the sample."""
+def _maxima(scores: dict[bytes, float], rest: float):
+    """The number of words and the score of the best segment of each text of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = heads_of(scores)
         for batch in batches:
             for part in slices(batch):
                 texts = [words_of(t) for t in as_text(part)]
-                found = [[s for _, _, s in maximal_segments(scores, rest, words, heads)] for words in texts]
-                yield pa.RecordBatch.from_arrays([*keep(part, ["label"]).values(), pa.array([len(w) for w in texts], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["label", "n", "segments"])
+                best = [max((s for _, _, s in maximal_segments(scores, rest, words, heads)), default=0.0) for words in texts]
+                yield pa.RecordBatch.from_arrays([*keep(part, ["label"]).values(), pa.array([len(w) for w in texts], pa.int64()), pa.array(best, pa.float64())], ["label", "n", "best"])
 
     return run
 
 
-def fit_extreme_values(segments: list[np.ndarray], n: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """lambda and K that make 1 / (1 + 1 / sum(1 / E)) likeliest, under a weak normal prior around 1.
-
-    segments: the scores of each text, one at least. The slope in lambda is the mean score of a text's
-    segments, each weighed by its share of the odds.
-    """
-    if not len(segments):
+def fit_extreme_values(best: np.ndarray, n: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """lambda and K that make 1 / (1 + K n exp(-lambda S)) likeliest, under a weak normal prior around 1; best: S of each text's maximum."""
+    if not len(best):
         return 1.0, 1.0
-    every, first = np.concatenate(segments), np.concatenate([[0], np.cumsum([len(s) for s in segments])[:-1]])
-    best, text = np.maximum.reduceat(every, first), np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+    x = np.stack([best, -np.ones_like(best)], axis=1)
     offset, w, prior = -np.log(np.maximum(n, 1)), np.array([1.0, 0.0]), np.array([[0.1, 0], [0, 0.01]])
     for _ in range(rounds):
-        odds = np.exp(np.clip(w[0] * (every - best[text]), -700, 0))
-        total = np.add.reduceat(odds, first)
-        x = np.stack([np.add.reduceat(odds * every, first) / total, -np.ones_like(best)], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(w[0] * best + np.log(total) - w[1] + offset, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior, x.T @ (toxic - p) - prior @ (w - np.array([1.0, 0.0])))
         w += np.clip(step, -2, 2)
-        w[0] = max(w[0], 1e-3)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(np.exp(np.clip(w[1], -50, 50)))
+    return float(max(w[0], 1e-3)), float(np.exp(np.clip(w[1], -50, 50)))
 
 
 def marked(toxic: np.ndarray, clean: np.ndarray, times: np.ndarray, share: float, rounds: int = 60) -> np.ndarray:
@@ -208,15 +199,13 @@ def train(documents: DataFrame, labels: DataFrame, learnable: Column, labelled_r
         y1, y0 = sum(r["y1"] for r in significant), sum(r["y0"] for r in significant)
         rest = min(-1e-3, math.log(max(n1 - y1, 1) / n1) - math.log(max(n0 - y0, 1) / n0))
         # texts of the bounded sample only
-        found = texts.mapInArrow(_segments(scores, rest), "label int, n long, segments array<double>").toPandas()
+        best = texts.mapInArrow(_maxima(scores, rest), "label int, n long, best double").toPandas()
     finally:
         texts.unpersist()
-    found["segments"] = [np.asarray(x, float) for x in found["segments"]]
-    found["best"] = [x.max() if len(x) else 0.0 for x in found["segments"]]
-    found = found.sort_values(["best", "n", "label"])
+    best = best.sort_values(["best", "n", "label"])
     # the sample's classes don't stand as 1 to 1 among all rows: clean ones are weighed by repeating odds in K
-    hit, none = found[found["best"] > 0], found[found["best"] <= 0]
-    decay, size = fit_extreme_values(hit["segments"].tolist(), hit["n"].to_numpy(float), hit["label"].to_numpy(float))
+    hit, none = best[best["best"] > 0], best[best["best"] <= 0]
+    decay, size = fit_extreme_values(hit["best"].to_numpy(), hit["n"].to_numpy(float), hit["label"].to_numpy(float))
     taken1, taken0 = min(1.0, labelled_rows / 2 / counts[1]), min(1.0, labelled_rows / 2 / counts[0])
     toxic, clean = (none["label"] == 1).sum() / taken1, (none["label"] == 0).sum() / taken0
     return ToxicityModel(scores, rest, decay, size * taken1 / taken0, float(min(0.5, (toxic + 0.5) / (toxic + clean + 1))))

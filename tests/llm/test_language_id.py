@@ -58,3 +58,21 @@ def test_same_model_for_any_partitioning(spark):
     docs = _corpus(spark)
     a, b = (L.train(docs.repartition(n), F.lit(True), steps=20) for n in (1, 7))
     assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+
+
+def test_pooled_labels_match_brute_force(spark):
+    docs = _corpus(spark)
+    model = L.train(docs, F.lit(True), steps=30)
+    for r in L.identify(docs.unionByName(cases.frame(spark).select("doc_id", "text", "lang")), model).collect():
+        positions = [model.position_probabilities([w])[:, :, 0] for w in L.windows(r.text)] if L.has_letter(r.text) else []
+        if not positions:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        pooled = np.concatenate(positions).mean(axis=0, dtype=np.float64)
+        assert abs(r.score - pooled.max()) < 1e-4 and pooled[model.languages.index(r.lang_pred)] > pooled.max() - 1e-4
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    copies = spark.range(3000).select(F.concat(F.lit("le les des avec "), F.col("id") % 3).alias("text"), F.lit("fr").alias("lang"))
+    docs = _corpus(spark).select("text", "lang").where("lang = 'en'").unionByName(copies)
+    assert L.train(docs, F.lit(True), docs_per_language=40, steps=5).languages == ["en", "fr"]

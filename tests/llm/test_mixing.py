@@ -54,7 +54,7 @@ def test_rates_are_tilted_exponentially(spark):
 
 
 def test_reruns_agree(spark):
-    a, b = (Counter((r.doc_id, r.taken) for r in M.mix(_docs(spark).repartition(n)).collect()) for n in (1, 5))
+    a, b = (Counter((r.doc_id, r.rate, r.taken) for r in M.mix(_docs(spark).repartition(n)).collect()) for n in (1, 5))
     assert a == b
 
 

@@ -34,3 +34,13 @@ def test_edge_cases(spark):
     assert Q.score(cases.frame(spark), None, ["doc_id"]).count() == len(cases.ROWS)
     assert Q.score(cases.empty(spark), model, ["doc_id"]).count() == 0
     assert len(Q.features(None)) == len(Q.features("a b")) == Q.FEATURES
+
+
+def test_unspaced_scripts_have_words_and_sentences():
+    import numpy as np
+
+    from loreweave.llm.quality_pairs import features
+
+    zh = features("今天天气很好。我们去公园散步。")
+    assert zh[-1] == 0.0 and zh[-4] == 1.0 and np.isclose(np.expm1(zh[0]), 15)
+    assert features("今天天气很好")[-4] == 0.0

@@ -80,3 +80,43 @@ def test_recall_of_toxic_texts(spark, sf, least):
     found, wrong, clean = (sum(f(r) for r in rows) for f in (lambda r: r.predicted and labels[r.doc_id] == 1, lambda r: r.predicted and labels[r.doc_id] == 0, lambda r: labels[r.doc_id] == 0))
     print(sf, found, wrong, clean)
     assert found >= least and wrong <= 0.01 * clean
+
+
+def _likelihood(best, n, toxic, decay, size):
+    model = X.ToxicityModel(decay=decay, size=size)
+    p = [model.probability([s], int(k)) for s, k in zip(best, n, strict=True)]
+    return sum(np.log(x if y else 1 - x) for x, y in zip(p, toxic, strict=True)) - 0.05 * (decay - 1) ** 2 - 0.005 * np.log(size) ** 2
+
+
+def test_calibration_is_likeliest():
+    rng = np.random.default_rng(4)
+    toxic = (rng.random(400) < 0.4).astype(float)
+    best, n = rng.gamma(2 + 3 * toxic, 1.0), rng.integers(20, 200, 400).astype(float)
+    decay, size = X.fit_extreme_values(best, n, toxic)
+    grid = [(decay * a, size * b) for a in (0.8, 0.95, 1.0, 1.05, 1.25) for b in (0.5, 0.8, 1.0, 1.25, 2.0)]
+    assert _likelihood(best, n, toxic, decay, size) >= max(_likelihood(best, n, toxic, *at) for at in grid) - 1e-6
+
+
+def test_weaker_passages_add_up():
+    model = X.ToxicityModel(decay=1.0, size=0.01)
+    one, odds = model.probability([5.0], 100), lambda p: p / (1 - p)
+    assert odds(model.probability([5.0, 5.0, 5.0], 100)) == pytest.approx(3 * odds(one))
+    assert model.probability([], 100) == model.base
+
+
+def test_scores_and_passages_match_brute_force(spark):
+    docs, labels = _corpus(spark)
+    model = X.train(docs, labels, F.lit(True))
+    for r in X.score(docs, model).collect():
+        words = X.words_of(r.text)
+        value = [max((model.scores[u] for u in X.units(w) if u in model.scores), default=model.rest) for w in words]
+        total = lambda a, b: sum(value[a:b])
+        found = X.maximal_segments(model.scores, model.rest, words, X.heads_of(model.scores))
+        odds = sum(np.exp(model.decay * total(a, b)) for a, b, _ in found) / (model.size * len(words))
+        assert r.score == pytest.approx(odds / (1 + odds) if found else model.base)
+        single = [(a, b - 1) for a, b, _ in found if 1 / (1 + model.size * len(words) * np.exp(-model.decay * total(a, b))) >= 0.7]
+        assert [(p.first_word, p.last_word) for p in r.passages] == single
+
+
+def test_unspaced_scripts():
+    assert X.words_of("你好 World") == ["你".encode(), "好".encode(), b"world"]

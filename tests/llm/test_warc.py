@@ -62,3 +62,10 @@ def test_base32(spark):
 
 def test_empty(spark):
     assert warc.read_records(warc.write_archives(_frame(spark, []))).count() == 0
+
+
+def test_batches_are_bounded_by_what_records_unpack_to(spark):
+    pages = [(k, f"u{k}", f"{k} " + "a" * (1 << 20)) for k in range(20)]
+    index = warc.write_archives(_frame(spark, pages)).select("archive", "offset", "length").sort("archive", "offset").toArrow()
+    sizes = [batch.num_rows for batch in warc._read(iter(index.to_batches()))]
+    assert sum(sizes) == 20 and max(sizes) <= 4
