@@ -8,9 +8,9 @@ weighed by the probability that the counts aren't those of a common word, so tha
 low scores and not none. A word scores as the best of its own; all words without one share one slightly
 negative score. A linear-time scan finds every maximal-scoring segment of a text. A segment's score S in a
 text of n words is calibrated as an extreme value: E = K n exp(-lambda S) is the number of segments as good
-that clean text yields for each toxic one, and its probability is 1 / (1 + E). A document adds up the odds
-1 / E of all its segments, so several weaker passages count as one strong passage does. lambda and K are those
-that make the labels of the training sample likeliest by the best segment of each text.
+that clean text yields for each toxic one, and its probability is 1 / (1 + E). A document's score is that of
+its best segment: odds summed over all segments would add up the chance matches of clean texts. lambda and K
+are those that make the labels of the training sample likeliest by the best segment of each text.
 
 The training sample is bounded (labelled_rows); everything else reads all rows and whole texts. Words are
 runs of letters in lower case, single characters where a script has no spaces between words, so a null or empty text has none and gets the score of texts without a
@@ -59,12 +59,10 @@ class ToxicityModel:
     base: float = 0.0
 
     def probability(self, segments: list[float], n: int) -> float:
-        """That a text of n words with segments of these scores is toxic; of one score: that this segment is."""
+        """That a text of n words with segments of these scores is toxic, by the best of them."""
         if not segments:
             return self.base
-        best = max(segments)
-        odds = self.decay * best + math.log(math.fsum(math.exp(self.decay * (s - best)) for s in segments))
-        return 1 / (1 + math.exp(min(700.0, math.log(self.size * max(n, 1)) - odds)))
+        return 1 / (1 + math.exp(min(700.0, math.log(self.size * max(n, 1)) - self.decay * max(segments))))
 
 
 def heads_of(scores: dict[bytes, float]) -> set[bytes]:
