@@ -230,8 +230,8 @@ def rerank(ranked: DataFrame, scores: DataFrame, pool: int = 10) -> DataFrame:
 
 
 def merged_groups(results: DataFrame) -> DataFrame:
-    """Results of several groups (query, group_position, doc, score): a doc's first group counts, best score first."""
-    once = results.groupBy("query", "doc").agg(F.min_by("score", "group_position").alias("score"))
+    """Results of several groups (query, group_position, doc, score): a doc's first group counts and its best score there; best score first."""
+    once = results.groupBy("query", "doc").agg(F.min(F.struct("group_position", (-F.col("score")).alias("low"))).alias("x")).select("query", "doc", (-F.col("x.low")).alias("score"))
     return once.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc")))
 
 

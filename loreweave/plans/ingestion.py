@@ -70,6 +70,34 @@ def fact_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats
 
 
+@PLANS.add("""WITH k AS (SELECT p_name, min(p_partkey) AS uuid FROM part WHERE p_partkey % 4 <> 0 GROUP BY p_name)
+SELECT l_orderkey, l_linenumber, k.uuid AS source_uuid, -1 - l_suppkey AS target_uuid
+FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN k USING (p_name) JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 4 <> 0""")
+def facts_with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as extracted facts that name their ends; every fourth part and supplier is unknown."""
+    part, supplier = table(spark, sf_dir, "part").select("p_partkey", "p_name"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    named = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+    facts = named.select("l_orderkey", "l_linenumber", F.col("p_name").alias("source_name"), F.col("s_name").alias("target_name"))
+    resolved = part.select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey")).alias("uuid"))
+    resolved = resolved.unionByName(supplier.select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 != 0, -1 - F.col("s_suppkey")).alias("uuid")))
+    return ingest.with_ends(facts, resolved).select("l_orderkey", "l_linenumber", "source_uuid", "target_uuid")
+
+
+@PLANS.add("""SELECT o_orderkey AS item, o_orderpriority AS entity_type FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def items_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("entity_type"))
+    return ingest.of_types(items, ("1-URGENT", "2-HIGH"))
+
+
+@PLANS.add("""SELECT DISTINCT least(l_partkey, l_suppkey) AS a_uuid, greatest(l_partkey, l_suppkey) AS b_uuid FROM lineitem WHERE least(l_partkey, l_suppkey) % 3 <> 0""")
+def links_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links without a third of them, which are named from their other end."""
+    links = table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a_uuid"), F.greatest("l_partkey", "l_suppkey").alias("b_uuid")).distinct()
+    gone = links.where("a_uuid % 3 = 0").select(F.col("b_uuid").alias("a_uuid"), F.col("a_uuid").alias("b_uuid"))
+    return ingest.remove_links(links, gone)
+
+
 @PLANS.add("SELECT * FROM (VALUES ('端口20102', '端 口 20102'), ('LLM重启', 'LLM 重 启'), ('知识图谱', '知 识 图 谱'), ('abc', 'abc'), ('', '')) AS t(input, spaced)")
 def spaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("端口20102",), ("LLM重启",), ("知识图谱",), ("abc",), ("",)], "input string")

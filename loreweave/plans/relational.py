@@ -121,6 +121,18 @@ def entity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.history(facts, entities, entities.select("name", "group_id"), 5).select(F.col("of").alias("name"), "uuid", "position")
 
 
+@PLANS.add(f"""WITH {FACTS_SQL} SELECT uuid, group_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY valid_at DESC NULLS LAST, uuid) AS rn FROM facts WHERE expired_at IS NULL) WHERE rn <= 60""")
+def newest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.newest_facts(orders_as_facts(spark, sf_dir), 60, "valid_at").select("uuid", "group_id")  # a top-k report
+
+
+@PLANS.add(f"""WITH {FACTS_SQL} SELECT uuid, '- ' || name || ': ' || substr(fact, 1, 300) || ' [' || strftime(valid_at, '%Y-%m-%d') || ' → '
+  || coalesce(strftime(invalid_at, '%Y-%m-%d'), 'now') || ']' AS line FROM facts""")
+def rendered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_as_facts(spark, sf_dir).select("uuid", T.rendered("name", "fact", "valid_at", "invalid_at").alias("line"))
+
+
 @PLANS.add("SELECT doc_id AS uuid FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unmentioned_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("episode_uuid"))

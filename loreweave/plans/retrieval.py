@@ -149,6 +149,76 @@ def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("positives", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
+#: Whole searches over customers, their orders and the documents: number, text, group.
+SEARCHED = [(1, "urgent customer", "BUILDING"), (2, "medium idiot customer", "MACHINERY"), (3, "low 000000010 license", "AUTOMOBILE")]
+AGED_SQL = "1 / (60.0 + rank) * (0.5 + 0.5 * power(0.5, greatest(0.0, (epoch_us(TIMESTAMP '1998-09-02') - epoch_us(happened)) / 86400000000.0) / 60.0))"
+
+
+def _by_words_sql(kind: str, rows: str) -> str:
+    """The 20 best by words of each query in its group; rows: SQL of doc, group_id, happened, words."""
+    idf = "ln((docs - df + 0.5) / (df + 0.5))"
+    return rf"""{kind}_idx AS (SELECT doc, group_id, happened, {TOKENS.format('words')} AS ws FROM ({rows})),
+{kind}_corpus AS (SELECT count(*) AS docs, avg(len(ws)) AS avgdl FROM {kind}_idx),
+{kind}_tf AS (SELECT query, term, doc, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM {kind}_idx) JOIN asked_words USING (term) GROUP BY ALL),
+{kind}_df AS (SELECT query, term, count(*) AS df FROM {kind}_tf GROUP BY ALL),
+{kind}_bm AS (SELECT query, doc, group_id, happened, round(sum((CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avgdl))), 12) AS score
+  FROM {kind}_tf JOIN {kind}_df USING (query, term) JOIN {kind}_idx USING (doc), {kind}_corpus GROUP BY query, doc, group_id, happened),
+{kind}_top AS (SELECT * FROM (SELECT query, doc, happened, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {kind}_bm JOIN asked USING (query, group_id)) WHERE rank <= 20)"""
+
+
+@PLANS.add(rf"""WITH {FACTS_SQL}, asked AS (SELECT * FROM (VALUES {", ".join(f"({q}, '{t}', '{g}')" for q, t, g in SEARCHED)}) AS a(query, text, group_id)),
+asked_words AS (SELECT query, unnest(string_split(text, ' ')) AS term FROM asked),
+{_by_words_sql("e", "SELECT c_custkey AS doc, c_mktsegment AS group_id, NULL AS happened, c_name AS words FROM customer")},
+{_by_words_sql("p", "SELECT doc_id AS doc, (['BUILDING', 'MACHINERY', 'AUTOMOBILE'])[1 + doc_id % 3] AS group_id, TIMESTAMP '1998-01-01' + to_days(CAST(doc_id % 240 AS INTEGER)) AS happened, text AS words FROM documents")},
+{_by_words_sql("f", "SELECT uuid AS doc, group_id, valid_at AS happened, fact || ' ' || name AS words FROM facts")},
+p_aged AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank, doc) AS position FROM (SELECT *, {AGED_SQL} AS score FROM p_top)),
+f_aged AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank, doc) AS place FROM (SELECT *, {AGED_SQL} AS score FROM f_top)),
+holds AS (SELECT * FROM facts WHERE expired_at IS NULL AND valid_at <= TIMESTAMP '1998-09-02' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1998-09-02')),
+seeds AS (SELECT query, doc AS entity, rank, group_id FROM e_top JOIN asked USING (query) WHERE rank <= 5),
+same AS (SELECT c_custkey - 1 AS a, c_custkey AS b FROM customer WHERE c_custkey % 10 = 0),
+hops AS (SELECT query, uuid, rank * 10 AS way FROM seeds JOIN holds ON source_uuid = entity AND seeds.group_id = holds.group_id
+  UNION ALL SELECT query, uuid, rank * 10 + 1 FROM seeds JOIN (SELECT a, b FROM same UNION SELECT b, a FROM same) ON a = entity JOIN holds ON source_uuid = b),
+around AS (SELECT query, uuid, row_number() OVER (PARTITION BY query ORDER BY min(way), uuid) AS place FROM hops GROUP BY query, uuid),
+once AS (SELECT query, doc AS uuid, 0 AS part, place, score FROM f_aged WHERE place <= 10 AND doc IN (SELECT uuid FROM holds)
+  UNION ALL SELECT query, uuid, 1, place, NULL FROM around WHERE place <= 50
+    AND (query, uuid) NOT IN (SELECT (query, doc) FROM f_aged WHERE place <= 10 AND doc IN (SELECT uuid FROM holds))),
+f_found AS (SELECT query, uuid, score, row_number() OVER (PARTITION BY query ORDER BY part, place, uuid) AS position FROM once)
+SELECT 'fact' AS kind, query, uuid, position, round(score, 8) AS score FROM f_found WHERE position <= 40
+UNION ALL SELECT 'entity', query, doc, rank, round(1 / (60.0 + rank), 8) FROM e_top UNION ALL SELECT 'episode', query, doc, position, round(score, 8) FROM p_aged""")
+def search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts, entities and episodes of whole searches as of a moment; customers are entities, documents are dealt to three groups."""
+    customer, now = table(spark, sf_dir, "customer"), F.expr(NOW_ORDERS)
+    entities = customer.select(F.col("c_custkey").alias("uuid"), F.col("c_name").alias("name"), F.lit("").alias("summary"), F.col("c_mktsegment").alias("group_id"))
+    links = customer.where("c_custkey % 10 = 0").select((F.col("c_custkey") - 1).alias("a_uuid"), F.col("c_custkey").alias("b_uuid"))
+    group = F.expr("element_at(array('BUILDING', 'MACHINERY', 'AUTOMOBILE'), CAST(1 + doc_id % 3 AS INT))")
+    created = F.expr("timestampadd(DAY, CAST(doc_id % 240 AS INT), TIMESTAMP_NTZ'1998-01-01 00:00:00')")
+    episodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uuid"), group.alias("group_id"), F.col("text").alias("content"), F.lit("").alias("name"), created.alias("created_at"))
+    # customers and nations share no ids here: targets are moved out of the customers' range
+    facts = orders_as_facts(spark, sf_dir).withColumn("target_uuid", -1 - F.col("target_uuid"))
+    asked = spark.createDataFrame(SEARCHED, "query long, text string, group_id string")
+    found = R.search(facts, entities, episodes, links, asked, now, as_of=now)
+    rows = [found["facts"].select(F.lit("fact").alias("kind"), "query", "uuid", "position", "score")]
+    rows += [found[many].select(F.lit(one).alias("kind"), "query", F.col("doc").alias("uuid"), F.col("rank").alias("position"), "score") for one, many in (("entity", "entities"), ("episode", "episodes"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("score", F.round("score", 8))
+
+
+@PLANS.add(f"""SELECT doc_id AS doc, len({TOKENS.format("CASE WHEN doc_id % 5 = 1 THEN text || ' twice changed' ELSE text END")}) AS dl FROM documents WHERE doc_id % 5 <> 0""")
+def postings_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths in an index whose texts changed or went since it was written."""
+    docs = _docs(spark, sf_dir)
+    changed = docs.where("doc % 5 = 1").withColumn("text", F.concat("text", F.lit(" twice changed")))
+    return R.synced_postings(R.postings(docs, "doc", ["text"]), changed, docs.where("doc % 5 = 0"), "doc", ["text"]).select("doc", F.greatest("dl", F.lit(0)).alias("dl"))
+
+
+@PLANS.add("""WITH m AS (SELECT l_suppkey % 10 AS query, l_orderkey AS doc, -min((l_linenumber, -CAST(l_extendedprice AS DOUBLE)))[2] AS score FROM lineitem GROUP BY ALL)
+SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM m""")
+def groups_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of several groups as one list: line numbers stand for the groups' places."""
+    lines = table(spark, sf_dir, "lineitem")
+    results = lines.select((F.col("l_suppkey") % 10).alias("query"), F.col("l_linenumber").alias("group_position"), F.col("l_orderkey").alias("doc"), F.col("l_extendedprice").cast("double").alias("score"))
+    return R.merged_groups(results).select("query", "doc", "score", "rank")
+
+
 @PLANS.add("""SELECT * FROM (VALUES (1, 13, 10.0, 1), (1, 11, 4.0, 2), (1, 12, 0.0, 3), (2, 21, 0.0, 1), (2, 22, 0.0, 2)) AS t(query, doc, relevance, rank)""")
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = spark.createDataFrame([(1, 11, 0.9, 1), (1, 12, 0.8, 2), (1, 13, 0.7, 3), (2, 21, 0.6, 1), (2, 22, 0.5, 2)], "query int, doc int, score double, rank int")

@@ -204,6 +204,12 @@ def test_texts_that_hold_items(spark):
     assert sorted((r.query, r.doc) for r in got) == sorted((q, d) for q, i in items for d, t in docs if i and t and i in t)
 
 
+def test_groups_merge_by_their_first(spark):
+    rows = [(1, 0, 7, 0.5), (1, 1, 7, 0.9), (1, 1, 8, 0.6), (1, 1, 8, 0.7), (2, 0, 7, 0.1)]
+    got = retrieval.merged_groups(spark.createDataFrame(rows, "query long, group_position int, doc long, score double")).collect()
+    assert sorted((r.query, r.rank, r.doc, r.score) for r in got) == [(1, 1, 8, 0.7), (1, 2, 7, 0.5), (2, 1, 7, 0.1)]
+
+
 def test_whole_search(spark):
     facts = _facts(spark, {"uuid": 1, "source_uuid": 10, "target_uuid": 11, "fact": "nginx listens", "valid_at": "2024-01-01"}, {"uuid": 2, "source_uuid": 10, "target_uuid": 12, "fact": "other thing", "valid_at": "2024-02-01"}, {"uuid": 3, "source_uuid": 20, "target_uuid": 21, "fact": "far away", "group_id": "h"}, {"uuid": 4, "fact": "nginx old", "expired_at": "2024-01-02"}, {"uuid": 5, "fact": "nginx of h", "group_id": "h"}, {"uuid": 6, "fact": "nginx future", "valid_at": "2025-01-01"})
     entities = spark.createDataFrame([(10, "nginx", "g", ""), (20, "proxy", "h", "")], "uuid long, name string, group_id string, summary string")
