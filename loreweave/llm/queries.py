@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat_trees, decontamination, language_id, mixing, ngram_join, quality_pairs, quality_rules, token_counts, toxicity, warc
+from loreweave.llm import chat_trees, decontamination, fill_in_middle, language_id, mixing, ngram_join, quality_pairs, quality_rules, token_counts, toxicity, warc
 from loreweave.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+r AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(text, 1, least(c1, c2)) AS a, substring(text, least(c1, c2) + 1, abs(c1 - c2)) AS b, substring(text, greatest(c1, c2) + 1, n) AS c FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(c1 - c2) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -166,8 +185,9 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL, "op13_fill_in_middle": OP13_SQL}
