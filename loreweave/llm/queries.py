@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat_trees, decontamination, fill_in_middle, language_id, mixing, ngram_join, quality_pairs, quality_rules, token_counts, toxicity, warc
+from loreweave.llm import chat_trees, decontamination, fill_in_middle, language_id, merkle, mixing, ngram_join, quality_pairs, quality_rules, token_counts, toxicity, warc
 from loreweave.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,47 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(remainder("doc_id", 3) == 0, F.translate("text", upper, upper.lower()))
+    return merkle.manifest(_table(spark, sf_dir, "documents").select(*merkle.FIELDS), tampered)
+
+
+def _op11_sql(levels: int) -> str:
+    """Runs of eight, level by level; proofs join each level's siblings. levels: of a language's tree; its languages' tree has as many."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), lambda x, b: list_reduce(list_prepend(xor(x, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END))"
+    ctes = [f"d AS (SELECT doc_id, lang, sha256({head} || {field('text')}) AS leaf, sha256({head} || {field('translate(text, $u, lower($u))').replace('$u', chr(39) + 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' + chr(39))}) AS low, xor({crc}, 4294967295::UBIGINT) % 3 = 0 AS hit FROM documents)"]
+    ctes.append("a0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS r, leaf AS h FROM d)")
+    ctes.append("n0 AS (SELECT lang AS g, r AS i, h, count(*) OVER (PARTITION BY lang) AS m FROM a0)")
+
+    def up(p: str, k: int) -> str:
+        return f"{p}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN max(m) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h, max((m + 7) // 8) AS m FROM {p}{k} GROUP BY g, i // 8)"
+
+    ctes += [up("n", k) for k in range(levels)]
+    ctes.append(f"t0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, count(*) OVER () AS m, g AS lang FROM n{levels})")
+    ctes += [up("t", k) for k in range(levels)]
+    at = lambda p, k: f"{p}{k}"
+
+    def side(p: str, k: int) -> str:
+        """The siblings of each node of a level, before and after it."""
+        return f"s{p}{k} AS (SELECT x.g, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i < x.i), '') AS b, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i > x.i), '') AS e, max(x.m) AS m FROM {at(p, k)} x JOIN {at(p, k)} y ON x.g IS NOT DISTINCT FROM y.g AND x.i // 8 = y.i // 8 GROUP BY x.g, x.i)"
+
+    ctes += [side(p, k) for p in "nt" for k in range(levels)]
+    ctes.append(f"f0 AS (SELECT a0.doc_id, a0.lang, a0.leaf, CASE WHEN hit THEN low ELSE leaf END AS f, '' AS p, r AS i, 0 AS j, n{levels}.h AS subroot FROM a0 JOIN n{levels} ON a0.lang IS NOT DISTINCT FROM n{levels}.g)")
+    for k in range(levels):
+        ctes.append(f"f{k + 1} AS (SELECT doc_id, lang, leaf, CASE WHEN m > 1 THEN sha256(b || f || e) ELSE f END AS f, p || b || e AS p, f{k}.i // 8 AS i, j, subroot FROM f{k} JOIN sn{k} ON f{k}.lang IS NOT DISTINCT FROM sn{k}.g AND f{k}.i = sn{k}.i)")
+    ctes.append(f"v0 AS (SELECT doc_id, leaf, f, p, t0.i AS i, subroot FROM f{levels} JOIN t0 ON f{levels}.lang IS NOT DISTINCT FROM t0.lang)")
+    for k in range(levels):
+        ctes.append(f"v{k + 1} AS (SELECT doc_id, leaf, CASE WHEN m > 1 THEN sha256(b || f || e) ELSE f END AS f, p || b || e AS p, v{k}.i // 8 AS i, subroot FROM v{k} JOIN st{k} ON v{k}.i = st{k}.i)")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, t{levels}.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t{levels}.h AS verified FROM v{levels}, t{levels}"
+
+
+#: Trees of up to 8 ** 6 leaves.
+OP11_SQL = _op11_sql(6)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c, 256)
@@ -185,9 +226,10 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
+        "op11_merkle": op11_merkle,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL, "op11_merkle": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
