@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import chat_trees, decontamination, fill_in_middle, language_id, merkle, mixing, ngram_join, quality_pairs, quality_rules, token_counts, toxicity, warc
+from loreweave.llm import chat_trees, decontamination, fill_in_middle, language_id, merkle, mixing, ngram_join, odd_sketch, quality_pairs, quality_rules, token_counts, toxicity, warc
 from loreweave.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,24 @@ def _op11_sql(levels: int) -> str:
 OP11_SQL = _op11_sql(6)
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sha256(array_to_string(ws[i : i + 4], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT s.* FROM s SEMI JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id JOIN c ca ON ca.doc_id = a.doc_id JOIN c cb ON cb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, ca.n, cb.n HAVING 100 * count(*) >= 85 * (ca.n + cb.n - count(*))),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y)
+SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, component_id, x = component_id AS kept
+FROM (SELECT x, min(y) AS component_id FROM r GROUP BY x) LEFT JOIN c ON c.doc_id = x
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c, 256)
@@ -227,9 +245,10 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
         "op11_merkle": op11_merkle,
+        "op12_near_dedup": op12_near_dedup,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL, "op11_merkle": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL, "op11_merkle": OP11_SQL, "op12_near_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
