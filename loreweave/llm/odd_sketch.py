@@ -109,7 +109,7 @@ def _sign(names: list[str]):
                 for text in as_bytes(part):
                     words = text.lower().split()
                     hashes = np.fromiter((h if (h := seen.get(w)) is not None else seen.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words))
-                    shingles = np.unique(ngram_join._runs(hashes))
+                    shingles = np.unique(ngram_join._runs(hashes)) if words else hashes
                     n.append(len(shingles))
                     b, s = samples.sign(shingles)
                     bands.append(b)
@@ -150,9 +150,9 @@ def _confirm(threshold: Fraction):
                 for pivot, k, node, text in zip(*(as_text(part, c) for c in ("pivot", "part", "node")), as_bytes(part), strict=True):
                     if node == pivot:
                         if of != (pivot, k):
-                            of, base = (pivot, k), ngram_join.shingles(text)
+                            of, base = (pivot, k), ngram_join.shingles(text.lower())
                         continue
-                    own = ngram_join.shingles(text)
+                    own = ngram_join.shingles(text.lower())
                     common = len(np.intersect1d(base, own, assume_unique=True))
                     if common * (den + num) >= num * (len(base) + len(own)):
                         a.append(node)
@@ -237,13 +237,11 @@ def meetings(members: DataFrame, threshold: float) -> DataFrame:
 
 def components(documents: DataFrame, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
-    plain = F.translate("text", UPPER, UPPER.lower())
-    with_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    ids = documents.select("doc_id", plain.alias("text"), F.when(with_words, F.unhex(F.md5(plain))).alias("digest"))
-    known, bound = ids.where(F.col("digest").isNotNull()), most_bits(float(threshold))
+    known, bound = documents.where("text is not null").select("doc_id", "text", F.unhex(F.md5("text")).alias("digest")), most_bits(float(threshold))
     schema = known.select("doc_id", "digest").schema.add("n", "long").add("bands", ArrayType(LongType())).add("sketch", ArrayType(LongType()))
     signed = stored(known.mapInArrow(_sign(["doc_id", "digest"]), schema), "odd-signed")
-    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch"))
+    # texts that differ in case or white space only are classes of their own, with equal sets
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "odd-classes")
 
     # bands with the same members are one bucket
@@ -269,7 +267,8 @@ def components(documents: DataFrame, threshold: Fraction = Fraction(85, 100)) ->
     members = join_unique(comps, pools, "comp", comps.count())
     members = stored(members.join(classes.select("node", "n", "copies"), "node"), "odd-members")
     rows = meetings(members.select("pool", "comp", "node", "n"), float(threshold)).join(fetched(members.select("node")), "node").join(members.select("node", "pool", "copies"), "node")
-    checked = rows.select("pool", "i", "j", "block", "node", "copies", "text").repartition("i", "j").sortWithinPartitions("pool", "i", "j").mapInArrow(ngram_join._verify(threshold), ngram_join.FOUND)
+    lowered = F.translate("text", UPPER, UPPER.lower()).alias("text")
+    checked = rows.select("pool", "i", "j", "block", "node", "copies", lowered).repartition("i", "j").sortWithinPartitions("pool", "i", "j").mapInArrow(ngram_join._verify(threshold), ngram_join.FOUND)
     links = stored(checked.where("other is not null").select("node", "other"), "odd-links")
     comp_of = lambda name, to: members.select(F.col("node").alias(name), F.col("comp").alias(to))
     second = connected_components(links.join(comp_of("node", "a"), "node").join(comp_of("other", "b"), "other").select("a", "b"))
@@ -277,7 +276,8 @@ def components(documents: DataFrame, threshold: Fraction = Fraction(85, 100)) ->
     placed = stored(classes.select("digest", "node", "first_id").join(joined, "node"), "odd-classed")
     least = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     classed = join_unique(placed, least, "comp", placed.count()).select("digest", "component_id")
-    out = join_unique(signed.select("doc_id", "digest", "n"), classed, "digest", signed.count())
-    alone = ids.where(F.col("digest").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = join_unique(signed.where("n > 0").select("doc_id", "digest", "n"), classed, "digest", signed.count())
+    wordless = signed.where("n = 0").select("doc_id").unionByName(documents.where("text is null").select("doc_id"))
+    alone = wordless.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     every = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
