@@ -24,6 +24,8 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+#: Combining accents: they go, so that a letter with one is the letter itself and no word is split by it.
+MARKS = "".join(map(chr, range(0x300, 0x332)))
 
 
 def _col(c: Column | str) -> Column:
@@ -38,7 +40,7 @@ def spaced_cjk(text: Column | str) -> Column:
 
 
 def folded(text: Column | str) -> Column:
-    return F.translate(F.lower(_col(text)), ACCENTED, PLAIN)
+    return F.translate(F.lower(_col(text)), ACCENTED + MARKS, PLAIN)
 
 
 def tokens(text: Column | str) -> Column:
@@ -116,3 +118,21 @@ def rendered(name: Column | str, fact: Column | str, valid_at: Column | str, inv
 def validity_label(valid_at: Column | str, invalid_at: Column | str, open_end: str = "now") -> Column:
     day = lambda c: F.date_format(_col(c), "yyyy-MM-dd")
     return F.when(_col(valid_at).isNull() & _col(invalid_at).isNull(), F.lit("")).otherwise(F.concat(F.lit("["), F.coalesce(day(valid_at), F.lit("?")), F.lit(" → "), F.coalesce(day(invalid_at), F.lit(open_end)), F.lit("]")))
+
+
+def fact_line(fact: Column | str, valid_at: Column | str, invalid_at: Column | str) -> Column:
+    """A found fact as a line of a rendered search: when it holds follows if its beginning is known; an open end is the word for now."""
+    day = lambda c: F.date_format(_col(c), "yyyy-MM-dd")
+    window = F.concat(F.lit(" ["), day(valid_at), F.lit(" → "), F.coalesce(day(invalid_at), F.lit("现在")), F.lit("]"))
+    return F.concat(F.lit("  • "), F.coalesce(_col(fact), F.lit("")), F.coalesce(window, F.lit("")))
+
+
+def entity_line(name: Column | str, labels: Column | str, summary: Column | str, n: int = 80) -> Column:
+    """A found entity as a line: name, labels (or `Entity`) and the summary's beginning."""
+    said = F.when(F.size(F.coalesce(_col(labels), F.array().cast("array<string>"))) > 0, F.array_join(_col(labels), ", ")).otherwise(F.lit("Entity"))
+    return F.concat(F.lit("  • "), F.coalesce(_col(name), F.lit("")), F.lit(" ("), said, F.lit(") — "), snippet(F.coalesce(_col(summary), F.lit("")), n))
+
+
+def episode_line(content: Column | str, n: int = 120) -> Column:
+    """A found episode as a line: its text's beginning."""
+    return F.concat(F.lit("  • "), snippet(F.coalesce(_col(content), F.lit("")), n))

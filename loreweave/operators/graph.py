@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loreweave.operators.vectors import nearest
+
 
 def incident(facts: DataFrame) -> DataFrame:
     """A row for each end of each fact, one for a loop: OR over both ends as an equi-join key."""
@@ -56,6 +58,22 @@ def history(facts: DataFrame, entities: DataFrame, names: DataFrame, limit: int
     return at.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
+def history_or_nearest(facts: DataFrame, entities: DataFrame, names: DataFrame, vectors: DataFrame, limit: int = 20) -> DataFrame:
+    """history() of names (name, group_id, vector), where a name that no entity of its group has stands for the nearest entity by vector.
+
+    vectors: uuid, vector. The columns are those of history(), `of` is the name that was asked for.
+    """
+    asked = names.select("name", "group_id").distinct()
+    known = asked.join(entities.select("name", "group_id"), ["name", "group_id"], "left_semi")
+    unknown = names.join(known, ["name", "group_id"], "left_anti").where("name is not null").select(F.struct("name", "group_id").alias("query"), "vector", "group_id")
+    held = entities.select(F.col("uuid").alias("doc"), "group_id").join(vectors.select(F.col("uuid").alias("doc"), "vector"), "doc")
+    near = nearest(held, unknown, 1, "group_id").select(F.col("query.name").alias("of"), F.col("query.group_id").alias("group_id"), F.col("doc").alias("entity"))
+    exact = known.join(entities, ["name", "group_id"]).select(F.col("name").alias("of"), "group_id", F.col("uuid").alias("entity"))
+    at = exact.unionByName(near).join(incident(facts.where("expired_at is null")), ["entity", "group_id"])
+    order = W.partitionBy("of", "entity").orderBy(F.desc_nulls_last("valid_at"), "uuid")
+    return at.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+
+
 def export(entities: DataFrame, facts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges between them and links between them."""
     nodes = entities.select("uuid", F.col("name").alias("label"), F.coalesce(F.nullif("summary", F.lit("")), "name").alias("title"), "group_id")

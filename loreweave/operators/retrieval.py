@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 from loreweave.functions import text as T
 from loreweave.functions import time as D
 from loreweave.functions.vector import cosine
-from loreweave.operators import graph, temporal
+from loreweave.operators import graph, index as inverted, temporal
+from loreweave.operators import vectors as V
+from loreweave.operators.index import B, K1, LEAST_IDF, SCORE_DIGITS, query_terms
 from loreweave.operators.shuffles import stored
 
-#: Fixed values of the ranking formulas.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Fixed value of rank fusion.
 RRF_K = 60
-#: Decimals of a score: what differs beyond them is a tie.
-SCORE_DIGITS = 12
 #: Queries whose vectors a task holds at a time.
 QUERY_BATCH = 2048
 
@@ -60,14 +59,8 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     return long.unionByName(docs.join(short, F.contains("text", "item")).select("query", "doc"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query, phrase (number), term, at (place in the phrase) and n (the phrase's terms) of queries (query, text)."""
-    phrases = queries.select("query", F.posexplode(T.query_phrases("text")).alias("phrase", "terms"))
-    return phrases.select("query", "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
-
-
 def bm25(index: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
-    """query, doc, score of all hits. Phrases stay inside a column, hits of a phrase may overlap.
+    """query, doc, score of all hits in token lists (postings()); operators.index does the same from terms to texts. Phrases stay inside a column, hits of a phrase may overlap.
 
     The number of texts, their mean length and the frequencies are those of the whole index. Only tokens
     that occur in some query leave the scan.
@@ -103,20 +96,17 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, by: list[str]) -> Data
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, batch: int = QUERY_BATCH) -> DataFrame:
     """query, doc, score, rank: the k nearest of vectors (doc, vector) to each of queries (query, vector), all ids of any type.
 
-    Any number of queries: they go in batches of `batch`, each with one pass over the vectors, which are multiplied
-    with the whole batch. A task keeps its k best for each query and part, so few rows are shuffled. Queries that
-    are null or zero have no hits, vectors of another length neither.
+    Up to `batch` queries go to all tasks and are multiplied with the vectors where these lie: a task keeps its k best for
+    each query and Arrow batch, so few rows are shuffled. More queries meet the vectors in blocks (operators.vectors). Queries that
+    are null, zero or not finite have no hits, vectors of another length or without a direction neither.
     """
-    known = queries.where(F.exists("vector", lambda x: x != 0)).select("query", "vector")
-    parts = max(1, -(-known.count() // batch))
-    ids = vectors.where("vector is not null").select("doc", "vector")
+    known = queries.where(V.finite()).select("query", "vector")
+    ids = vectors.where(V.finite()).select("doc", "vector")
+    asked = known.limit(batch + 1).collect()
+    if len(asked) > batch:
+        return V.nearest(ids, known, k)
     schema = f"query {known.schema['query'].dataType.simpleString()}, doc {ids.schema['doc'].dataType.simpleString()}, score double"
-    found = None
-    for part in range(parts):
-        mine = known.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else known
-        near = ids.mapInPandas(_nearest_to(sorted(((r["query"], list(r["vector"])) for r in mine.collect()), key=lambda r: str(r[0])), k), schema)
-        found = near if found is None else found.unionByName(near)
-    return top_k(found, k)
+    return top_k(ids.mapInPandas(_nearest_to(sorted(((r["query"], list(r["vector"])) for r in asked), key=lambda r: str(r[0])), k), schema), k)
 
 
 def _nearest_to(asked: list[tuple], k: int):
@@ -171,8 +161,7 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, columns: list[str], vecto
 
     queries: query, text and, with vectors, vector.
     """
-    index = postings(docs, id_col, columns)
-    lists = [top_k(bm25(index, queries, columns), limit)]
+    lists = [inverted.best(inverted.kept(docs, id_col, columns), queries, limit)]
     if vectors is not None:
         lists.append(vector_top_k(vectors, queries, limit))
     fused = rrf(*lists)
@@ -193,11 +182,12 @@ def search(facts: DataFrame, entities: DataFrame, episodes: DataFrame, links: Da
 
     def ranked(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
         of_group = df.select(F.col("uuid").alias("doc"), "group_id").join(queries.select("query", "group_id"), "group_id").select("query", "doc")
-        lists = [bm25(postings(df, "uuid", columns), queries, columns)]
+        lists = [inverted.bm25(inverted.kept(df, "uuid", columns), queries)]
         if kind in vectors:
             mine = df.select(F.col("uuid").alias("doc"), "group_id").join(vectors[kind].select(F.col("uuid").alias("doc"), "vector"), "doc")
-            lists.append(vector_scores(mine, queries.select("query", "group_id", "vector"), ["group_id"]))
-        return rrf(*[top_k(scored.join(of_group, ["query", "doc"], "left_semi"), limit) for scored in lists])
+            near = V.nearest(mine, queries.select("query", "group_id", "vector"), limit, "group_id")
+            return rrf(top_k(lists[0].join(of_group, ["query", "doc"], "left_semi"), limit), near)
+        return rrf(top_k(lists[0].join(of_group, ["query", "doc"], "left_semi"), limit))
 
     at = lambda df, *c: df.select(F.col("uuid").alias("doc"), F.coalesce(*c).alias("at"))
     reference = [c for c in ("reference_time", "valid_at") if c in facts.columns]

@@ -35,6 +35,36 @@ def as_of_join(probes: DataFrame, facts: DataFrame, keys: list[str], at: str = "
     return left.unionByName(right).withColumn("_last", last).where("_probe = 1").select(*keys, *extra, *[F.col(f"_last.{c}").alias(c if c not in extra else f"fact_{c}") for c in columns])
 
 
+#: Where an interval ends that has no end, as a number: beyond all times.
+OPEN = 1 << 62
+
+
+def holding_join(probes: DataFrame, facts: DataFrame, keys: list[str], at: str = "at", start: str = "valid_at", end: str = "invalid_at") -> DataFrame:
+    """Each probe with every fact of its keys that holds at its time: start <= at < end, a null start or end is open.
+
+    Times lie on grids whose cells are 1, 2, 4, ... microseconds wide. A fact is laid on the grid whose cells are at least as wide
+    as its time is long, so it touches two cells at most; a probe looks in one cell of each grid that some fact lies on.
+    Both meet by an equi-join on keys, grid and cell, and each pair once, without comparing all facts of a key.
+    Open bounds are drawn in to the probes' first and last time. Probes without a time, and null keys, meet nothing.
+    Columns of facts that probes have too come as fact_<name>.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    asked = probes.where(F.col(at).isNotNull()).withColumn("_t", micros(at))
+    first, last = asked.agg(F.min("_t"), F.max("_t")).first()
+    first, last = (0, -1) if first is None else (first, last)
+    low = F.greatest(F.coalesce(micros(start), F.lit(first)), F.lit(first))
+    high = F.least(F.coalesce(micros(end), F.lit(OPEN)), F.lit(last + 1))
+    laid = facts.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).where("_low < _high")
+    level = F.length(F.bin(F.col("_high") - F.col("_low"))).cast("int")
+    cells = F.array_distinct(F.array(F.expr("shiftright(_low, _level)"), F.expr("shiftright(_high - 1, _level)")))
+    own = [c for c in facts.columns if c not in keys]
+    named = {c: f"fact_{c}" if c in probes.columns else c for c in own}
+    placed = laid.withColumn("_level", level).withColumn("_cell", F.explode(cells)).select(*keys, "_level", "_cell", "_low", "_high", *[F.col(c).alias(named[c]) for c in own])
+    levels = [r[0] for r in laid.select(level).distinct().collect()]  # 63 at most
+    looking = asked.withColumn("_level", F.explode(F.lit(levels) if levels else F.array().cast("array<int>"))).withColumn("_cell", F.expr("shiftright(_t, _level)"))
+    return looking.join(placed, [*keys, "_level", "_cell"]).where("_low <= _t and _t < _high").select(*probes.columns, *named.values())
+
+
 def supersede(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Each fact ends where the next of its keys begins, unless it ended before."""
     following = F.lead("valid_at").over(W.partitionBy(*keys).orderBy("valid_at", "uuid"))

@@ -80,11 +80,28 @@ def merge_candidates_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT a.uuid AS a_uuid, b.uuid AS b_uuid FROM e a JOIN e b ON a.key = b.key AND a.uuid < b.uuid AND a.g <> b.g)
 SELECT a_uuid, b_uuid, true AS auto_link FROM p WHERE a_uuid % 5 <> 0""")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = parts_as_entities(spark, sf_dir).drop("summary")
-    none = spark.createDataFrame([], "a_uuid long, b_uuid long")
-    every = stored(dedup.link_candidates(entities, none).select("a_uuid", "b_uuid"), "link-candidates")
-    linked = every.where("a_uuid % 5 = 0").select(F.col("b_uuid").alias("a_uuid"), F.col("a_uuid").alias("b_uuid"))
-    return dedup.link_candidates(entities, linked).select("a_uuid", "b_uuid", "auto_link")
+    pairs = stored(dedup.link_pairs(parts_as_entities(spark, sf_dir).drop("summary")), "link-pairs")
+    linked = pairs.where("a_uuid % 5 = 0").select(F.col("b_uuid").alias("a_uuid"), F.col("a_uuid").alias("b_uuid"))
+    return dedup.judged(dedup.not_linked(pairs, linked)).select("a_uuid", "b_uuid", "auto_link")
+
+
+@PLANS.add(f"""WITH k AS (SELECT kind, key, g, count(*) AS n FROM (
+  SELECT 1 AS kind, {NORM_SQL.format('p_name')} AS key, p_brand AS g FROM part UNION ALL SELECT 2, {ALNUM_SQL.format('p_name')}, p_brand FROM part) GROUP BY ALL)
+SELECT kind, key, CAST(sum(n) AS BIGINT) AS members, count(*) AS groups, CAST((sum(n) * sum(n) - sum(n * n)) // 2 AS BIGINT) AS pairs FROM k GROUP BY kind, key HAVING count(*) > 1""")
+def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.link_classes(parts_as_entities(spark, sf_dir))
+
+
+@PLANS.add(f"""WITH e AS (SELECT p_partkey AS uuid, p_brand AS g, {NORM_SQL.format('p_name')} AS key FROM part),
+old AS (SELECT p_partkey AS a_uuid, p_partkey + 1 AS b_uuid FROM part WHERE p_partkey % 3 = 0),
+new AS (SELECT DISTINCT a.uuid AS a_uuid, b.uuid AS b_uuid FROM e a JOIN e b ON a.key = b.key AND a.uuid < b.uuid AND a.g <> b.g
+        WHERE (a.uuid, b.uuid) NOT IN (SELECT (a_uuid, b_uuid) FROM old) ORDER BY a.uuid, b.uuid LIMIT 200)
+SELECT a_uuid, b_uuid, 'same_as' AS kind FROM old UNION ALL SELECT a_uuid, b_uuid, 'same_as' FROM new""")
+def links_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after the first 200 candidates became links."""
+    entities = parts_as_entities(spark, sf_dir)
+    old = entities.where("uuid % 3 = 0").select(F.col("uuid").alias("a_uuid"), (F.col("uuid") + 1).alias("b_uuid"), F.lit("same_as").alias("kind"))
+    return dedup.apply_links(old, dedup.link_candidates(entities, old))[0]
 
 
 @PLANS.add(f"""WITH {CANDIDATES_SQL}, m AS (SELECT remove_uuid, keep_uuid FROM cand)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text as T
 from loreweave.operators import ingest
+from loreweave.operators.shuffles import shared_folder
 from loreweave.plans.governance import NORM_SQL
 from loreweave.plans.registry import Registry
 from loreweave.sources.tables import parts_as_entities, table
@@ -120,22 +121,28 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.add("""SELECT * FROM (SELECT o_custkey AS source_uuid, o_orderstatus AS name, o_orderkey AS uuid, o_orderdate AS valid_at,
   lead(o_orderdate) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS invalid_at FROM orders) WHERE invalid_at IS NOT NULL""")
 def stream_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _stream(spark, sf_dir, "orders")
+    """Orders that come in five batches, each with early and late ones of the same customers."""
+    orders = _stream(spark, sf_dir, "orders", 5)
     facts = orders.select(F.col("o_custkey").alias("source_uuid"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("uuid"), F.col("o_orderdate").alias("valid_at"))
     return streams.supersessions(facts, ["source_uuid", "name"])
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
+def _stream(spark: SparkSession, sf_dir: str, name: str, batches: int = 1) -> DataFrame:
+    """A table as a stream of its files; of more batches, each is a share of the rows by their hash, whatever their order."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder(spark, path))
+    schema = spark.read.parquet(path).schema
+    if batches == 1:
+        return spark.readStream.schema(schema).parquet(_folder(spark, path))
+    to = shared_folder(spark, "stream-source")
+    rows = spark.read.parquet(path)
+    for k in range(batches):  # files go in order of their time
+        rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(batches)) == k).write.mode("append").parquet(to)
+    files = len(spark.read.parquet(to).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(to)
 
 
 def _folder(spark: SparkSession, path: str) -> str:
     """A stream reads folders: a table that is one file is copied into one."""
-    from loreweave.operators.shuffles import shared_folder
-
     to = shared_folder(spark, "stream-source")
     spark.read.parquet(path).write.parquet(to)
     return to
-

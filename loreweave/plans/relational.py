@@ -233,3 +233,18 @@ def dates_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   coalesce(strftime(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), '%Y-%m-%d'), 'now') || ']' AS validity FROM orders""")
 def validity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_as_facts(spark, sf_dir).select("uuid", T.validity_label("valid_at", "invalid_at").alias("validity"))
+
+
+@PLANS.add("""WITH f AS (SELECT o_orderkey AS uuid, o_custkey AS source_uuid, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS valid_at,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 400 AS INTEGER)) END AS invalid_at FROM orders),
+p AS (SELECT l_orderkey, l_linenumber, o_custkey AS source_uuid, l_shipdate AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, uuid FROM p JOIN f ON p.source_uuid = f.source_uuid AND (valid_at IS NULL OR valid_at <= t) AND (invalid_at IS NULL OR t < invalid_at)""")
+def facts_holding_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of a customer that are open when one of its lines is shipped; orders overlap, some have no beginning or end."""
+    orders = table(spark, sf_dir, "orders")
+    valid_at = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate"))
+    invalid_at = F.when(F.col("o_orderkey") % 7 != 0, F.expr("timestampadd(DAY, CAST(o_orderkey % 400 AS INT), o_orderdate)"))
+    facts = orders.select(F.col("o_orderkey").alias("uuid"), F.col("o_custkey").alias("source_uuid"), valid_at.alias("valid_at"), invalid_at.alias("invalid_at"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"))
+    probes = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source_uuid")), "l_orderkey")
+    return temporal.holding_join(probes, facts, ["source_uuid"]).select("l_orderkey", "l_linenumber", "uuid")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text as T
 from loreweave.functions.vector import cosine
-from loreweave.operators import dedup, retrieval as R
+from loreweave.operators import dedup, graph, index, retrieval as R
+from loreweave.operators import vectors as V
 from loreweave.plans.registry import Registry
 from loreweave.sources.tables import orders_as_facts, table
 from loreweave.plans.relational import FACTS_SQL, NOW_ORDERS
@@ -27,8 +28,8 @@ need AS (SELECT query, phrase, len(terms) AS n, unnest(terms) AS term, generate_
 starts AS (SELECT query, phrase, n, doc, pos - nth AS begin_at FROM post JOIN need USING (term) GROUP BY query, phrase, n, doc, pos - nth HAVING count(*) = n),
 tf AS (SELECT query, phrase, doc, count(*) AS tf FROM starts GROUP BY query, phrase, doc),
 df AS (SELECT query, phrase, count(*) AS df FROM tf GROUP BY query, phrase),
-bm AS (SELECT query, doc, round(sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
-         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
+bm AS (SELECT query, doc, round(sum(CAST(round((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * 1e15) AS BIGINT)) / 1e15, 12) AS score
        FROM tf JOIN df USING (query, phrase) JOIN dl USING (doc), corpus GROUP BY query, doc),
 lex AS (SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm) WHERE rank <= 20)"""
 COSINE_SQL = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])) + 1e-9)"
@@ -64,8 +65,7 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add(f"WITH {INDEX_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM lex")
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = R.postings(_docs(spark, sf_dir), "doc", ["text"])
-    return R.top_k(R.bm25(index, _asked(spark), ["text"]), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return index.best(index.kept(_docs(spark, sf_dir), "doc", ["text"]), _asked(spark), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 PHRASES = [(1, "the-of"), (2, "general-public-license"), (3, "of-the and-the")]
@@ -73,8 +73,7 @@ PHRASES = [(1, "the-of"), (2, "general-public-license"), (3, "of-the and-the")]
 
 @PLANS.add(f"WITH {INDEX_SQL.replace(ASKED_SQL, '(VALUES ' + ', '.join(f'({q}, {chr(39)}{t}{chr(39)})' for q, t in PHRASES) + ')')} SELECT query, doc, round(score, 6) AS score, rank FROM lex")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = R.postings(_docs(spark, sf_dir), "doc", ["text"])
-    return R.top_k(R.bm25(index, spark.createDataFrame(PHRASES, "query long, text string"), ["text"]), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return index.best(index.kept(_docs(spark, sf_dir), "doc", ["text"]), spark.createDataFrame(PHRASES, "query long, text string"), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @PLANS.add(f"WITH {VECTORS_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM vec")
@@ -88,7 +87,59 @@ SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() O
 def vector_topk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     asked = vectors.where("doc < 20").select(F.col("doc").alias("query"), "vector", "label")
-    return R.top_k(R.vector_scores(vectors, asked, ["label"]), 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return V.nearest(vectors, asked, 10, "label").select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@PLANS.add(f"""WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query, e.vec_id AS doc, round({COSINE_SQL.format(a='embedding', b='q')}, 12) AS score FROM embeddings e, q)
+SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
+def vector_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest ten of every vector whose id fifty divides, from cells that are pruned by the triangle inequality."""
+    vectors = _vectors(spark, sf_dir).select("doc", "vector")
+    asked = vectors.where("doc % 50 = 0").select(F.col("doc").alias("query"), "vector")
+    return V.nearest_in_cells(V.build_cells(vectors), asked, 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@PLANS.add(f"""WITH q AS (SELECT vec_id AS query, embedding AS q, label FROM embeddings WHERE vec_id % 100 = 1),
+s AS (SELECT query, e.vec_id AS doc, round({COSINE_SQL.format(a='embedding', b='q')}, 12) AS score FROM embeddings e JOIN q USING (label))
+SELECT query, doc, round(1 / (60.0 + rank), 8) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 20""")
+def search_entities_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector lists of whole searches: no word of a query occurs, so entities come by their vectors in the query's group."""
+    held = _vectors(spark, sf_dir).select(F.col("doc").alias("uuid"), F.concat(F.lit("entity "), F.col("doc")).alias("name"), F.col("label").cast("string").alias("group_id"), "vector")
+    entities = held.select("uuid", "name", F.lit("").alias("summary"), "group_id")
+    asked = held.where("uuid % 100 = 1").select(F.col("uuid").alias("query"), F.lit("nothing here").alias("text"), "group_id", "vector")
+    facts = orders_as_facts(spark, sf_dir).where("false")
+    episodes = entities.select("uuid", "group_id", F.col("name").alias("content"), "name", F.expr(NOW_ORDERS).alias("created_at")).where("false")
+    links = spark.createDataFrame([], "a_uuid long, b_uuid long")
+    found = R.search(facts, entities, episodes, links, asked, F.expr(NOW_ORDERS), vectors={"entity": held.select("uuid", "vector")})
+    return found["entities"].select("query", "doc", F.round("score", 8).alias("score"), "rank")
+
+
+@PLANS.add(rf"""WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS uuid, l_partkey % 2000 AS entity, l_shipdate AS valid_at FROM lineitem),
+n AS (SELECT vec_id, label, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+near AS (SELECT 'asked ' || n.vec_id AS of, n.label, arg_min(e.vec_id, (-round({COSINE_SQL.format(a='embedding', b='q')}, 12), e.vec_id)) AS entity FROM n JOIN embeddings e USING (label) GROUP BY ALL),
+exact AS (SELECT 'e' || vec_id AS of, label, vec_id AS entity FROM embeddings WHERE vec_id % 20 = 1)
+SELECT of, entity, uuid, position FROM (SELECT of, entity, uuid, row_number() OVER (PARTITION BY of, entity ORDER BY valid_at DESC, uuid) AS position
+  FROM (SELECT * FROM near UNION ALL SELECT * FROM exact) JOIN f USING (entity)) WHERE position <= 20""")
+def history_by_nearest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of names, some of which no entity has: then those of the entity with the nearest vector in the group."""
+    held = _vectors(spark, sf_dir).select(F.col("doc").alias("uuid"), F.concat(F.lit("e"), F.col("doc")).alias("name"), F.col("label").cast("string").alias("group_id"), "vector")
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uuid"), (F.col("l_partkey") % 2000).alias("source_uuid"), F.col("l_shipdate").alias("valid_at"))
+    group = held.select(F.col("uuid").alias("source_uuid"), "group_id")
+    facts = lines.join(group, "source_uuid").withColumns({"target_uuid": F.col("source_uuid"), "expired_at": F.lit(None).cast("timestamp")})
+    asked = held.where("uuid % 20 in (0, 1)").select(F.when(F.col("uuid") % 20 == 1, F.col("name")).otherwise(F.concat(F.lit("asked "), F.col("uuid"))).alias("name"), "group_id", "vector")
+    return graph.history_or_nearest(facts, held.select("uuid", "name", "group_id"), asked, held.select("uuid", "vector")).select("of", "entity", "uuid", "position")
+
+
+@PLANS.add(rf"""WITH {FACTS_SQL}
+SELECT 'fact' AS kind, uuid, '  • ' || fact || ' [' || strftime(valid_at, '%Y-%m-%d') || ' → ' || coalesce(strftime(invalid_at, '%Y-%m-%d'), '现在') || ']' AS line FROM facts
+UNION ALL SELECT 'entity', p_partkey, '  • ' || p_name || ' (' || p_brand || ') — ' || substr(p_type, 1, 80) FROM part
+UNION ALL SELECT 'episode', doc_id, '  • ' || substr(text, 1, 120) FROM documents""")
+def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts, entities and episodes as lines of a rendered search."""
+    facts = orders_as_facts(spark, sf_dir).select(F.lit("fact").alias("kind"), "uuid", T.fact_line("fact", "valid_at", "invalid_at").alias("line"))
+    part = table(spark, sf_dir, "part").select(F.lit("entity").alias("kind"), F.col("p_partkey").alias("uuid"), T.entity_line("p_name", F.array("p_brand"), "p_type").alias("line"))
+    return facts.unionByName(part).unionByName(_docs(spark, sf_dir).select(F.lit("episode").alias("kind"), F.col("doc").alias("uuid"), T.episode_line("text").alias("line")))
 
 
 @PLANS.add(f"""SELECT a.label AS label, a.vec_id AS a, b.vec_id AS b, round({COSINE_SQL.format(a='a.embedding', b='b.embedding')}, 6) AS similarity
@@ -100,7 +151,7 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add(f"WITH {INDEX_SQL}, {VECTORS_SQL}, {FUSED_SQL} SELECT query, doc, round(score, 8) AS score FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = R.top_k(R.bm25(R.postings(_docs(spark, sf_dir), "doc", ["text"]), _asked(spark), ["text"]), 20)
+    lex = index.best(index.kept(_docs(spark, sf_dir), "doc", ["text"]), _asked(spark), 20)
     vec = R.vector_top_k(_vectors(spark, sf_dir).select("doc", "vector"), _asked_vectors(spark, sf_dir), 20)
     return R.rrf(lex, vec).select("query", "doc", F.round("score", 8).alias("score"))
 
@@ -128,7 +179,7 @@ def hybrid_search_facts_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     facts, now = orders_as_facts(spark, sf_dir), F.expr(NOW_ORDERS)
     asked = spark.createDataFrame(FACT_ASKED, "query long, text string")
-    lex = R.top_k(R.bm25(R.postings(facts, "uuid", ["fact"]), asked, ["fact"]), 500)
+    lex = index.best(index.kept(facts, "uuid", ["fact"]), asked, 500)
     scored = R.weighed(R.rrf(lex), facts.select(F.col("uuid").alias("doc"), F.col("valid_at").alias("at")), asked, now)
     pool = R.fused_top(scored, 200)  # the pool is cut before the temporal filter
     return temporal.as_of(pool.join(facts, pool.doc == facts.uuid), now).select("query", "uuid", F.round("score", 8).alias("score"))
@@ -144,7 +195,7 @@ def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
     golden = items.select("query").join(R.holding(docs, items), "query", "left")
     asked = items.select("query", F.array_join(F.slice(F.split("item", " "), 1, 8), " ").alias("text"))
-    ranked = R.top_k(R.bm25(R.postings(docs, "doc", ["text"]), asked, ["text"]), 20)
+    ranked = index.best(index.kept(docs, "doc", ["text"]), asked, 20)
     found = R.evaluate(ranked, golden)
     return found.select("positives", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
@@ -210,6 +261,19 @@ def postings_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.synced_postings(R.postings(docs, "doc", ["text"]), changed, docs.where("doc % 5 = 0"), "doc", ["text"]).select("doc", F.greatest("dl", F.lit(0)).alias("dl"))
 
 
+CHANGED_SQL = "CASE WHEN doc_id % 5 = 1 THEN text || ' twice changed' ELSE text END"
+
+
+@PLANS.add(f"""SELECT term, doc, CAST(count(*) AS INTEGER) AS tf, string_agg(CAST(pos - 1 AS VARCHAR), ' ' ORDER BY pos) AS places
+FROM (SELECT doc_id AS doc, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {TOKENS.format(CHANGED_SQL)} AS ws FROM documents WHERE doc_id % 5 <> 0)) GROUP BY term, doc""")
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of an inverted index with texts, frequencies and places, after an update of changed and removed texts."""
+    docs = _docs(spark, sf_dir)
+    changed = docs.where("doc % 5 = 1").withColumn("text", F.concat("text", F.lit(" twice changed")))
+    newer = index.updated(index.kept(docs, "doc", ["text"]), changed, docs.where("doc % 5 = 0"), "doc", ["text"])
+    return newer.entries().select("term", "doc", "tf", F.array_join(F.col("places").cast("array<string>"), " ").alias("places"))
+
+
 @PLANS.add("""WITH m AS (SELECT l_suppkey % 10 AS query, l_orderkey AS doc, -min((l_linenumber, -CAST(l_extendedprice AS DOUBLE)))[2] AS score FROM lineitem GROUP BY ALL)
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM m""")
 def groups_merged(spark: SparkSession, sf_dir: str) -> DataFrame:

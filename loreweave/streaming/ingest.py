@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,33 +27,49 @@ def counts_by_window(stream: DataFrame, at: str, width: str, late: str, *by: str
     return timed.groupBy(F.window(at, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def supersessions(stream: DataFrame, keys: list[str]) -> DataFrame:
+#: Parts that a stream's known facts are dealt to by their keys' hash: a batch reads the parts of its keys only.
+PARTS = 16
+
+
+def supersessions(stream: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
     """Facts (keys, uuid, valid_at) of a stream with the time at which the next of their keys ends them, as a table of what is there now.
 
-    Each micro-batch is put in order together with its keys' newest facts so far, which are a table in the shared folder: all
-    that ends is written down, the last of each key is its newest fact then. A late fact ends at the next one of its
-    batch or at the newest known. Versions are named by batch, so that a batch that is run again overwrites itself.
+    The state is every fact so far, a table that each micro-batch adds its new ones to. A batch's facts are put in order with
+    the known ones of their keys, so a fact may come late: it ends where the next known one begins, and the one before it now
+    ends at it. What changes, new facts and the ends of known ones right before them, is written under the batch's number,
+    and the last change of a fact counts. A fact that comes again (same keys, uuid, valid_at) counts once; null
+    keys are a key like any other. Nothing is rewritten but a batch's own folders, when it is run again.
     """
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "stream-supersede")
     columns = [*keys, "uuid", "valid_at"]
     facts = stream.select(columns)
-    empty = spark.createDataFrame([], facts.schema)
-    empty.withColumn("invalid_at", F.col("valid_at")).write.parquet(f"{path}/ended/batch=-1")
+    schema = StructType([*facts.schema, StructField("invalid_at", facts.schema["valid_at"].dataType)])
+    key = F.struct(*[F.col(k).isNull() for k in keys], *keys)
+    same = lambda a, b, by: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in by))
+    spark.createDataFrame([], schema).write.parquet(f"{path}/changes/batch=-1")
+    spark.createDataFrame([], facts.schema).write.parquet(f"{path}/facts/batch=-1/part=0")
 
     def advance(batch: DataFrame, number: int) -> None:
-        newest = empty if number == 0 else spark.read.schema(facts.schema).parquet(f"{path}/newest/{number - 1}")
-        by = W.partitionBy(*keys).orderBy("valid_at", "uuid")
-        ordered = batch.unionByName(newest).withColumn("invalid_at", F.lead("valid_at").over(by))
-        done = f"{path}/ordered/{number}"
-        ordered.write.mode("overwrite").parquet(done)  # ended and newest facts are read from one table
-        ordered = spark.read.parquet(done)
-        ordered.where("invalid_at is not null").write.mode("overwrite").parquet(f"{path}/ended/batch={number}")
-        ordered.where("invalid_at is null").select(columns).write.mode("overwrite").parquet(f"{path}/newest/{number}")
+        came = f"{path}/came/{number}"
+        batch.distinct().withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).write.mode("overwrite").parquet(came)
+        new = spark.read.parquet(came)
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # PARTS at most
+        known = spark.read.schema(StructType([*facts.schema, StructField("batch", LongType()), StructField("part", LongType())])).parquet(f"{path}/facts")
+        known = known.where((F.col("batch") < number) & F.col("part").isin(touched))
+        of_keys = new.select(*keys).distinct()
+        known = known.join(of_keys, same(known, of_keys, keys), "left_semi").select(columns)
+        fresh = new.join(known, same(new, known, columns), "left_anti").select(columns)
+        by = W.partitionBy(key).orderBy("valid_at", "uuid")
+        ordered = fresh.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False)))
+        changed = ordered.withColumns({"invalid_at": F.lead("valid_at").over(by), "before_new": F.coalesce(F.lead("new").over(by), F.lit(False))})
+        changed.where("new or before_new").select(schema.names).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        fresh.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/facts/batch={number}")
 
     query = facts.writeStream.foreachBatch(advance).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = StructType([*facts.schema, StructField("invalid_at", facts.schema["valid_at"].dataType)])
-    return spark.read.schema(schema).parquet(f"{path}/ended").select(schema.names)
+    changes = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(f"{path}/changes")
+    last = changes.groupBy(*columns).agg(F.max(F.struct("batch", "invalid_at")).alias("x"))
+    return last.where("x.invalid_at is not null").select(*columns, F.col("x.invalid_at").alias("invalid_at"))
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
