@@ -12,7 +12,8 @@ In roles and texts a backslash goes before each backslash, `###` and `</turn>` (
 which is undone by taking away each backslash that isn't itself behind one.
 
 Defined results: null text or role is empty; messages of one tree with the same id are ordered by role and
-text and become replies to each other; messages in a cycle are on no path; ties between branches go to the
+text and become replies to each other; rows without a conversation id are one conversation, apart from every id; texts of
+any length are formatted whole; messages in a cycle are on no path; ties between branches go to the
 longer and then to the smaller leaf; an empty table gives no rows; further columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 from itertools import groupby
 
@@ -98,29 +100,37 @@ def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tree, branch and from root to leaf; one conversation is held at a time."""
 
+    kind = pa.int64()
+
     def rows() -> Iterator[tuple]:
+        nonlocal kind
         for batch in batches:
+            kind = batch.schema.field("tree").type
             for part in slices(batch):
                 yield from zip(*(as_text(part, c) for c in ("tree", "branch", "role", "text")), strict=True)
 
     for (tree, branch), turns in groupby(rows(), key=lambda r: r[:2]):
         formatted, spans = format_turns([(role or "", text or "") for _, _, role, text in turns])
-        yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int64()), pa.array([branch], pa.int32()), pa.array([formatted], pa.string()), pa.array([[{"start": a, "stop": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["tree", "branch", "formatted", "loss_spans"])
+        yield pa.RecordBatch.from_arrays([pa.array([tree], kind), pa.array([branch], pa.int32()), pa.array([formatted], pa.string()), pa.array([[{"start": a, "stop": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["tree", "branch", "formatted", "loss_spans"])
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """tree, branch, formatted and loss_spans (start, stop: characters of formatted) of each chosen path."""
     full = paths.join(messages.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "branch", "above", "role", "text")
     ordered = full.repartition("tree", "branch").sortWithinPartitions("tree", "branch", F.desc("above"))
-    return ordered.select("tree", "branch", "role", "text").mapInArrow(_assemble, "tree long, branch int, formatted string, loss_spans array<struct<start: long, stop: long>>")
+    return ordered.select("tree", "branch", "role", "text").mapInArrow(_assemble, f"tree {paths.schema['tree'].dataType.simpleString()}, branch int, formatted string, loss_spans array<struct<start: long, stop: long>>")
+
+
+#: Stands for a missing conv_id.
+NO_ID = Decimal(1 << 63)
 
 
 def threads(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) as trees in which each row replies to the one before it.
 
-    Trees are numbered conv_id + 1 and so on only by their id: a null id is a tree of its own, the largest long.
+    A tree has its conversation's id; rows without one are a tree of their own, whose number is NO_ID, beyond all longs.
     """
-    tree = F.coalesce(F.col("conv_id").cast("long"), F.lit((1 << 63) - 1))
+    tree = F.coalesce(F.col("conv_id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)"))
     order = W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     numbered = conversations.select(tree.alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
@@ -130,7 +140,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans of each conversation."""
     messages = stored(threads(conversations), "chat-messages")
     done = format_paths(choose_paths(messages), messages)
-    return done.select(F.when(F.col("tree") != (1 << 63) - 1, F.col("tree")).alias("conv_id"), "formatted", "loss_spans")
+    return done.select(F.when(F.col("tree") < NO_ID, F.col("tree").cast("long")).alias("conv_id"), "formatted", "loss_spans")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

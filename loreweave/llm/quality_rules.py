@@ -3,11 +3,16 @@
 Each text yields counts over its words (runs of characters other than space and \\t to \\r) and measures:
 shares in thousandths and the mean length of a word in hundredths. A group (lang, source) has for each
 measure a quantile sketch: counts of buckets that are exact up to 2 * STEPS and then STEPS to each power of
-two, so that a quantile is off by 1 / STEPS of itself at most, and sketches merge by adding counts. A measure's
-upper limit is Q(level) + reach * (Q(level) - median) of its group, and if both ends count the lower limit
-lies as far beyond Q(1 - level): nothing but the group's own distribution sets a limit. A group with fewer
-texts than SUPPORT takes the merged sketch of its language, and a language with fewer that of all texts.
-Limits are joined to the texts of their group; a text in the bucket of the limit is kept.
+two, so that a quantile is off by 1 / STEPS of itself at most, and sketches merge by adding counts. Of a share only texts
+that have some of it are ranked (Q); how many have none is a count beside. A group's own limits:
+
+- fence: Q(level) + reach * (Q(level) - median), for both ends also below; none where the ranked texts are all alike;
+- a rare measure, where at least half of the texts have none: half of the value at which the lower tenth of the others ends.
+
+Limits are pulled towards those of the merged sketches of the language, and these towards all texts', as if SUPPORT texts
+more spoke for them: few texts of a group say little, many say all, and no size switches from one to the other. Without
+a limit of its own a group has its language's. Limits are joined to the texts of their group; a text in the bucket of
+the limit is kept.
 
 Defined results: a null or empty text has no words and fails; texts without words are in no sketch; null
 lang or source is a group of its own; ties and repeated rows are judged alike; texts of any length are read
@@ -30,6 +35,7 @@ from loreweave.llm.common import as_bytes, join_unique, keep, slices, stored
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Words of a window that counts as repeated.
 SPAN = 8
+#: How many texts the wider sketch counts for beside a group's own.
 SUPPORT = 200
 #: Buckets of a sketch for each power of two.
 STEPS = 128
@@ -37,18 +43,19 @@ STEPS = 128
 
 @dataclass(frozen=True)
 class Rule:
-    """level: the quantile, in thousandths, from which on texts are unusual; reach: how far beyond it they may be; both: low values are unusual too."""
+    """level: the quantile, in thousandths, from which on texts are unusual; reach: how far beyond it they may be; both: low values are unusual too; rare: see above."""
 
     level: int
     reach: int
     both: bool = False
+    rare: bool = False
 
 
 RULES = {
-    "symbol_share": Rule(900, 1),
-    "dup_line_share": Rule(990, 0),
-    "repeat_share": Rule(990, 0),
-    "word_length": Rule(750, 8, True),
+    "symbol_share": Rule(900, 1, rare=True),
+    "dup_line_share": Rule(900, 2),
+    "repeat_share": Rule(900, 2),
+    "word_length": Rule(750, 8, both=True),
 }
 
 
@@ -133,19 +140,25 @@ def limits(measured: DataFrame) -> DataFrame:
     merged = sketch.select(F.explode(by_group()).alias("l"), "measure", "value", "count").groupBy("l.level", "l.of", "measure", "value").agg(F.sum("count").alias("n"))
     # a sketch has some hundred buckets at most, however many texts it counts
     by = W.partitionBy("level", "of", "measure")
-    ranked = merged.withColumns({"up_to": F.sum("n").over(by.orderBy("value")), "total": F.sum("n").over(by)})
     rule = lambda f: F.coalesce(*[F.when(F.col("measure") == m, F.lit(f(r))) for m, r in RULES.items()])
-    at = lambda q: F.min(F.when(1000 * F.col("up_to") >= q * F.col("total"), F.col("value")))
-    quantiles = ranked.groupBy("level", "of", "measure").agg(F.max("total").alias("total"), at(F.lit(500)).alias("middle"), at(rule(lambda r: r.level)).alias("high"), at(rule(lambda r: 1000 - r.level)).alias("low"))
+    counts = F.when((F.col("value") > 0) | rule(lambda r: r.both), F.col("n")).otherwise(0)
+    ranked = merged.withColumn("w", counts).withColumns({"up_to": F.sum("w").over(by.orderBy("value")), "total": F.sum("w").over(by), "texts": F.sum("n").over(by)})
+    at = lambda q: F.min(F.when((F.col("w") > 0) & (1000 * F.col("up_to") >= q * F.col("total")), F.col("value")))
+    quantiles = ranked.groupBy("level", "of", "measure").agg(F.max("total").alias("total"), F.max("texts").alias("texts"), at(F.lit(100)).alias("tenth"), at(F.lit(500)).alias("middle"), at(rule(lambda r: r.level)).alias("high"), at(rule(lambda r: 1000 - r.level)).alias("low"))
     reach, both = rule(lambda r: r.reach), rule(lambda r: r.both)
-    limit = F.struct(
-        F.when(both, F.col("low") - reach * (F.col("middle") - F.col("low"))).otherwise(0).alias("least"),
-        (F.col("high") + reach * (F.col("high") - F.col("middle"))).alias("most"),
-    )
-    supported = quantiles.where((F.col("total") >= SUPPORT) | (F.col("level") == 3)).select("level", "of", "measure", limit.alias("limit"))
-    # a row for each group and level that applies to it; the narrowest level with support wins
+    seldom = rule(lambda r: r.rare) & (2 * F.col("total") <= F.col("texts"))
+    spread = (F.col("high") > F.col("middle")) | both & (F.col("low") < F.col("middle"))
+    most = F.when(seldom, F.expr("tenth div 2")).when(spread, F.col("high") + reach * (F.col("high") - F.col("middle")))
+    least = F.when(seldom | ~both, most * 0).when(spread, F.greatest(F.lit(0), F.col("low") - reach * (F.col("middle") - F.col("low"))))
+    own = quantiles.select("level", "of", "measure", "texts", least.alias("least"), most.alias("most"))
+    # a row for each group, level that applies to it and measure
     wanted = sketch.select("group", "lang_key").distinct().select("group", F.explode(by_group()).alias("l")).select("group", "l.level", "l.of")
-    best = wanted.join(supported, ["level", "of"]).groupBy("group", "measure").agg(F.min_by("limit", "level").alias("limit"))
+    of = lambda level, c: F.max(F.when(F.col("level") == level, F.col(c))).alias(f"{c}{level}")
+    levels = wanted.join(own, ["level", "of"]).groupBy("group", "measure").agg(*[of(k, c) for k in (1, 2, 3) for c in ("texts", "least", "most")])
+    pulled = lambda n, x, to: F.coalesce(F.expr(f"({n} * {x} + {SUPPORT} * {to}) div ({n} + {SUPPORT})"), F.col(x), F.col(to))
+    for c in ("least", "most"):
+        levels = levels.withColumn(f"{c}2", pulled("texts2", f"{c}2", f"{c}3")).withColumn(f"{c}1", pulled("texts1", f"{c}1", f"{c}2"))
+    best = levels.select("group", "measure", F.struct(F.col("least1").alias("least"), F.col("most1").alias("most")).alias("limit"))
     return best.groupBy("group").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"{m}_limit") for m in RULES])
 
 

@@ -90,17 +90,21 @@ r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 s AS (SELECT *, {BUCKET_SQL.format("s1")} AS m1, {BUCKET_SQL.format("s2")} AS m2, {BUCKET_SQL.format("s3")} AS m3, {BUCKET_SQL.format("s4")} AS m4 FROM r),
 v AS (SELECT grp, lang_key, unnest([1, 2, 3, 4]) AS measure, unnest([m1, m2, m3, m4]) AS value FROM s WHERE n_words > 0),
 l AS (SELECT 1 AS level, grp AS of_, measure, value FROM v UNION ALL SELECT 2, lang_key, measure, value FROM v UNION ALL SELECT 3, '', measure, value FROM v),
-h AS (SELECT level, of_, measure, value, sum(count(*)) OVER (PARTITION BY level, of_, measure ORDER BY value) AS up_to,
-             sum(count(*)) OVER (PARTITION BY level, of_, measure) AS total FROM l GROUP BY level, of_, measure, value),
-k AS (SELECT * FROM (VALUES (1, 900, 1, false), (2, 990, 0, false), (3, 990, 0, false), (4, 750, 8, true)) AS k(measure, permille, reach, both_ends)),
-q AS (SELECT level, of_, measure, reach, both_ends, max(total) AS total, min(value) FILTER (WHERE 1000 * up_to >= 500 * total) AS mid,
-             min(value) FILTER (WHERE 1000 * up_to >= permille * total) AS hi, min(value) FILTER (WHERE 1000 * up_to >= (1000 - permille) * total) AS lo
-      FROM h JOIN k USING (measure) GROUP BY level, of_, measure, reach, both_ends),
-f AS (SELECT level, of_, measure, CASE WHEN both_ends THEN lo - reach * (mid - lo) ELSE 0 END AS least, hi + reach * (hi - mid) AS most
-      FROM q WHERE total >= 200 OR level = 3),
+k AS (SELECT * FROM (VALUES (1, 900, 1, false, true), (2, 900, 2, false, false), (3, 900, 2, false, false), (4, 750, 8, true, false)) AS k(measure, permille, reach, both_ends, rare)),
+c AS (SELECT level, of_, measure, value, count(*) AS n FROM l GROUP BY ALL),
+h AS (SELECT c.*, k.* EXCLUDE (measure), CASE WHEN value > 0 OR both_ends THEN n ELSE 0 END AS w FROM c JOIN k USING (measure)),
+h2 AS (SELECT *, sum(w) OVER (PARTITION BY level, of_, measure ORDER BY value) AS up_to, sum(w) OVER (PARTITION BY level, of_, measure) AS total, sum(n) OVER (PARTITION BY level, of_, measure) AS texts FROM h),
+q AS (SELECT level, of_, measure, reach, both_ends, rare, max(total) AS total, CAST(max(texts) AS BIGINT) AS texts, min(value) FILTER (WHERE w > 0 AND 1000 * up_to >= 100 * total) AS tenth,
+             min(value) FILTER (WHERE w > 0 AND 1000 * up_to >= 500 * total) AS mid, min(value) FILTER (WHERE w > 0 AND 1000 * up_to >= permille * total) AS hi,
+             min(value) FILTER (WHERE w > 0 AND 1000 * up_to >= (1000 - permille) * total) AS lo
+      FROM h2 GROUP BY level, of_, measure, reach, both_ends, rare),
+f AS (SELECT *, CASE WHEN rare AND 2 * total <= texts THEN tenth // 2 WHEN hi > mid OR both_ends AND lo < mid THEN hi + reach * (hi - mid) END AS most FROM q),
+f2 AS (SELECT level, of_, measure, texts, most, CASE WHEN NOT both_ends THEN most * 0 WHEN most IS NOT NULL THEN greatest(0, lo - reach * (mid - lo)) END AS least FROM f),
 g AS (SELECT DISTINCT grp, lang_key FROM v),
-a AS (SELECT grp, measure, min_by(least, level) AS least, min_by(most, level) AS most FROM (
-        SELECT g.grp, f.* FROM g JOIN f ON (f.level = 1 AND f.of_ = g.grp) OR (f.level = 2 AND f.of_ = g.lang_key) OR f.level = 3) GROUP BY grp, measure),
+a3 AS (SELECT grp, measure, level, texts, least, most FROM g JOIN f2 ON (level = 1 AND of_ = grp) OR (level = 2 AND of_ = lang_key) OR level = 3),
+a2 AS (SELECT grp, measure, {", ".join(f"max({c}) FILTER (WHERE level = {i}) AS {c}{i}" for i in (1, 2, 3) for c in ("texts", "least", "most"))} FROM a3 GROUP BY grp, measure),
+a1 AS (SELECT grp, measure, texts1, {", ".join(f"{c}1, coalesce((texts2 * {c}2 + 200 * {c}3) // (texts2 + 200), {c}2, {c}3) AS {c}2" for c in ("least", "most"))} FROM a2),
+a AS (SELECT grp, measure, {", ".join(f"coalesce((texts1 * {c}1 + 200 * {c}2) // (texts1 + 200), {c}1, {c}2) AS {c}" for c in ("least", "most"))} FROM a1),
 p AS (SELECT grp, {', '.join(f"max(least) FILTER (WHERE measure = {i}) AS a{i}, max(most) FILTER (WHERE measure = {i}) AS b{i}" for i in range(1, 5))} FROM a GROUP BY grp)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {' AND '.join(f"coalesce(m{i} BETWEEN a{i} AND b{i}, true)" for i in range(1, 5))} AS kept

@@ -59,3 +59,9 @@ def test_conversations_edge_cases(spark):
     assert {k: r.n_turns for k, r in out.items()} == {1: 3, None: 1, 2: 2, -7: 1}
     assert out[1].loss_chars == 200_000 and out[2].loss_chars == 16 and out[-7].loss_chars == 0
     assert C.read_back(C.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_missing_id_is_no_id(spark):
+    rows = [(None, 0, "user", "without"), ((1 << 63) - 1, 0, "user", "largest"), (-(1 << 63), 0, "user", "smallest"), (None, 1, "assistant", "reply")]
+    out = C.read_back(C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in out} == {None: (2, 5), (1 << 63) - 1: (1, 0), -(1 << 63): (1, 0)}
