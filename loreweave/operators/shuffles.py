@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="loreweave-")
             spark.sparkContext.setCheckpointDir(base)

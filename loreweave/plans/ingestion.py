@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as T
-from loreweave.operators import ingest
+from loreweave.operators import ingest, resolution
 from loreweave.operators.shuffles import shared_folder
 from loreweave.plans.governance import NORM_SQL
 from loreweave.plans.registry import Registry
@@ -61,6 +61,18 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.resolve_entities(items, part.where("uuid % 2 = 0")).select("item", "uuid", "layer")
 
 
+@PLANS.add(f"""WITH e AS (SELECT p_brand AS g, {NORM_SQL.format('p_name')} AS k, min(p_partkey) AS uuid FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL),
+i AS (SELECT p_partkey AS item, p_brand AS g, {NORM_SQL.format('p_name')} AS k FROM part WHERE p_partkey % 4 <> 0),
+f AS (SELECT g, k, min(item) AS first_item FROM i GROUP BY g, k)
+SELECT item, uuid, CASE WHEN uuid IS NULL THEN first_item END AS same_as FROM i JOIN f USING (g, k) LEFT JOIN e USING (g, k)""")
+def resolution_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that come one after another: those that an earlier one is alike are that one, or the entity that it is."""
+    part = parts_as_entities(spark, sf_dir)
+    written = F.when(F.col("uuid") % 4 == 1, F.upper("name")).when(F.col("uuid") % 4 == 2, F.initcap("name")).otherwise(F.col("name"))
+    items = part.where("uuid % 4 <> 0").select(F.col("uuid").alias("item"), written.alias("name"), "group_id")
+    return resolution.resolve_in_order(items, part.where("uuid % 4 = 0")).select("item", "uuid", "same_as")
+
+
 @PLANS.add(r"""WITH n AS (SELECT doc_id, lang AS g, trim(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g')) AS k FROM documents),
 known AS (SELECT g, k, min(doc_id) AS uuid FROM n WHERE doc_id % 2 = 0 GROUP BY g, k)
 SELECT uuid, doc_id AS episode FROM n JOIN known USING (g, k) WHERE doc_id % 2 = 1""")
