@@ -11,7 +11,7 @@ from loreweave.functions.vector import cosine
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, immutable: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
-    """target with the changes by key: the last change by `order` wins, immutable columns stay as they were."""
+    """target with the changes by key: the last change by `order` wins, immutable columns and those that changes lack stay as they were."""
     if order:
         # maps can't be compared: ties are broken by all columns as text
         ties = F.to_json(F.struct(*[c for c in changes.columns if c != key]))
@@ -19,10 +19,11 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, immutable: tuple[str
     else:
         latest = first_seen(changes, [key], F.to_json(F.struct(*[c for c in changes.columns if c != key])).desc()) if changes.columns != [key] else changes.distinct()
     old = target.select(F.col(key), F.struct(*[c for c in target.columns if c != key]).alias("_old"))
-    new = latest.select(F.col(key), F.struct(*[c for c in target.columns if c != key]).alias("_new"))
+    given = [c for c in target.columns if c != key and c in changes.columns]
+    new = latest.select(F.col(key), F.struct(F.lit(True).alias("_is"), *given).alias("_new"))
     joined = old.join(new, key, "full_outer")
     fresh = F.col("_new").isNotNull()
-    value = lambda c: F.when(fresh & (F.lit(c not in immutable) | F.col("_old").isNull()), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}"))
+    value = lambda c: F.when(fresh & (F.lit(c not in immutable) | F.col("_old").isNull()), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) if c in given else F.col(f"_old.{c}")
     return joined.select(*[F.col(key) if c == key else value(c).alias(c) for c in target.columns])
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loreweave.plans import governance, ingestion, relational, retrieval
+from loreweave.plans import changes, governance, ingestion, relational, retrieval
 from loreweave.plans.registry import Query
 
-PARTS = (relational, retrieval, governance, ingestion)
+PARTS = (relational, retrieval, governance, ingestion, changes)
 
 
 def queries() -> dict[str, Query]:
