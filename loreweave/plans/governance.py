@@ -30,18 +30,16 @@ def alnum_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts_as_entities(spark, sf_dir).select(T.alnum_only("name").alias("key"), "group_id").groupBy("key", "group_id").agg(F.count("*").alias("n"))
 
 
-NAMES = [
-    ("Nginx", "nginx", None, True, "归一化同名"), ("my-app", "myapp", None, True, "分隔符差异"), ("@scope/web", "@scope/gateway", 0.99, False, "scope包名不同"),
-    ("@scope/web", "web", 0.99, False, "scope包名不同"), ("~/.pi", "pi", 0.99, False, "路径↔非路径"), ("www.example.com", "example.com", None, True, "域名www前缀"),
-    ("NGINX", "反向代理", 0.95, True, "中英对照"), ("NGINX", "反向代理", 0.94, False, ""), ("NGINX", "反向代理", None, False, ""),
-    ("/a/x/app", "/b/y/app", 0.93, True, "同名路径项"), ("/a/x/app", "/b/y/app", 0.92, False, ""), ("C:\\dir\\", "c:/dir", None, True, "归一化同名"), ("abc", "xyz", 0.99, False, ""),
-]
-
-
-@PLANS.add("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()}, '{why}')" for i, (_, _, _, ok, why) in enumerate(NAMES)) + ") AS t(pair, auto_merge, auto_reason)")
+@PLANS.add("""SELECT p_partkey AS pair, p_partkey % 6 IN (0, 1, 4) AS auto_merge,
+  CASE p_partkey % 6 WHEN 0 THEN '归一化同名' WHEN 1 THEN '分隔符差异' WHEN 2 THEN 'scope包名不同' WHEN 3 THEN '路径↔非路径' WHEN 4 THEN '域名www前缀' ELSE '' END AS auto_reason FROM part""")
 def auto_merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(i, a, b, s) for i, (a, b, s, _, _) in enumerate(NAMES)], "pair int, a string, b string, s double")
-    return pairs.withColumn("r", rules.auto_merge(F.col("a"), F.col("b"), F.col("s"))).select("pair", "r.auto_merge", "r.auto_reason")
+    """Two names made of each part: other case, no spaces, scoped packages, a path and none, a domain with and without www, unlike ones."""
+    k, key, name = F.col("p_partkey") % 6, F.col("p_partkey").cast("string"), F.col("p_name")
+    forms = [(name, F.upper(name)), (name, F.replace(name, F.lit(" "), F.lit(""))), (F.concat(F.lit("@s/a"), key), F.concat(F.lit("@s/b"), key)), (F.concat(F.lit("/x/"), key), F.concat(F.lit("x"), key)),
+             (F.concat(F.lit("p"), key, F.lit(".example.com")), F.concat(F.lit("www.p"), key, F.lit(".example.com"))), (name, F.concat(name, F.lit("zz")))]
+    a, b = (F.coalesce(*[F.when(k == i, pair[side]) for i, pair in enumerate(forms)]) for side in (0, 1))
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair"), rules.auto_merge(a, b, F.lit(None).cast("double")).alias("r"))
+    return pairs.select("pair", "r.auto_merge", "r.auto_reason")
 
 
 CANDIDATES_SQL = f"""ent AS (SELECT p_partkey AS uuid, p_name AS name, p_brand AS group_id FROM part),

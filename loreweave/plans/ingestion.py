@@ -111,10 +111,11 @@ def links_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.remove_links(links, gone)
 
 
-@PLANS.add("SELECT * FROM (VALUES ('端口20102', '端 口 20102'), ('LLM重启', 'LLM 重 启'), ('知识图谱', '知 识 图 谱'), ('abc', 'abc'), ('', '')) AS t(input, spaced)")
+@PLANS.add("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '端 口 ' || p_partkey || ' 在 ' || p_name END AS spaced FROM part""")
 def spaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("端口20102",), ("LLM重启",), ("知识图谱",), ("abc",), ("",)], "input string")
-    return rows.select(T.spaced_cjk("input").alias("spaced"), "input")
+    """Names of parts, most of them in a Chinese phrase."""
+    text = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("端口"), "p_partkey", F.lit("在"), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.spaced_cjk(text).alias("spaced"))
 
 
 @PLANS.add("SELECT DISTINCT event_id, user_id, event_type FROM events")

@@ -203,30 +203,28 @@ def time_window_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("w", window).select("event_id", D.time_factor("ts", F.col("w")).alias("factor"))
 
 
-ASKED = {
-    "2024-03-05 的会": ("2024-03-05", "2024-03-05"), "2026年8月14日": ("2026-08-14", "2026-08-14"), "1月5日": ("2024-01-05", "2024-01-05"), "八月14号": ("2023-08-14", "2023-08-14"),
-    "八月十四日": ("2023-08-01", "2023-08-31"), "八月中旬": ("2023-08-10", "2023-08-20"), "一月初": ("2024-01-01", "2024-01-10"), "2月底": ("2023-02-21", "2023-02-28"),
-    "八月": ("2023-08-01", "2023-08-31"), "2026年8月": ("2023-08-01", "2023-08-31"), "8月中": None, "13月": None, "2月30日": None, "上个月": ("2023-12-01", "2023-12-31"),
-    "最近一周": ("2024-01-01", "2024-01-31"), "附近": ("2024-01-01", "2024-01-31"), "你好": None, "": None,
-}
+DAY_OF_EVENT = "make_date({y}, {m}, {d})".format(y="CAST(2024 - event_id // 5 % 3 AS INT)", m="CAST(1 + event_id // 7 % 12 AS INT)", d="CAST(1 + event_id // 3 % 28 AS INT)")
 
 
-@PLANS.add("SELECT * FROM (VALUES " + ", ".join("('{}', {}, {})".format(q, *(f"'{d}'" for d in w)) if w else f"('{q}', NULL, NULL)" for q, w in ASKED.items()) + ") AS t(query, start_day, end_day)")
+@PLANS.add(f"""WITH e AS (SELECT event_id, event_id % 5 AS k, {DAY_OF_EVENT} AS day FROM events),
+a AS (SELECT *, CASE WHEN k = 2 AND month(day) > 1 THEN make_date(2023, month(day), day(day)) WHEN k = 2 THEN make_date(2024, 1, day(day)) WHEN k < 2 THEN day WHEN k = 3 THEN DATE '2023-12-01' END AS s FROM e)
+SELECT event_id, CAST(s AS VARCHAR) AS start_day, CAST(CASE WHEN k = 3 THEN DATE '2023-12-31' ELSE s END AS VARCHAR) AS end_day FROM a""")
 def query_time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q in ASKED], "query string").withColumn("w", D.query_window("query", F.expr(NOW_EVENTS)))
-    return asked.select("query", F.col("w.start").cast("string").alias("start_day"), F.col("w.end").cast("string").alias("end_day"))
+    """Windows of queries that name a day of each event: as ISO date, in full, without a year; last month; none."""
+    day, k = F.expr(DAY_OF_EVENT.replace("//", "div")), F.col("event_id") % 5
+    query = F.when(k == 0, F.date_format(day, "yyyy-MM-dd 的会")).when(k == 1, F.date_format(day, "yyyy年M月d日")).when(k == 2, F.date_format(day, "M月d日")).when(k == 3, F.lit("上个月")).otherwise(F.col("event_type"))
+    asked = table(spark, sf_dir, "events").select("event_id", D.query_window(query, F.expr(NOW_EVENTS)).alias("w"))
+    return asked.select("event_id", F.col("w.start").cast("string").alias("start_day"), F.col("w.end").cast("string").alias("end_day"))
 
 
-DATED = {
-    "他于2018年3月15日入职": ("2018-03-15", None), "2018年3月至2022年6月在职": ("2018-03-01", "2022-06-01"), "2019年和2020年都在": ("2019-01-01", None),
-    "2021年": ("2021-01-01", None), "2001年5月 到 2003年": ("2001-05-01", "2003-01-01"), "没有日期": (None, None), "": (None, None),
-}
-
-
-@PLANS.add("SELECT * FROM (VALUES " + ", ".join("('{}', {}, {})".format(t, *(f"'{d}'" if d else "NULL" for d in w)) for t, w in DATED.items()) + ") AS t(fact, start_day, end_day)")
+@PLANS.add("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') END AS start_day,
+  CASE WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate + INTERVAL 1 YEAR, '%Y-%m-01') END AS end_day FROM orders""")
 def dates_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in DATED], "fact string").withColumn("w", D.dates_in_text("fact"))
-    return rows.select("fact", F.col("w.start").cast("string").alias("start_day"), F.col("w.end").cast("string").alias("end_day"))
+    """Dates in sentences about each order: a day, a range of months, none."""
+    k, month = F.col("o_orderkey") % 3, lambda c: F.date_format(c, "yyyy年M月")
+    until = F.col("o_orderdate") + F.expr("INTERVAL 1 YEAR")
+    fact = F.when(k == 0, F.date_format("o_orderdate", "他于yyyy年M月d日入职")).when(k == 1, F.concat(month("o_orderdate"), F.lit("至"), month(until), F.lit("在职"))).otherwise(F.concat(F.lit("没有日期"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.dates_in_text(fact).alias("w")).select("o_orderkey", F.col("w.start").cast("string").alias("start_day"), F.col("w.end").cast("string").alias("end_day"))
 
 
 @PLANS.add("""SELECT o_orderkey AS uuid, '[' || strftime(o_orderdate, '%Y-%m-%d') || ' → ' ||

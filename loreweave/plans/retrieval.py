@@ -283,10 +283,18 @@ def groups_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merged_groups(results).select("query", "doc", "score", "rank")
 
 
-@PLANS.add("""SELECT * FROM (VALUES (1, 13, 10.0, 1), (1, 11, 4.0, 2), (1, 12, 0.0, 3), (2, 21, 0.0, 1), (2, 22, 0.0, 2)) AS t(query, doc, relevance, rank)""")
+@PLANS.add("""WITH r AS (SELECT o_custkey AS query, o_orderkey AS doc, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 29 - 5 END AS given FROM orders),
+h AS (SELECT *, CASE WHEN rank <= 10 AND max(given) FILTER (WHERE rank <= 10) OVER (PARTITION BY query) IS NOT NULL THEN least(10.0, greatest(0.0, coalesce(given, 0))) ELSE 0.0 END AS relevance FROM r)
+SELECT query, doc, CAST(relevance AS DOUBLE) AS relevance, CASE WHEN rank > 10 THEN rank ELSE row_number() OVER (PARTITION BY query, rank <= 10 ORDER BY relevance DESC, score DESC, rank) END AS rank FROM h""")
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = spark.createDataFrame([(1, 11, 0.9, 1), (1, 12, 0.8, 2), (1, 13, 0.7, 3), (2, 21, 0.6, 1), (2, 22, 0.5, 2)], "query int, doc int, score double, rank int")
-    scores = spark.createDataFrame([(1, 13, 12.5), (1, 11, 4.0)], "query int, doc int, relevance double")
+    """A customer's orders by price; every third has a relevance, some out of bounds."""
+    from pyspark.sql import Window as W
+
+    by = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    ranked = orders.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("score"), F.row_number().over(by).alias("rank"))
+    scores = orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 29 - 5).cast("double").alias("relevance"))
     return R.rerank(ranked, scores).select("query", "doc", "relevance", "rank")
 
 
