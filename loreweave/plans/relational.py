@@ -213,7 +213,7 @@ def query_time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of queries that name a day of each event: as ISO date, in full, without a year; last month; none."""
     day, k = F.expr(DAY_OF_EVENT.replace("//", "div")), F.col("event_id") % 5
     query = F.when(k == 0, F.date_format(day, "yyyy-MM-dd 的会")).when(k == 1, F.date_format(day, "yyyy年M月d日")).when(k == 2, F.date_format(day, "M月d日")).when(k == 3, F.lit("上个月")).otherwise(F.col("event_type"))
-    asked = table(spark, sf_dir, "events").select("event_id", D.query_window(query, F.expr(NOW_EVENTS)).alias("w"))
+    asked = table(spark, sf_dir, "events").select("event_id", query.alias("query")).select("event_id", D.query_window("query", F.expr(NOW_EVENTS)).alias("w"))
     return asked.select("event_id", F.col("w.start").cast("string").alias("start_day"), F.col("w.end").cast("string").alias("end_day"))
 
 
