@@ -35,6 +35,11 @@ def numeral(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("int")), teen, known)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use names it: long conditions stay small enough to be compiled."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _date(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
     return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text.try_cast("date"))
@@ -52,17 +57,18 @@ def query_window(query: Column | str, now: Column) -> Column:
     number = lambda pattern, k: part(pattern, k).try_cast("int")
     year_of = lambda m: F.when(m <= F.month(now), F.year(now)).otherwise(F.year(now) - 1)
     both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("start"), b.alias("end")))
-    whole = lambda y, m: both(_date(y, m, F.lit(1)), F.last_day(_date(y, m, F.lit(1))))
+    of_day = lambda d: _once(d, lambda x: both(x, x))
+    whole = lambda m: _once(_date(year_of(m), m, F.lit(1)), lambda x: both(x, F.last_day(x)))
     day = _date(number(FULL_DATE, 1), number(FULL_DATE, 2), number(FULL_DATE, 3))
-    m1 = numeral(part(MONTH_DAY, 1))
-    month_day = _date(year_of(m1), m1, number(MONTH_DAY, 2))
-    m2, piece = numeral(part(MONTH_PART, 1)), part(MONTH_PART, 2)
+    month = lambda pattern: _once(part(pattern, 1), numeral)
+    month_day = _once(month(MONTH_DAY), lambda m: _date(year_of(m), m, number(MONTH_DAY, 2)))
+    piece = part(MONTH_PART, 2)
     first = F.when(piece == "初", 1).when(piece == "中旬", 10).otherwise(21)
-    last = F.when(piece == "初", 10).when(piece == "中旬", 20).otherwise(F.dayofmonth(F.last_day(_date(year_of(m2), m2, F.lit(1)))))
-    m3 = numeral(part(MONTH_ONLY, 1))
+    last = lambda m: F.when(piece == "初", 10).when(piece == "中旬", 20).otherwise(F.dayofmonth(F.last_day(_date(year_of(m), m, F.lit(1)))))
+    month_part = _once(month(MONTH_PART), lambda m: both(_date(year_of(m), m, first), _date(year_of(m), m, last(m))))
     previous = F.add_months(F.trunc(now, "month"), -1)
     return F.coalesce(
-        both(day, day), both(month_day, month_day), both(_date(year_of(m2), m2, first), _date(year_of(m2), m2, last)), whole(year_of(m3), m3),
+        of_day(day), of_day(month_day), month_part, _once(month(MONTH_ONLY), whole),
         F.when(q.rlike(LAST_MONTH), F.struct(previous.alias("start"), F.last_day(previous).alias("end"))),
         F.when(q.rlike(RECENT), F.struct(F.date_sub(F.to_date(now), 30).alias("start"), F.to_date(now).alias("end"))),
     )
