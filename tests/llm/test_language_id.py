@@ -76,3 +76,32 @@ def test_copies_do_not_crowd_out_a_language(spark):
     copies = spark.range(3000).select(F.concat(F.lit("le les des avec "), F.col("id") % 3).alias("text"), F.lit("fr").alias("lang"))
     docs = _corpus(spark).select("text", "lang").where("lang = 'en'").unionByName(copies)
     assert L.train(docs, F.lit(True), docs_per_language=40, steps=5).languages == ["en", "fr"]
+
+
+def test_least_score_is_half_of_the_lower_hundredth(spark):
+    docs = _corpus(spark)
+    model = L.train(docs, F.col("doc_id") < 40, steps=150)
+    held = L.identify(docs.where("doc_id >= 40"), model).collect()
+    right = sorted(int(r.score * 1000) for r in held if r.lang_pred == r.lang)
+    for tail in (0.01, 0.3):
+        want = 0.5 * right[int(tail * len(right))] / 1000
+        assert abs(L.least_score(docs, F.col("doc_id") >= 40, model, tail) - want) < 1e-9
+    assert L.least_score(docs, F.lit(False), model) == 0.0
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") < 55, "xx"))
+    assert L.least_score(wrong, F.col("doc_id") >= 40, model) == 0.0
+
+
+def test_windows_beyond_the_bound_are_chosen_by_hash():
+    import pyarrow as pa
+
+    found = [f"{a}{b}{c}".encode() for a in "abcdefgh" for b in "klmn" for c in "qrst"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(found)), pa.array(found)], ["lang", "window"])
+    seen = []
+    kept = L.BiGru.fit
+    L.BiGru.fit = lambda self, windows, labels, steps: seen.append(windows) or self
+    try:
+        list(L._fit(32, 2, 1)(iter([batch])))
+        list(L._fit(1000, 2, 1)(iter([batch])))
+    finally:
+        L.BiGru.fit = kept
+    assert len(seen[0]) == 32 and len({w[:1] for w in seen[0]}) >= 6 and seen[1] == sorted(found)

@@ -38,3 +38,29 @@ def test_each_stage_takes_effect(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     folder = _folder(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    """Every stage keeps all columns of any name, and of rows that nothing speaks against all but copies."""
+    rows = [cases.row(i, cases.words(40, 1000 + i)) for i in range(100, 160)]
+    folder = _folder(spark, tmp_path, rows)
+    schema = cases.SCHEMA.replace("digest string", "c0 string").replace("node long", "_n long").replace("label int", "kept_id int").replace("raw double", "lang_pred string") + ", C1 int"
+    extra = ("x", 7, 1, 2, "k", "fr", 3, 4, 5, 6, 8)
+    odd = [r[:5] + (0.5, *extra) for r in rows + cases.ROWS]
+    docs = spark.createDataFrame(odd, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, folder)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        found = docs.collect()
+        assert all(r.score == 0.5 and r.c0 == "x" and r.lang_pred == "fr" and r.C1 == 8 for r in found), name
+        if name == "language":
+            assert before - len(found) == sum(not any(map(str.isalpha, r[1] or "")) for r in cases.ROWS)
+        elif name == "near_duplicates":
+            assert sorted(r.doc_id for r in found if r.doc_id in (1, 11, 12)) == [1, 11]
+        else:
+            assert len(found) == before, name
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(mixed) == docs.count() and all(0 <= r.taken <= 2 * r["size"] for r in mixed)
