@@ -14,25 +14,23 @@ from loreweave.llm.common import by_place, remainder, stored
 ORACLE_SQL = None
 
 
-#: How many times the chance of a blind guess among the learned languages a text's best one must have.
-LEAST_OVER_CHANCE = 1.2
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the network gives to no language go; where it is sure, its label replaces the given one.
 
-    It rejects texts without a letter (null and empty ones too) and those whose best language hardly stands out from a
-    blind guess. A language with more than half of a text's pooled probability becomes its `lang`, also where that
-    is null. Rows are judged one by one, whatever their length: ties, repeated rows and rows without an id like
-    any other. Without a row to learn from nothing is rejected; an empty table stays empty; further columns
-    of any name are carried along.
+    It rejects texts without a letter (null and empty ones too) and those whose score is below half of what the
+    doubtful hundredth of rightly read held-out rows has. A language with more than half of a text's pooled
+    probability becomes its `lang`, also where that is null. Rows are judged one by one, whatever their length: ties, repeated rows and rows without an id like
+    any other. Without a row to learn from nothing is rejected, without a held-out one no text with a letter;
+    an empty table stays empty; further columns of any name are carried along.
     """
-    model = language_id.train(docs, F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.train(docs, F.coalesce(~held_out, F.lit(False)))
     if model is None:
         return docs
+    limit = language_id.least_score(docs, held_out, model)
     numbered, names = by_place(docs, "text")
     named = language_id.identify(numbered, model)
-    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= min(1.0, LEAST_OVER_CHANCE / len(model.languages))))
+    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= limit))
     sure = kept.withColumn(names["lang"], F.when(F.col("score") > 0.5, F.col("lang_pred")).otherwise(F.col(names["lang"])))
     return sure.select(list(names.values())).toDF(*docs.columns)
 
