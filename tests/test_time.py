@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from loreweave.functions import rules
 from loreweave.functions import text as T
 from loreweave.operators import dedup, graph, temporal
 from loreweave.streaming import ingest as streams
@@ -81,6 +82,27 @@ def test_link_classes_and_pairs(spark, monkeypatch):
     assert again.count() == 6
 
 
+def test_pairs_of_links_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(5)
+    entities = [(k, rng.choice(["My App", "my app", "my-app", "myapp", "@s/app", "x/app", "xapp", "--", "-"]), f"g{rng.randrange(4)}") for k in range(90)]
+    frame = spark.createDataFrame(entities, "uuid long, name string, group_id string")
+    links = spark.createDataFrame([(b, a) for a in range(0, 90, 2) for b in range(90)], "a_uuid long, b_uuid long")
+    for block in (512, 7):
+        monkeypatch.setattr(dedup, "CLASS_BLOCK", block)
+        found = dedup.link_candidates(frame, links)
+        above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+        assert "Aggregate" not in above and "Repartition" not in above  # what lies above the first join handles pairs
+        every = {(r.a_uuid, r.b_uuid): (r.auto_link, r.auto_reason) for r in dedup.link_candidates(frame).collect()}
+        assert {(r.a_uuid, r.b_uuid): (r.auto_link, r.auto_reason) for r in found.collect()} == {k: v for k, v in every.items() if k[0] % 2 and k[1] % 2}
+        ruled = spark.createDataFrame([(*k, dict((e[0], e[1]) for e in entities)[k[0]], dict((e[0], e[1]) for e in entities)[k[1]]) for k in every], "a long, b long, x string, y string").select("a", "b", rules.auto_merge(F.col("x"), F.col("y"), F.lit(None).cast("double")).alias("r"))
+        assert {(r.a, r.b): tuple(r.r) for r in ruled.collect()} == every
+        linked = sorted(k for k, v in every.items() if v[0] and k[0] % 2 and k[1] % 2)
+        for limit in (1, 30, 10**6):
+            assert [(r.a_uuid, r.b_uuid) for r in dedup.first_links(frame, links, limit).collect()] == linked[:limit]
+        monkeypatch.setattr(dedup, "MOST_FIRST", 0)
+        assert [(r.a_uuid, r.b_uuid) for r in dedup.first_links(frame, links, 30).collect()] == linked[:30]
+
+
 def test_history_of_the_nearest_name(spark):
     entities = spark.createDataFrame([(1, "nginx", "g"), (2, "proxy", "g"), (3, "nginx", "h")], "uuid long, name string, group_id string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "uuid long, vector array<double>")
