@@ -51,3 +51,12 @@ def test_streams_in_several_batches(spark, tmp_path):
     assert {(r.uuid, r.invalid_at) for r in ingest.supersessions(stream, ["source_uuid"]).collect()} == want
     counts = ingest.run_updates(ingest.counts_by_window(ingest.read_folder(spark, str(tmp_path), frame.schema, files=1), "valid_at", "365 days", "10000 days"), "counts", ["window_start"])
     assert sum(r.n for r in counts.collect()) == 90
+
+
+def test_search_graph_where_customer_0_is_searched(spark, tmp_path):
+    """The link of customer 0 leads to no customer, and to no nation either."""
+    spark.sql("SELECT 0L AS c_custkey, 'Customer' AS c_name, 'BUILDING' AS c_mktsegment, 3 AS c_nationkey UNION ALL SELECT 7L, 'Customer', 'MACHINERY', 0").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, IF(id < 2, 0L, 7L) AS o_custkey, 'O' AS o_orderstatus, '5-NONE' AS o_orderpriority, timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ'1998-01-01 00:00:00') AS o_orderdate FROM range(6)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS doc_id, 'nothing' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["search_graph"](spark, str(tmp_path)).where("kind = 'fact'").collect()
+    assert sorted((r.query, r.uuid) for r in found) == [(1, 1), (2, 5)]  # at customers 0 and 7, what holds of theirs
