@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loreweave.operators.shuffles import dealt
 from loreweave.operators.vectors import nearest
 
 
@@ -19,6 +20,16 @@ def symmetric(links: DataFrame) -> DataFrame:
     return links.select(F.col("a_uuid").alias("entity"), F.col("b_uuid").alias("other")).unionByName(links.select(F.col("b_uuid").alias("entity"), F.col("a_uuid").alias("other"))).distinct()
 
 
+def linked_counts(links: DataFrame) -> DataFrame:
+    """entity, n_linked: how many others each entity is linked with, whatever the links' order.
+
+    Each link is told from its repetitions once, with its ends in order, in tasks of like many links, and then counts at both ends.
+    """
+    ends = links.select(F.array_sort(F.array("a_uuid", "b_uuid")).alias("e")).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
+    once = dealt(ends, links.count(), "a", "b").distinct()
+    return once.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_linked"))
+
+
 def reference_counts(entities: DataFrame, facts: DataFrame, mentions: DataFrame) -> DataFrame:
     """uuid, refs: facts at the entity and mentions of it."""
     used = incident(facts).select(F.col("entity").alias("uuid")).unionByName(mentions.select(F.col("entity_uuid").alias("uuid")))

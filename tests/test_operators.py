@@ -248,3 +248,13 @@ def test_bootstrap_is_idempotent(spark):
 
 def test_length_norm():
     assert retrieval.length_norm(10, 10) == pytest.approx(1.2) and math.isnan(retrieval.length_norm(1, 0))
+
+
+def test_linked_counts_in_small_tasks(spark, monkeypatch):
+    rows = [(a % 7, a % 5) for a in range(60)] + [(3, 3), (None, 2), (2, None), (1, 4), (4, 1)]
+    links = spark.createDataFrame(rows, "a_uuid long, b_uuid long")
+    want = {r.entity: r.n for r in graph.symmetric(links).groupBy("entity").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(shuffles, "PARTITION_ROWS", 2)
+    found = graph.linked_counts(links)
+    assert {r.entity: r.n_linked for r in found.collect()} == want
+    assert f"hashpartitioning(a#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 33), REPARTITION_BY_NUM" in plan  # 65 links
