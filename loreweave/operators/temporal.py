@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loreweave.operators.shuffles import stored
+
 
 def active(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("expired_at").isNull())
@@ -37,17 +39,33 @@ def as_of_join(probes: DataFrame, facts: DataFrame, keys: list[str], at: str = "
 
 #: Where an interval ends that has no end, as a number: beyond all times.
 OPEN = 1 << 62
+#: Facts of a key up to which probes meet all of them.
+PLAIN = 64
 
 
 def holding_join(probes: DataFrame, facts: DataFrame, keys: list[str], at: str = "at", start: str = "valid_at", end: str = "invalid_at") -> DataFrame:
     """Each probe with every fact of its keys that holds at its time: start <= at < end, a null start or end is open.
 
-    Times lie on grids whose cells are 1, 2, 4, ... microseconds wide. A fact is laid on the grid whose cells are at least as wide
-    as its time is long, so it touches two cells at most; a probe looks in one cell of each grid that some fact lies on.
+    Probes meet all facts of keys that have PLAIN facts at most: each probe is shuffled once. For keys with more, times lie on grids
+    whose cells are 1, 2, 4, ... microseconds wide. A fact is laid on the grid whose cells are at least as wide as its time is long, so it touches two cells at most; a probe looks in one cell of each grid that some fact lies on.
     Both meet by an equi-join on keys, grid and cell, and each pair once, without comparing all facts of a key.
     Open bounds are drawn in to the probes' first and last time. Probes without a time, and null keys, meet nothing.
     Columns of facts that probes have too come as fact_<name>.
     """
+    own = [c for c in facts.columns if c not in keys]
+    named = {c: f"fact_{c}" if c in probes.columns else c for c in own}
+    many = stored(facts.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > PLAIN).select(*keys).dropna(), "many-facts")
+    dense = bool(many.take(1))
+    few = lambda df: df.join(many, keys, "left_anti") if dense else df
+    began, ends = F.col("_start").isNull() | (F.col("_start") <= F.col(at)), F.col("_end").isNull() | (F.col(at) < F.col("_end"))
+    known = facts.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"), *[F.col(c).alias(named[c]) for c in own])
+    met = few(probes.where(F.col(at).isNotNull())).join(few(known), keys).where(began & ends).select(*probes.columns, *named.values())
+    if not dense:
+        return met
+    return met.unionByName(_holding_on_grids(probes.join(many, keys, "left_semi"), facts.join(many, keys, "left_semi"), keys, at, start, end, named))
+
+
+def _holding_on_grids(probes: DataFrame, facts: DataFrame, keys: list[str], at: str, start: str, end: str, named: dict[str, str]) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     asked = probes.where(F.col(at).isNotNull()).withColumn("_t", micros(at))
     first, last = asked.agg(F.min("_t"), F.max("_t")).first()
@@ -57,9 +75,7 @@ def holding_join(probes: DataFrame, facts: DataFrame, keys: list[str], at: str =
     laid = facts.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).where("_low < _high")
     level = F.length(F.bin(F.col("_high") - F.col("_low"))).cast("int")
     cells = F.array_distinct(F.array(F.expr("shiftright(_low, _level)"), F.expr("shiftright(_high - 1, _level)")))
-    own = [c for c in facts.columns if c not in keys]
-    named = {c: f"fact_{c}" if c in probes.columns else c for c in own}
-    placed = laid.withColumn("_level", level).withColumn("_cell", F.explode(cells)).select(*keys, "_level", "_cell", "_low", "_high", *[F.col(c).alias(named[c]) for c in own])
+    placed = laid.withColumn("_level", level).withColumn("_cell", F.explode(cells)).select(*keys, "_level", "_cell", "_low", "_high", *[F.col(c).alias(n) for c, n in named.items()])
     levels = [r[0] for r in laid.select(level).distinct().collect()]  # 63 at most
     looking = asked.withColumn("_level", F.explode(F.lit(levels) if levels else F.array().cast("array<int>"))).withColumn("_cell", F.expr("shiftright(_t, _level)"))
     return looking.join(placed, [*keys, "_level", "_cell"]).where("_low <= _t and _t < _high").select(*probes.columns, *named.values())

@@ -59,6 +59,21 @@ def test_facts_that_hold_at_a_time(spark):
     assert temporal.holding_join(p.where("false"), f, ["k"]).count() == 0 == temporal.holding_join(p, f.where("false"), ["k"]).count()
 
 
+def test_few_facts_of_a_key_need_no_grids(spark, monkeypatch):
+    rng = random.Random(8)
+    when = lambda: DAY + timedelta(hours=rng.randrange(200)) if rng.random() < 0.8 else None
+    facts = [(k, rng.choice([1, 1, 1, 2, 3, None]), when(), when()) for k in range(60)]
+    probes = [(k, rng.choice([1, 2, 3, 4, None]), when()) for k in range(60)]
+    f = spark.createDataFrame(facts, "uuid long, k long, valid_at timestamp_ntz, invalid_at timestamp_ntz")
+    p = spark.createDataFrame(probes, "uuid long, k long, at timestamp_ntz")
+    want = sorted((x[0], y[0]) for x in probes for y in facts if x[1] and x[1] == y[1] and x[2] and (not y[2] or y[2] <= x[2]) and (not y[3] or x[2] < y[3]))
+    for plain, grids in ((64, False), (15, True), (0, True)):
+        monkeypatch.setattr(temporal, "PLAIN", plain)
+        found = temporal.holding_join(p, f, ["k"])
+        assert sorted((r.uuid, r.fact_uuid) for r in found.collect()) == want
+        assert ("Generate" in found._jdf.queryExecution().optimizedPlan().toString()) == grids
+
+
 def test_link_classes_and_pairs(spark, monkeypatch):
     rng = random.Random(3)
     names = ["My App", "my app", "my-app", "myapp", "Other", "", None, "MY  APP"]
