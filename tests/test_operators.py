@@ -258,3 +258,17 @@ def test_linked_counts_in_small_tasks(spark, monkeypatch):
     found = graph.linked_counts(links)
     assert {r.entity: r.n_linked for r in found.collect()} == want
     assert f"hashpartitioning(a#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 33), REPARTITION_BY_NUM" in plan  # 65 links
+
+
+def test_large_joins_are_not_sent_to_the_driver(spark, monkeypatch):
+    pairs = [(k - 1, k) for k in range(1, 40) if k % 5]
+    frame = spark.createDataFrame(pairs, "keep_uuid long, remove_uuid long")
+    want = {k: k - k % 5 for k in range(40)}
+    for large in (10**6, 3):
+        monkeypatch.setattr(shuffles, "SMALL", 3)
+        monkeypatch.setattr(shuffles, "LARGE", large)
+        first, _ = dedup.merge_state(frame.where("remove_uuid % 2 = 0"))
+        after = dedup.merge_state(frame.where("remove_uuid % 2 = 1"), first)[0]
+        assert {r.node: r.head for r in after.collect()} == want
+        plan = shuffles.join_unique(frame, frame.select("remove_uuid", F.lit(1).alias("one")), "remove_uuid", 32)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=merge" in plan) == (large == 3)
