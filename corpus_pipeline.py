@@ -1,4 +1,8 @@
-"""Cleans and mixes the documents in five stages, each written as Parquet and read again by the next."""
+"""Cleans and mixes the documents in five stages, each written as Parquet and read again by the next.
+
+The stages run one after the other on the same executors, whose memory keeps what the earlier ones touched; so each
+has its rows handed to Python workers in small batches.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm import decontamination, language_id, mixing, ngram_join, toxicity
-from loreweave.llm.common import by_place, remainder, stored
+from loreweave.llm.common import by_place, remainder, small_batches, stored
 
 #: No SQL expresses the trained stages; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -23,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     any other. Without a row to learn from nothing is rejected, without a held-out one no text with a letter;
     an empty table stays empty; further columns of any name are carried along.
     """
+    small_batches(spark)
     held_out = remainder("doc_id", 4) == 2
     model = language_id.train(docs, F.coalesce(~held_out, F.lit(False)))
     if model is None:
@@ -42,6 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts of any length; repeated rows and rows without an id like any other. Without labels of both classes
     nothing goes; an empty table stays empty; further columns of any name are carried along.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
     numbered, names = by_place(docs, "text")
@@ -55,6 +61,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stay. Texts of any length are compared whole; an empty table stays empty; further columns of any name are
     carried along.
     """
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -65,6 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     all rows of an equal text go together; an empty table stays empty; further columns of any name are carried
     along.
     """
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -74,6 +82,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has size 0 and nothing is taken of it; null is a source like any other and comes last; repeated
     rows are documents of their own; reruns agree; an empty table gives no rows; further columns are ignored.
     """
+    small_batches(spark)
     mixed = mixing.mix(docs.select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 

@@ -34,12 +34,14 @@ from pyspark.sql import Window as W
 
 from loreweave.llm.common import MIX, as_bytes, as_text, by_place, keep, mixed, slices, spaced_scripts, stored
 
-#: Slots of a bit table (half a megabyte each).
+#: Slots of a bit table, as a power of two; tables stay packed in workers too (half a megabyte each).
 FILTER_BITS = 22
 #: Rows up to which seeds, items and matched digests are broadcast; more are joined by a shuffle.
 CARRIED = 200_000
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 50_000
+#: Bytes of text whose words a task holds at a time: as separate values they take ten times as much.
+HELD_BYTES = 1 << 20
 #: All bytes that are neither letters nor digits in ASCII become spaces.
 ALNUM_ONLY = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -105,7 +107,9 @@ class Hasher:
 
 
 def _in_table(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[grams & np.uint64((1 << FILTER_BITS) - 1)]
+    """Which grams' slots are set in a packed table."""
+    slots = (grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int32)
+    return (table[slots >> 3] & (0x80 >> (slots & 7))) != 0
 
 
 def _items(threshold: float):
@@ -145,7 +149,7 @@ def _bit_table(grams: DataFrame) -> bytes:
 
 
 def _open(table: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
+    return np.frombuffer(table, np.uint8)
 
 
 def _flat(hasher: Hasher, part: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -170,7 +174,7 @@ def _gram_counts(table: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hasher = _open(table), Hasher()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=HELD_BYTES):
                 _, bounds, hashes = _flat(hasher, part)
                 grams = hasher.grams(hashes, 2)
                 found, n = np.unique(grams[_in_table(grams, bits) & _inside(grams, 2, bounds)], return_counts=True)
@@ -189,7 +193,7 @@ def _passages(kinds: dict[int, Kind]):
         hasher = Hasher()
         tables = {k: (_open(kind.grams), _open(kind.seeds)) for k, kind in kinds.items()}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=HELD_BYTES):
                 texts, bounds, hashes = _flat(hasher, part)
                 digests, out = as_bytes(part, "digest"), []
                 of_width = {w: hasher.grams(hashes, w) for w in {kind.width for kind in kinds.values()}}

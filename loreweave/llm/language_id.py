@@ -26,6 +26,8 @@ from loreweave.llm.common import as_text, keep, slices, unit_hash
 WINDOW = 24
 #: Rows of a matrix product.
 ROWS = 2048
+#: Windows whose probabilities a task gathers at a time, for one text at least.
+GATHERED = 1 << 16
 #: Distinct windows that a task remembers.
 REMEMBERED = 400_000
 #: All bytes that are no letters in ASCII become spaces.
@@ -246,7 +248,11 @@ def _label(model: BiGru, names: list[str]):
                     sums = np.concatenate([sums, model.summed(new)])
                 rows = np.fromiter(map(seen.__getitem__, flat), np.int64, len(flat))
                 total = np.zeros((len(texts), len(languages)), np.float64)
-                np.add.at(total, np.flatnonzero(counts), np.add.reduceat(sums[rows].astype(np.float64), np.concatenate([[0], np.cumsum(counts[counts > 0])[:-1]])) if len(rows) else np.zeros((0, len(languages))))
+                read = np.flatnonzero(counts)
+                ends = np.cumsum(counts[read])
+                for some in np.split(np.arange(len(read)), np.flatnonzero(np.diff(ends // GATHERED)) + 1) if len(read) else []:
+                    starts = ends[some] - counts[read[some]]
+                    total[read[some]] = np.add.reduceat(sums[rows[starts[0] : ends[some[-1]]]].astype(np.float64), starts - starts[0])
                 positions = total.sum(axis=1)
                 mean = total / np.maximum(positions, 1e-9)[:, None]
                 best = mean.argmax(axis=1)

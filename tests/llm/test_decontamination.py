@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loreweave.llm import decontamination as C
@@ -127,3 +130,24 @@ def test_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, digest binary, item int, c0 string")
     kept = C.decontaminate(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_a_worker_holds_tables_and_words_of_a_small_part_only():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(300_000)}" for _ in range(1000)) for _ in range(600)]  # 4.5 MB
+    batch = pa.record_batch({"digest": [b"%d" % i for i in range(len(texts))], "text": texts})
+    hasher = C.Hasher()
+    grams = hasher.grams(hasher.words(C.words_of(" ".join(t[:200] for t in texts))), 2)
+    table = np.zeros(1 << C.FILTER_BITS, bool)
+    table[(grams % np.uint64(1 << C.FILTER_BITS)).astype(np.int64)] = True
+    packed = np.packbits(table).tobytes()
+    del table, hasher
+    assert C._in_table(grams, C._open(packed)).all()
+    for step in (C._gram_counts(packed), C._passages({k: C.Kind(2, 40, 12, packed, packed) for k in (4, 5, 6)})):
+        tracemalloc.start()
+        try:
+            for _ in step(iter([batch])):
+                pass
+            assert tracemalloc.get_traced_memory()[1] < 40e6
+        finally:
+            tracemalloc.stop()

@@ -105,3 +105,17 @@ def test_windows_beyond_the_bound_are_chosen_by_hash():
     finally:
         L.BiGru.fit = kept
     assert len(seen[0]) == 32 and len({w[:1] for w in seen[0]}) >= 6 and seen[1] == sorted(found)
+
+
+def test_probabilities_are_gathered_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    model = L.BiGru(["a", "b", "c"], 4)
+    texts = ["one two three", None, "", "12", "four " * 50, "five", "six seven", "eight " * 9]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    whole = [b.to_pydict() for b in L._label(model, ["text"])(iter([batch]))]
+    held = []
+    monkeypatch.setattr(L, "GATHERED", 4)
+    monkeypatch.setattr(L.np, "split", lambda a, at, f=L.np.split: held.append(f(a, at)) or held[-1])
+    assert [b.to_pydict() for b in L._label(model, ["text"])(iter([batch]))] == whole
+    assert len(held[-1]) > 2

@@ -64,3 +64,22 @@ def test_stages_take_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path
             assert len(found) == before, name
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert len(mixed) == docs.count() and all(0 <= r.taken <= 2 * r["size"] for r in mixed)
+
+
+def test_stages_hand_rows_to_workers_in_small_batches(spark, tmp_path):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    folder = _folder(spark, tmp_path, [cases.row(i, cases.words(40, 1000 + i)) for i in range(3)])
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(setting)
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        texts = spark.range(0, 60, 1, 1).selectExpr("repeat(cast(id as string), 200000) as text")
+        sizes = [r["n"] for r in texts.mapInArrow(_sizes, "n long").collect()]
+        assert sum(sizes) > 15e6 and max(sizes) < 4e6
+    spark.conf.unset(setting)
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
