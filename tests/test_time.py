@@ -118,6 +118,18 @@ def test_pairs_of_links_are_not_shuffled(spark, monkeypatch):
         assert [(r.a_uuid, r.b_uuid) for r in dedup.first_links(frame, links, 30).collect()] == linked[:30]
 
 
+def test_members_of_one_name_and_group_are_copied_as_one_row(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CLASS_BLOCK", 20)
+    entities = [(k, "my app" if k % 2 else "My App", f"g{k // 2 % 2}") for k in range(100)] + [(7, "my app", "g0"), (200, None, "g0"), (201, "my app", None)]
+    frame = spark.createDataFrame(entities, "uuid long, name string, group_id string")
+    kind, dealt = type(frame), []
+    monkeypatch.setattr(kind, "repartition", lambda self, *a, f=kind.repartition: dealt.append(self.count()) or f(self, *a))
+    want = sorted((min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(entities) for b in entities[:i] if a[0] != b[0] and a[1] and b[1] and a[2] and b[2] and a[2] != b[2])
+    assert sorted((r.a_uuid, r.b_uuid) for r in dedup.link_candidates(frame).collect()) == want
+    blocks, profiles = 6, 5  # two names in two groups, one name without a group
+    assert len(dealt) == 2 and sum(dealt) <= blocks * (blocks + 1) * profiles < len(entities) * (blocks + 1)
+
+
 def test_history_of_the_nearest_name(spark):
     entities = spark.createDataFrame([(1, "nginx", "g"), (2, "proxy", "g"), (3, "nginx", "h")], "uuid long, name string, group_id string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "uuid long, vector array<double>")
