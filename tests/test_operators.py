@@ -204,6 +204,17 @@ def test_texts_that_hold_items(spark):
     assert sorted((r.query, r.doc) for r in got) == sorted((q, d) for q, i in items for d, t in docs if i and t and i in t)
 
 
+@pytest.mark.parametrize(("held", "size"), [(5000, 4_000_000), (5000, 1), (3, 1)])
+def test_texts_that_hold_items_however_many(spark, monkeypatch, held, size):
+    monkeypatch.setattr(retrieval, "HELD_ITEMS", held)
+    monkeypatch.setattr(retrieval, "SCAN_BYTES", size)
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "", "dd"]) for _ in range(rng.randrange(12)))) for i in range(80)] + [(99, None)]
+    items = [(q, " ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(rng.randrange(1, 5)))) for q in range(20)] + [(30, None), (31, ""), (32, "a  b c")]
+    got = retrieval.holding(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "query long, item string")).collect()
+    assert sorted((r.query, r.doc) for r in got) == sorted((q, d) for q, i in items for d, t in docs if i is not None and t is not None and i in t)
+
+
 def test_groups_merge_by_their_first(spark):
     rows = [(1, 0, 7, 0.5), (1, 1, 7, 0.9), (1, 1, 8, 0.6), (1, 1, 8, 0.7), (2, 0, 7, 0.1)]
     got = retrieval.merged_groups(spark.createDataFrame(rows, "query long, group_position int, doc long, score double")).collect()
